@@ -1,0 +1,54 @@
+import random
+import re
+
+import duckdb
+
+from tomewright.llm import quality_rules as q
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen, covered = {}, set()
+    for i in range(len(words) - 4):
+        seen.setdefault(tuple(words[i : i + 5]), []).append(i)
+    for places in seen.values():
+        if len(places) > 1:
+            covered.update(i + k for i in places for k in range(5))
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def texts():
+    draw = random.Random(3)
+    out = [None, "", " \n\t ", "a", "a b c d", "a b c d e", "x " * 500, "one\none\n\n \n \none", "a\x0bb\x0cc\rd", "#tag *b* 5% <x> |y|", "ünï 漢字 🙂 " * 3, " lead  and trail "]
+    for _ in range(40):
+        out.append("".join(draw.choice(["the ", "of ", "cat ", "dog\n", "a#b ", "  "]) for _ in range(draw.randint(0, 120))))
+    return out
+
+
+def test_measures_and_sql(spark):
+    rows = [(i, t, "z") for i, t in enumerate(texts())] + [(0, None, "z"), (3, "a", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    got = q.judge(df)
+    assert got.columns.count("n_words") == 1
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    found = got.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        want = brute(dict((i, t) for i, t, _ in rows)[r["doc_id"]])
+        assert tuple(r[n] for n in names) == want
+        assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (r["base_failed"] and r["kept"]) and r["kept"] == (not r["failed_rules"])
+    base = duckdb.connect()
+    base.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    base.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    columns = ["doc_id", *names, "base_failed", "kept"]
+    assert sorted(base.execute(f"SELECT {', '.join(columns)} FROM ({q.oracle()})").fetchall()) == sorted(tuple(r[c] for c in columns) for r in found)
+    assert q.judge(df.limit(0)).count() == 0
+
+
+def test_no_python_or_exchange(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = q.judge(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

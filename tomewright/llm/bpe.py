@@ -183,15 +183,19 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "token_ids", out: str
     return df.select(*keep).mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, vocabulary_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, vocabulary_path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: str | None = None) -> DataFrame:
     """Digest of encode followed by decode, in one pass and without carrying the ids between processes:
-    key, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256.
+    key, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256, and the ids if a name is given.
     A null text counts as empty: no tokens, the digests of nothing. Repeated rows and keys each give a row."""
 
     def row(codec: Codec, value: str) -> tuple:
         packed = codec.packed(value)
-        back = codec.decode(np.frombuffer(packed, "<u4").tolist())
-        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest()
+        numbers = np.frombuffer(packed, "<u4")
+        back = codec.decode(numbers.tolist())
+        digest = (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest())
+        return (*digest, numbers.astype(np.int32)) if ids else digest
 
     made = [("n_tokens", pa.int64(), T.LongType()), ("ids_sha256", pa.string(), T.StringType()), ("decoded_sha256", pa.string(), T.StringType())]
+    if ids:
+        made.append((ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType())))
     return _map_texts(df, text, [key], vocabulary_path, pattern, made, row)

@@ -77,6 +77,7 @@ class QualityModel:
     scale: np.ndarray
     weights: tuple[np.ndarray, ...]
     prior: float
+    learned: bool = True
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(_forward(self.weights, _standard(x, self.mean, self.scale))[1])
@@ -145,7 +146,7 @@ def fit_rows(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
     """A model from feature rows. Without either kind of rows every document scores 0.5."""
     if len(positive) < 4 or len(unlabelled) < 4:
         zero = (np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), np.zeros(1))
-        return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), zero, 0.5)
+        return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), zero, 0.5, learned=False)
     both = np.vstack([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 0.01
     p, u = _standard(positive, mean, scale), _standard(unlabelled, mean, scale)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality_pu, quality_rules
-from .common import held_out, table
+from . import bpe, chat, decontam, langid, line_dedup, minhash, quality_pu, quality_rules, shard, warc
+from .common import held_out, shared_folder, table, text_or_empty
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 KEPT_SCORE = 0.7
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard.hilbert_shards(table(spark, sf_dir, "documents"), ["lang", "source", "n_chars"])
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -21,6 +28,28 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    back = warc.archive_round_trip(table(spark, sf_dir, "pages"), folder)
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(.*)>$", 1).cast("long")
+    return back.select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+
+
+#: A conversation whose texts hold the template's own control strings.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_paths(chat.paths(chat.threads(rows.unionByName(hard))))
+    return chat.read_back(formatted).withColumnRenamed("tree", "conv_id").drop("leaf")
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=(85, 100))
+
+
 def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_pu.fit(documents, table(spark, sf_dir, "labels"), ~held_out())
@@ -28,6 +57,17 @@ def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= KEPT_SCORE).cast("int").alias("predicted"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(text_or_empty("text"), 256).alias("text_sha256"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    digest = F.sha2(F.array_join("hit_items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(documents, ~held_out())
@@ -36,9 +76,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hilbert_shards": op1_hilbert_shards,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
+    "op5_chat": op5_chat,
+    "op6_minhash": op6_minhash,
     "op7_quality_pu": op7_quality_pu,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op3_quality_rules": quality_rules.oracle()}
+ORACLES = {"op3_quality_rules": quality_rules.oracle(), "op8_line_dedup": line_dedup.oracle()}
