@@ -123,12 +123,12 @@ def oracle(min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> str:
     return rf"""
     WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents),
     w AS (SELECT *, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS ws FROM l),
-    d AS (SELECT ws, len(ws) AS n, min((doc_id, no)) AS at FROM w WHERE len(ws) >= {min_words} GROUP BY ws),
-    v AS (SELECT ws, n, at, i, list_concat(ws[:i - 1], ws[i + 1:]) AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= {near_words})),
-    s AS (SELECT ws FROM (SELECT ws, at, min(at) OVER (PARTITION BY n, i, rest) AS low FROM v) WHERE low < at),
-    p AS (SELECT CASE WHEN a.at < b.at THEN b.ws ELSE a.ws END AS ws FROM d AS a JOIN v AS b ON a.ws = b.rest WHERE a.n >= {near_words}),
+    d AS (SELECT ws, len(ws) AS n, min((doc_id, no)) AS place FROM w WHERE len(ws) >= {min_words} GROUP BY ws),
+    v AS (SELECT ws, n, place, i, list_concat(ws[1:i - 1], ws[i + 1:n]) AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= {near_words})),
+    s AS (SELECT ws FROM (SELECT ws, place, min(place) OVER (PARTITION BY n, i, rest) AS low FROM v) WHERE low < place),
+    p AS (SELECT CASE WHEN a.place < b.place THEN b.ws ELSE a.ws END AS ws FROM d AS a JOIN v AS b ON a.ws = b.rest WHERE a.n >= {near_words}),
     near AS (SELECT ws FROM s UNION SELECT ws FROM p),
-    f AS (SELECT w.doc_id, w.no, line, d.ws IS NOT NULL AND near.ws IS NOT NULL AS is_near, d.ws IS NOT NULL AND d.at <> (w.doc_id, w.no) AS is_repeat,
+    f AS (SELECT w.doc_id, w.no, line, d.ws IS NOT NULL AND near.ws IS NOT NULL AS is_near, d.ws IS NOT NULL AND d.place <> (w.doc_id, w.no) AS is_repeat,
         regexp_matches(line, '[^\x20\x09-\x0D]') AS worded
         FROM w LEFT JOIN d ON w.ws = d.ws LEFT JOIN near ON w.ws = near.ws)
     SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (is_repeat AND NOT is_near) AS n_exact, count(*) FILTER (is_near) AS n_near,

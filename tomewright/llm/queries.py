@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, langid, line_dedup, minhash, quality_pu, quality_rules, shard, warc
 from .common import held_out, shared_folder, table, text_or_empty
+from .oracles import ORACLES  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 KEPT_SCORE = 0.7
@@ -87,4 +88,3 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op3_quality_rules": quality_rules.oracle(), "op8_line_dedup": line_dedup.oracle()}
