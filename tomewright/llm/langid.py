@@ -1,7 +1,7 @@
 """Language identification by compression: the dictionary that makes a text smallest names its language.
 
 For each learned language a zstandard raw-content dictionary is filled with slices of its training
-texts. A text is cut into blocks, each block is compressed with every dictionary, and the sizes add
+texts, lower-cased. A text is cut into blocks, each block is compressed with every dictionary, and the sizes add
 up over the whole text, so that a long text is judged by all of it and not by its beginning.
 The verdict is rejected if the best and second sizes lie too close.
 """
@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 #: Bounds of the training sample: texts a language, characters a text (a slice from a place set by the key's hash),
 #: bytes of a dictionary, languages.
-SAMPLE_TEXTS, SLICE_CHARS, DICTIONARY_BYTES, MOST_LANGUAGES = 200, 600, 48_000, 1_000
-BLOCK_CHARS, LEVEL = 700, 3
+SAMPLE_TEXTS, SLICE_CHARS, DICTIONARY_BYTES, MOST_LANGUAGES = 200, 600, 110_000, 1_000
+BLOCK_CHARS, LEVEL = 700, 6
 #: Relative margins: below the first the verdict is rejected; at the second the score is 1.
 REJECT_MARGIN, SURE_MARGIN = 0.01, 0.12
 _letter = regex.compile(r"\p{L}").search
@@ -57,7 +57,7 @@ def fit(df: DataFrame, where: Column | None = None, key: str = "doc_id", text: s
     )
     slices: dict[str, list[bytes]] = {}
     for r in picked:
-        slices.setdefault(r["lang"], []).append(r["slice"].encode("utf-8"))
+        slices.setdefault(r["lang"], []).append(r["slice"].lower().encode("utf-8"))
     made = []
     for name in sorted(slices):
         joined = b"\n".join(slices[name])
@@ -77,6 +77,7 @@ class Predictor:
             self.compressors.append((name, zstandard.ZstdCompressor(level=LEVEL, **options).compress))
 
     def sizes(self, text: str) -> list[tuple[int, str]]:
+        text = text.lower()
         step = max(1, -(-len(text) // max(1, round(len(text) / BLOCK_CHARS))))
         blocks = [text[i : i + step].encode("utf-8") for i in range(0, len(text), step)]
         return sorted((sum(len(compress(b)) for b in blocks), name) for name, compress in self.compressors)
