@@ -1,0 +1,34 @@
+import pytest
+
+from tomewright.legacy_api import ChunkBase, main
+from tomewright.sources.store import TableStore
+
+PAGE = "The CCNA001 strain was tested in the laboratory with BRCA1 and other genes. " * 3
+
+
+def parse(content):
+    return content.decode().split("\f")
+
+
+def test_ingest_search_migrate(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in (("a.pdf", f"tiny\f{PAGE}\f{PAGE} quantum physics"), ("b.pdf", PAGE)):
+        (tmp_path / "in" / name).write_text(text)
+    old, new = f"file://{tmp_path}/old", f"file://{tmp_path}/new"
+    base = ChunkBase(spark, old, 30, 5, page_parser=parse)
+    first = base.ingest_file(str(tmp_path / "in" / "a.pdf"))
+    assert first == base.count_chunks() > 2
+    total = first + base.ingest_directory(str(tmp_path / "in"))
+    assert base.count_chunks() == total and base.ingest_directory(str(tmp_path / "in"), "*.x") == 0
+    assert sorted(r["id"] for r in TableStore(spark, old).read("chunks").collect()) == list(range(1, total + 1))
+    best = base.search("quantum physics", 1)
+    assert best[0]["page_num"] == 3 and set(best[0]) == {"id", "source_pdf", "page_num", "content", "score"}
+    with pytest.raises(FileNotFoundError):
+        base.ingest_file(str(tmp_path / "none.pdf"))
+    state = []
+    for _ in range(2):
+        assert main(["--old-db", old, "--new-db", new, "--namespace", "moved"]) == 0
+        store = TableStore(spark, new)
+        state.append([sorted(r[0] for r in store.read(t).select("id" if t != "links" else "segment_id").collect()) for t in ("resources", "segments", "entities", "links")])
+    assert state[0] == state[1] and len(state[0][0]) == 2 and all(state[0])
+    assert all(len(r["content_hash"]) == 64 for r in TableStore(spark, new).read("resources").collect())

@@ -21,5 +21,5 @@ LINKS = _fields(segment_id=_TEXT, entity_id=_TEXT, link_type=_TEXT, confidence=T
 EMBEDDINGS = _fields(segment_id=_TEXT, model=_TEXT, vector=T.ArrayType(T.FloatType()), created_at=_TIME)
 CHUNKS = _fields(id=T.LongType(), source_pdf=_TEXT, page_num=_INT, chunk_index=_INT, location=_TEXT, content=_TEXT, embedding=T.ArrayType(T.FloatType()))
 
-TABLES = {"resources": RESOURCES, "segments": SEGMENTS, "entities": ENTITIES, "links": LINKS, "embeddings": EMBEDDINGS}
-KEYS = {"resources": ["namespace", "source_uri"], "segments": ["id"], "entities": ["namespace", "type", "name"], "links": ["segment_id", "entity_id", "link_type"], "embeddings": ["segment_id"]}
+TABLES = {"resources": RESOURCES, "segments": SEGMENTS, "entities": ENTITIES, "links": LINKS, "embeddings": EMBEDDINGS, "chunks": CHUNKS}
+KEYS = {"resources": ["namespace", "source_uri"], "segments": ["id"], "entities": ["namespace", "type", "name"], "links": ["segment_id", "entity_id", "link_type"], "embeddings": ["segment_id"], "chunks": ["id"]}
