@@ -22,18 +22,22 @@ from .common import ASCII_SPACE, other_columns, stash, text_or_empty
 
 #: Shorter lines are never duplicates; lines shorter than the second have no near lines.
 MIN_WORDS, NEAR_WORDS = 5, 10
-#: Line hashes that may be broadcast (16 MB); beyond that, a shuffled join picks the lines.
-BROADCAST_LINES = 1_000_000
+#: Lines whose hashes or places may be broadcast (20 MB); beyond that, shuffled joins pick them.
+BROADCAST_LINES = 200_000
 
 
 def _words(line: str) -> Column:
     return F.array_remove(F.split(F.lower(F.col(line)), f"[{ASCII_SPACE}]+", -1), "")
 
 
-def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """_key, _row (hash of the text, which tells rows of equal keys apart), _no, _w (words)."""
-    rows = df.select(F.col(key).alias("_key"), text_or_empty(text).alias("_t"))
-    lines = rows.select("_key", F.xxhash64("_t").alias("_row"), F.posexplode(F.split("_t", "\n", -1)).alias("_no", "_line"))
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """_key, _t, _row (hash of the text, which tells rows of equal keys apart)."""
+    return df.select(F.col(key).alias("_key"), text_or_empty(text).alias("_t")).withColumn("_row", F.xxhash64("_t"))
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """_key, _row, _no, _w (words)."""
+    lines = texts.select("_key", "_row", F.posexplode(F.split("_t", "\n", -1)).alias("_no", "_line"))
     return lines.select("_key", "_row", "_no", _words("_line").alias("_w"))
 
 
@@ -50,7 +54,7 @@ def _edit_distance_at_most_one(a: str, b: str) -> Column:
     return (F.abs(size_a - size_b) <= 1) & ((front == 0) | (front - 1 + back - 1 >= F.greatest(size_a, size_b) - 1))
 
 
-def _near_lines(lines: DataFrame, hashed: DataFrame, near_words: int) -> DataFrame:
+def _near_lines(texts: DataFrame, hashed: DataFrame) -> DataFrame:
     """_h, _g of the lines that have an earlier near line."""
     long = hashed.where(F.size("_halves") > 0)
     halves = long.select("_h", F.explode(F.array_distinct("_halves")).alias("half"))
@@ -58,10 +62,14 @@ def _near_lines(lines: DataFrame, hashed: DataFrame, near_words: int) -> DataFra
     chosen = stash(halves.join(shared, "half", "left_semi").select("_h").distinct(), "chosen")
     if chosen.isEmpty():
         return hashed.select("_h", "_g").limit(0)
-    picked = F.broadcast(chosen) if chosen.count() <= BROADCAST_LINES else chosen
-    place = F.struct("_key", "_row", "_no")
-    found = lines.where(F.size("_w") >= near_words).withColumns({"_h": F.xxhash64("_w"), "_g": F.xxhash64(F.lit(1), "_w")}).join(picked, "_h", "left_semi")
-    first = stash(found.groupBy("_h", "_g").agg(F.min(F.struct(place.alias("at"), F.col("_w").alias("w"))).alias("x")).select("_h", "_g", "x.at", "x.w"), "first")
+    # The earliest places of these lines, gathered by text, say which lines to take from which texts.
+    places = stash(long.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_LINES else chosen, "_h", "left_semi").groupBy("_h", "_g").agg(F.min(F.struct("_key", "_row", "_no")).alias("at")), "places")
+    by_text = places.groupBy("at._key", "at._row").agg(F.collect_list(F.struct("at", "_h", "_g")).alias("wanted"))
+    picked = stash(by_text, "by_text")
+    picked = F.broadcast(picked) if places.count() <= BROADCAST_LINES else picked
+    rows = texts.join(picked, texts["_key"].eqNullSafe(picked["_key"]) & (texts["_row"] == picked["_row"])).select(F.split("_t", "\n", -1).alias("_split"), "wanted")
+    first = rows.select("_split", F.explode("wanted").alias("x")).select("x._h", "x._g", "x.at", F.get("_split", F.col("x.at._no")).alias("_line"))
+    first = stash(first.select("_h", "_g", "at", _words("_line").alias("w")).dropDuplicates(["_h", "_g"]), "first")
 
     # Keys of all lines less a word in one pass over their words: xor of hashed (word, place), with places after the gap moved.
     words = first.select("_h", "_g", "at", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
@@ -97,12 +105,12 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     A null text stays null, an empty one empty; a text may lose all its lines. Repeated rows (equal key and text) count
     as one document and come out alike. Columns named like a made one are replaced, all others pass through."""
     keep = other_columns(df, "n_lines", "n_exact", "n_near")
-    lines = _lines(df, key, text)
+    texts = _texts(df, key, text)
     n = F.size("_w")
     half = lambda size: [F.xxhash64(F.slice("_w", F.lit(1), size)), F.xxhash64(F.lit(2), F.slice("_w", n - size + 1, size))]
     halves = F.when(n >= near_words, F.array(*half((n / 2).cast("int")), *half(((n - 1) / 2).cast("int")))).otherwise(F.array().cast("array<bigint>"))
-    hashed = stash(_hashed(lines, min_words).select("_key", "_row", "_no", "_h", "_g", halves.alias("_halves")), "lines")
-    near = stash(_near_lines(lines, hashed, near_words), "near")
+    hashed = stash(_hashed(_lines(texts), min_words).select("_key", "_row", "_no", "_h", "_g", halves.alias("_halves")), "lines")
+    near = stash(_near_lines(texts, hashed), "near")
     place = F.struct("_key", "_row", "_no")
     firsts = hashed.groupBy("_h", "_g").agg(F.min(place).alias("at"), F.count("*").alias("n")).join(near.withColumn("near", F.lit(True)), ["_h", "_g"], "left").where("n > 1 or near").select("_h", "_g", "at", F.coalesce("near", F.lit(False)).alias("near"))
     taken = hashed.select("_key", "_row", "_no", "_h", "_g").join(stash(firsts, "firsts"), ["_h", "_g"]).where(F.col("near") | (place != F.col("at")))
