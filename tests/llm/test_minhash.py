@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from tomewright.llm import minhash
 from tomewright.llm.graph import connected_components
 
@@ -57,7 +59,9 @@ def corpus(seed, groups=12, copies=14, far=25):
     return rows
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [minhash.BLOCK_SHINGLES, 0])
+def test_components_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
     rows = corpus(1)
     df = spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, component_id string").repartition(5)
     got = minhash.near_duplicates(df, words=3, threshold=(85, 100)).collect()

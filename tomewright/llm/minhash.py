@@ -6,11 +6,11 @@
 2. Texts with equal shingle sets are one node from here on, so a large group of copies is one row.
 3. In each bucket of two or more nodes, edges run from one centre to the others: pairs grow with the members, not with
    their square. Edges are confirmed on the full sets; components of confirmed links make classes.
-4. A star may miss a link between two of its outer nodes. Buckets whose members aren't one class yet go
-   through further rounds: first, nodes that provably can't link to any other (too few of their shingles occur
-   in any other open node) leave; then other centres, four times as many each round, are tried against
-   members of other classes. A node that was a centre of a bucket is done there. When no bucket is open, every pair
-   that shares a bucket is in one class, was compared, or was excluded by the bound.
+4. A star may miss a link between two of its outer nodes. In buckets whose members aren't one class yet, nodes that provably
+   can't link to any other (too few of their shingles occur in any other open node) leave. Each pair still open has a node outside its
+   bucket's largest class. If the shingles of those nodes are few enough to be sent to every task, one pass compares all open
+   nodes with them. If not, further rounds of stars come first, with four times as many centres each round; a node that was a
+   centre of a bucket is done there. In the end every pair that shares a bucket is in one class, was compared, or was excluded.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BANDS = 42
 MISS = 1e-8
 #: Node ids that may be broadcast to pick texts (8 MB); beyond that, a shuffled join picks them.
 BROADCAST_NODES = 1_000_000
+#: Shingles of outer nodes that may be sent to all tasks at once (8 bytes each); beyond that, rounds of joins compare them.
+BLOCK_SHINGLES = 2_000_000
 MEMO_WORDS = 500_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -179,6 +181,54 @@ def _still_possible(open_rows: DataFrame, sets: DataFrame, threshold: tuple[int,
     return counts.join(sets.select("node", "size"), "node").join(mates, "node").where(F.col("shared") * (low + high) >= (F.col("size") + least_mate) * low).select("node")
 
 
+def _in_open_buckets(labelled: DataFrame) -> DataFrame:
+    """The rows (bucket, node, component) of buckets that hold more than one component."""
+    labelled = stash(labelled, "labelled")
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    return stash(labelled.join(stash(split, "split"), "bucket", "left_semi"), "open")
+
+
+def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels after links between components (a, b) merge them. Only the components that merge are worked on."""
+    merged = stash(connected_components(found), "merged").select(F.col("node").alias("component"), F.col("component").alias("into"))
+    moved = labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    alone = merged.select(F.col("component").alias("node"), F.col("into").alias("component")).join(labels, "node", "left_anti")
+    return stash(moved.unionByName(alone), "labels")
+
+
+def _against_block(rows: DataFrame, block: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between components of rows and of a block of bounded size, both (node, component, size, shingles). The block's shingles
+    become an inverted index, sent to the tasks; each row is compared with the whole block by counting there, and names each
+    component that it links to once."""
+    low, high = threshold
+    held = block.select("component", "shingles").toArrow()
+    names, sets = held["component"].to_pylist(), held["shingles"].combine_chunks()
+    lengths = np.asarray(sets.value_lengths(), np.int64)
+    flat = np.asarray(sets.flatten(), np.int64)
+    order = np.argsort(flat, kind="stable")
+    keys, starts = np.unique(flat[order], return_index=True)
+    sent = rows.sparkSession.sparkContext.broadcast((names, lengths, keys, np.append(starts, len(flat)), np.repeat(np.arange(len(names)), lengths)[order]))
+    kind = rows.schema["component"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, lengths, keys, starts, owners = sent.value
+        for batch in batches:
+            a, b = [], []
+            for component, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = values.values.to_numpy()
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                at = at[keys[at] == own]
+                counts = starts[at + 1] - starts[at]
+                places = np.repeat(starts[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+                shared = np.bincount(owners[places], minlength=len(names))
+                linked = {names[i] for i in np.flatnonzero(shared * high >= (len(own) + lengths - shared) * low)} - {component}
+                a += [component] * len(linked)
+                b += sorted(linked)
+            yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b, batch.schema.field(0).type)], names=["a", "b"])
+
+    return rows.select("component", "shingles").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """Per row of df: key, n_shingles (size of the set), component_id (smallest key of its class), kept (key = component_id).
 
@@ -200,24 +250,32 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     open_rows = members.where("node <> centre").select("bucket", "node")  # a centre has met all members
     round_no = 0
     while True:
-        labelled = open_rows.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        state = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-        labelled = stash(labelled.join(stash(state.select("bucket"), "state"), "bucket", "left_semi"), "open")
+        labelled = _in_open_buckets(open_rows.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
         if labelled.isEmpty():
             break
         possible = stash(_still_possible(labelled.select("bucket", "node"), sets, threshold), "possible")
-        labelled = labelled.join(possible, "node", "left_semi")
-        state = stash(labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(round_no))).alias("centre")).where("low <> high"), "state")
-        labelled = stash(labelled.join(state, "bucket"), "open")
+        labelled = _in_open_buckets(labelled.join(possible, "node", "left_semi"))
         if labelled.isEmpty():
             break
+        # Every pair still to be compared has a node outside its bucket's largest class.
+        weights = labels.groupBy("component").agg(F.count("*").alias("weight"))
+        weighed = labelled.join(weights, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
+        largest = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "component")).alias("x")).select("bucket", F.col("x.component").alias("largest"))
+        outer = stash(weighed.join(largest, "bucket").where("component <> largest").select("node", "component").distinct(), "outer")
+        if (outer.join(sets, "node").agg(F.sum("size")).first()[0] or 0) <= BLOCK_SHINGLES:
+            nodes_open = labelled.select("node", "component").distinct()
+            labels = _relabelled(labels, stash(_against_block(nodes_open.join(sets, "node"), outer.join(sets, "node"), threshold), "found"))
+            break
         drawn = F.pmod(F.xxhash64("node", F.lit(round_no)), F.lit(1 << 30)) * F.col("n") < F.lit(4**round_no << 30)
-        centres = labelled.where(drawn | (F.col("node") == F.col("centre"))).select("bucket", F.col("node").alias("a"), F.col("component").alias("component_a"))
-        centres = stash(centres, "centres")
-        pairs = centres.join(labelled.select("bucket", F.col("node").alias("b"), "component"), "bucket").where("a <> b and component_a <> component")
-        links = stash(links.unionByName(_confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, threshold)), "links")
-        labels = stash(connected_components(links), "labels")
-        open_rows = labelled.select("bucket", "node").join(centres.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+        state = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(round_no))).alias("centre"))
+        counted = stash(labelled.join(stash(state, "state"), "bucket"), "open")
+        centres = stash(counted.where(drawn | (F.col("node") == F.col("centre"))).select("bucket", F.col("node").alias("a"), F.col("component").alias("component_a")), "centres")
+        pairs = centres.join(counted.select("bucket", F.col("node").alias("b"), "component"), "bucket").where("a <> b and component_a <> component")
+        found = _confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, threshold)
+        side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in"))
+        found = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+        labels = _relabelled(labels, stash(found, "found"))
+        open_rows = counted.select("bucket", "node").join(centres.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
         round_no += 1
     classes = nodes.join(labels, "node", "left").where("copies > 1 or component is not null").select("set_key", F.coalesce("component", "node").alias("class"))
     out = signed.select("doc", "n_shingles", "set_key").join(stash(classes, "classes"), "set_key", "left")
