@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import texts_in_small_batches
+
 #: Entries that a worker's memo may hold before it starts afresh; longer words aren't kept.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 MEMO_WORD_CHARS = 64
 #: Words with more parts are merged by a heap instead of by scans.
 SCAN_PARTS = 48
@@ -155,9 +157,12 @@ def _map_texts(df: DataFrame, text: str, keep: list[str], vocabulary_path: str,
         for batch in batches:
             rows = [row(codec, value.as_py() or "") for value in batch.column(text)]
             columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind, _) in enumerate(made)]
+            del rows
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, names=[*keep, *(name for name, _, _ in made)])
+            del columns
+        pa.default_memory_pool().release_unused()
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return texts_in_small_batches(df).select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:

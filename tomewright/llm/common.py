@@ -21,6 +21,19 @@ def text_or_empty(column: Column | str = "text") -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+#: Rows of an Arrow batch of texts. The default of 10,000 holds tens of megabytes in the JVM and again in each Python worker.
+BATCH_ROWS = 2_000
+
+
+def texts_in_small_batches(df: DataFrame) -> DataFrame:
+    """Before a Python pass over texts: lower the session's Arrow batch size to BATCH_ROWS, if it is higher."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(df.sparkSession.conf.get(key))
+    if rows <= 0 or rows > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only where the session names none (tests, one machine) a local one is made."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import texts_in_small_batches
+
 WINDOW = 13
 #: Benchmark bytes of one block, which is what a broadcast may hold; more items make more passes.
 BLOCK_BYTES = 16_000_000
@@ -281,7 +283,7 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
 
         return frame.mapInArrow(run, schema)
 
-    out, first = df.select(*carried), True
+    out, first = texts_in_small_batches(df).select(*carried), True
     for block in _blocks(benchmark, item, item_text, block_bytes):
         out, first = pass_over(out, block, first), False
     if first:

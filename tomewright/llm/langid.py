@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import texts_in_small_batches
+
 UNKNOWN = "und"
 #: Bounds of the training sample: texts a language, characters a text (a slice from a place set by the key's hash),
 #: bytes of a dictionary, languages.
@@ -110,4 +112,4 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list
             columns = [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_()), pa.array([UNKNOWN if r else b for b, r in zip(best, rejected, strict=True)], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, names=schema.names)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return texts_in_small_batches(df).select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

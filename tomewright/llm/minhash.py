@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash
+from .common import stash, texts_in_small_batches
 from .graph import connected_components
 
 WORDS, THRESHOLD = 5, (80, 100)
@@ -35,7 +35,7 @@ MISS = 1e-8
 BROADCAST_NODES = 1_000_000
 #: Shingles of outer nodes that may be sent to all tasks at once (8 bytes each); beyond that, rounds of joins compare them.
 BLOCK_SHINGLES = 2_000_000
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -133,7 +133,7 @@ def signatures(df: DataFrame, key: str, text: str, words: int, bands: int, rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "n_shingles", "set_key", "bands"])
 
     schema = T.StructType([T.StructField("doc", df.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return df.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return texts_in_small_batches(df).select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def _sets(df: DataFrame, key: str, text: str, nodes: DataFrame, words: int) -> DataFrame:

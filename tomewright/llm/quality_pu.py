@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import texts_in_small_batches
+
 #: Bounds of the fitting sample, in documents.
 MOST_POSITIVE, MOST_UNLABELLED = 12_000, 24_000
 HIDDEN, STEPS, RATE, DECAY, SEED = 16, 600, 0.02, 1e-4, 7
@@ -161,7 +163,7 @@ def _feature_rows(df: DataFrame, text: str) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([np.asarray(features(v.as_py()), "<f4").tobytes() for v in batch.column(0)], pa.binary())], names=["x"])
 
-    rows = df.select(text).mapInArrow(run, "x binary").collect()
+    rows = texts_in_small_batches(df).select(text).mapInArrow(run, "x binary").collect()
     return np.array(sorted((np.frombuffer(r["x"], "<f4") for r in rows), key=bytes), dtype=float).reshape(-1, N_FEATURES)
 
 
@@ -193,4 +195,4 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", keep: list[str
             made = model.score(x.astype("<f4").astype(float)) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(made, pa.float64())], names=schema.names)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return texts_in_small_batches(df).select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
