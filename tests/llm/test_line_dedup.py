@@ -79,3 +79,49 @@ def test_native(spark):
     df = spark.createDataFrame(corpus(1), "doc_id long, text string")
     plan = line_dedup.dedup_lines(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_bound_grows_with_length(spark):
+    draw = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(40)]
+    bases = [[draw.choice(vocabulary) for _ in range(n)] for n in (28, 29, 30, 31, 44, 45, 60, 61, 90, 150)] + [["same"] * 40, ["same"] * 43]
+    docs = []
+    for i in range(160):
+        line = list(draw.choice(bases))
+        for _ in range(draw.choice([0, 1, 2, 3, 4, 5, 6, 11])):
+            at = draw.randrange(len(line))
+            kind = draw.randrange(3)
+            line[at : at + (kind != 1)] = [] if kind == 0 else [draw.choice(vocabulary)]
+        docs.append((i, " ".join(line)))
+    first, expected = {}, {}
+    for key, text in docs:
+        w = tuple(text.split())
+        repeated = w in first
+        if not repeated:
+            first[w] = any(edits(w, v) <= max(1, max(len(w), len(v)) // 15) for v in first)
+        expected[key] = (0, 1) if first[w] else (int(repeated), 0)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_exact"], r["n_near"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == expected and 20 < sum(near for _, near in expected.values()) < 155
+    one = {r["doc_id"]: r["n_near"] for r in line_dedup.dedup_lines(df, words_per_edit=None).collect()}
+    assert sum(one.values()) < sum(near for _, near in expected.values())
+    plan = line_dedup.dedup_lines(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_query_of_all_lengths(spark, tmp_path):
+    from tomewright.llm.queries import QUERIES
+
+    words = [f"w{i}" for i in range(85)]
+    spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x", *words[1:84], "y"]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    near = lambda name: {r["doc_id"]: r["n_near"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert near("op8_line_dedup_by_length") == {1: 0, 2: 1}

@@ -1,7 +1,7 @@
 """Line deduplication over a corpus: repeated and nearly repeated lines keep their earliest place.
 
-A line is its sequence of lower-cased words; two lines are near if one word is replaced, inserted or deleted. All steps are
-DataFrame operations:
+A line is its sequence of lower-cased words; two lines are near if one word is replaced, inserted or deleted, or, from 30
+words on, one word in each full 15 of the longer line. All steps are DataFrame operations:
 
 1. Equal lines are one (by 128-bit hashes); its earliest place is the least (key, line number).
 2. A line that may have a near line shares its first or its last half of words with another one, whatever the edit
@@ -11,6 +11,11 @@ DataFrame operations:
    line equal to a longer one less a word pairs with the earliest of the other side. Pairs grow with the
    keys, not with their square.
 4. The edit distance of each pair is verified on the words. Lines with an earlier near line go, wherever they stand.
+5. Lines that more edits may join share a run of 10 words, as k edits cut N words into k + 1 runs. Of each 5 neighbouring
+   six-word runs the least hash is a key, so two lines with such a run share a key, wherever it stands. A line meets the
+   earliest line of its key and length class first; only lines not near to that one meet all earlier ones of their keys.
+   Word edit distances are verified by characters that stand for words. Keys of which many lines stay open cost up to
+   the square of these.
 """
 
 from __future__ import annotations
@@ -22,6 +27,10 @@ from .common import ASCII_SPACE, other_columns, stash, text_or_empty
 
 #: Shorter lines are never duplicates; lines shorter than the second have no near lines.
 MIN_WORDS, NEAR_WORDS = 5, 10
+#: Lines of twice as many words or more may differ by one word in each full so many.
+WORDS_PER_EDIT = 15
+#: Words of a run that is hashed into a key of step 5.
+GRAM_WORDS = 6
 #: Lines whose hashes or places may be broadcast (20 MB); beyond that, shuffled joins pick them.
 BROADCAST_LINES = 200_000
 
@@ -54,6 +63,17 @@ def _edit_distance_at_most_one(a: str, b: str) -> Column:
     return (F.abs(size_a - size_b) <= 1) & ((front == 0) | (front - 1 + back - 1 >= F.greatest(size_a, size_b) - 1))
 
 
+def _first_lines(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """_h, _g, at, w (words) of the lines in places (_h, _g, at)."""
+    # The earliest places of these lines, gathered by text, say which lines to take from which texts.
+    by_text = places.groupBy("at._key", "at._row").agg(F.collect_list(F.struct("at", "_h", "_g")).alias("wanted"))
+    picked = stash(by_text, "by_text")
+    picked = F.broadcast(picked) if places.count() <= BROADCAST_LINES else picked
+    rows = texts.join(picked, texts["_key"].eqNullSafe(picked["_key"]) & (texts["_row"] == picked["_row"])).select(F.split("_t", "\n", -1).alias("_split"), "wanted")
+    first = rows.select("_split", F.explode("wanted").alias("x")).select("x._h", "x._g", "x.at", F.get("_split", F.col("x.at._no")).alias("_line"))
+    return stash(first.select("_h", "_g", "at", _words("_line").alias("w")).dropDuplicates(["_h", "_g"]), "first")
+
+
 def _near_lines(texts: DataFrame, hashed: DataFrame) -> DataFrame:
     """_h, _g of the lines that have an earlier near line."""
     long = hashed.where(F.size("_halves") > 0)
@@ -62,14 +82,7 @@ def _near_lines(texts: DataFrame, hashed: DataFrame) -> DataFrame:
     chosen = stash(halves.join(shared, "half", "left_semi").select("_h").distinct(), "chosen")
     if chosen.isEmpty():
         return hashed.select("_h", "_g").limit(0)
-    # The earliest places of these lines, gathered by text, say which lines to take from which texts.
-    places = stash(long.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_LINES else chosen, "_h", "left_semi").groupBy("_h", "_g").agg(F.min(F.struct("_key", "_row", "_no")).alias("at")), "places")
-    by_text = places.groupBy("at._key", "at._row").agg(F.collect_list(F.struct("at", "_h", "_g")).alias("wanted"))
-    picked = stash(by_text, "by_text")
-    picked = F.broadcast(picked) if places.count() <= BROADCAST_LINES else picked
-    rows = texts.join(picked, texts["_key"].eqNullSafe(picked["_key"]) & (texts["_row"] == picked["_row"])).select(F.split("_t", "\n", -1).alias("_split"), "wanted")
-    first = rows.select("_split", F.explode("wanted").alias("x")).select("x._h", "x._g", "x.at", F.get("_split", F.col("x.at._no")).alias("_line"))
-    first = stash(first.select("_h", "_g", "at", _words("_line").alias("w")).dropDuplicates(["_h", "_g"]), "first")
+    first = _first_lines(texts, stash(long.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_LINES else chosen, "_h", "left_semi").groupBy("_h", "_g").agg(F.min(F.struct("_key", "_row", "_no")).alias("at")), "places"))
 
     # Keys of all lines less a word in one pass over their words: xor of hashed (word, place), with places after the gap moved.
     words = first.select("_h", "_g", "at", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
@@ -97,10 +110,66 @@ def _near_lines(texts: DataFrame, hashed: DataFrame) -> DataFrame:
     return pairs.join(right, "partner").join(left, ["_h", "_g"]).where(_edit_distance_at_most_one("w_a", "w_b")).select("_h", "_g").distinct()
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def _run_keys(words: str, per: int) -> Column:
+    """Least hashes of neighbouring runs, such that lines in reach of more than one edit share one."""
+    run = -(-2 * (per - 1) // 3)
+    gram = min(GRAM_WORDS, run)
+    near = run - gram + 1
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - gram), lambda i: F.xxhash64(F.slice(w, i + 1, gram)))
+    least = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - near), lambda i: F.array_min(F.slice(h, i + 1, near)))
+    # Arrays of one element bind what is used for each place, so that it is computed once.
+    return F.array_distinct(F.transform(F.transform(F.array(words), hashes), least)[0])
+
+
+def _as_characters(numbers: Column) -> Column:
+    """One character for each number from 0 on, without the surrogates (numbers repeat beyond all 1,112,000)."""
+    point = lambda x: x + F.when(x >= 0xD7FF, 0x801).otherwise(1)
+    return F.decode(F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(point(F.pmod(x, F.lit(1_112_000)))), 8, "0")), "")), "UTF-32")
+
+
+def _within(pairs: DataFrame, lines: DataFrame, per: int) -> DataFrame:
+    """_h, _g of the pairs (_h, _g, p_h, p_g) whose word edit distance is in the bound."""
+    right = lines.select(F.col("_h").alias("p_h"), F.col("_g").alias("p_g"), F.col("w").alias("w_b"), F.col("code").alias("code_b"))
+    left = lines.select("_h", "_g", F.col("w").alias("w_a"), F.col("code").alias("code_a"))
+    bound = f"greatest(size(w_a), size(w_b)) div {per}"
+    # Characters shared by different words make distances less, never more: a pair that passes is checked on its own words.
+    passed = pairs.join(right, ["p_h", "p_g"]).join(left, ["_h", "_g"]).where(F.expr(f"levenshtein(code_a, code_b, cast({bound} as int)) >= 0"))
+    passed = passed.withColumn("known", F.array_distinct(F.concat("w_a", "w_b")))
+    apart = F.size(F.array_distinct(F.transform("known", _number))) == F.size("known")
+    own = lambda w: _as_characters(F.transform(w, lambda x: F.array_position(F.col("known"), x)))
+    return passed.where(apart | (F.levenshtein(own("w_a"), own("w_b")) <= F.expr(bound))).select("_h", "_g").distinct()
+
+
+def _number(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(1_112_000))
+
+
+def _near_by_more_edits(texts: DataFrame, hashed: DataFrame, near: DataFrame, per: int) -> DataFrame:
+    """_h, _g of the lines not in near that have an earlier line in reach of more than one edit."""
+    long = hashed.where(F.size("_keys") > 0).select("_h", "_g", F.struct("_key", "_row", "_no").alias("at"), "_n", F.explode("_keys").alias("k"))
+    shared = stash(long.groupBy("k").agg(F.min("_h").alias("low"), F.max("_h").alias("high")).where("low <> high").select("k"), "shared")
+    members = stash(long.join(shared, "k", "left_semi").groupBy("k", "_h", "_g", "_n").agg(F.min("at").alias("at")).withColumn("class", F.floor(F.log("_n") * 8)), "members")
+    if members.isEmpty():
+        return near
+    lines = _first_lines(texts, stash(members.select("_h", "_g", "at").distinct(), "places"))
+    lines = stash(lines.withColumn("code", _as_characters(F.transform("w", _number))), "coded")
+    longer = F.greatest("_n", "p_n")
+    reach = (F.col("p_at") < F.col("at")) & (longer >= 2 * per) & (F.abs(F.col("_n") - F.col("p_n")) <= F.floor(longer / per))
+    named = [F.col(c).alias(f"p{c if c.startswith('_') else '_' + c}") for c in ("_h", "_g", "_n", "at")]
+    pair = ["_h", "_g", "p_h", "p_g"]
+
+    earliest = members.groupBy("k", "class").agg(F.min(F.struct("at", "_h", "_g", "_n")).alias("e")).select("k", "class", "e.*").select("k", "class", *named)
+    pairs = members.join(near, ["_h", "_g"], "left_anti").join(earliest, ["k", "class"]).where(reach).select(*pair).distinct()
+    found = stash(near.unionByName(_within(pairs, lines, per)), "near_first")
+    pairs = members.join(found, ["_h", "_g"], "left_anti").join(members.select("k", *named), "k").where(reach).select(*pair).distinct()
+    return stash(found.unionByName(_within(stash(pairs, "open_pairs"), lines, per)), "near_more")
+
+
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, words_per_edit: int | None = WORDS_PER_EDIT) -> DataFrame:
     """df with duplicate lines taken out of its texts, and n_lines, n_exact, n_near (lines there were, taken as equal, taken
     as near). A line is taken if it has min_words words and an equal line stands earlier, or near_words words and an
-    earlier line is one word edit away; earlier is by key (null first), then line number.
+    earlier line is one word edit away, or as many as the longer line has full words_per_edit words (None: one edit whatever
+    the length); earlier is by key (null first), then line number.
 
     A null text stays null, an empty one empty; a text may lose all its lines. Repeated rows (equal key and text) count
     as one document and come out alike. Columns named like a made one are replaced, all others pass through."""
@@ -109,8 +178,13 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     n = F.size("_w")
     half = lambda size: [F.xxhash64(F.slice("_w", F.lit(1), size)), F.xxhash64(F.lit(2), F.slice("_w", n - size + 1, size))]
     halves = F.when(n >= near_words, F.array(*half((n / 2).cast("int")), *half(((n - 1) / 2).cast("int")))).otherwise(F.array().cast("array<bigint>"))
-    hashed = stash(_hashed(_lines(texts), min_words).select("_key", "_row", "_no", "_h", "_g", halves.alias("_halves")), "lines")
+    made = [halves.alias("_halves")]
+    if words_per_edit:
+        keys = F.when(n >= max(near_words, 2 * words_per_edit - 2), _run_keys("_w", words_per_edit)).otherwise(F.array().cast("array<bigint>"))
+        made += [n.alias("_n"), keys.alias("_keys")]
+    hashed = stash(_hashed(_lines(texts), min_words).select("_key", "_row", "_no", "_h", "_g", *made), "lines")
     near = stash(_near_lines(texts, hashed), "near")
+    near = _near_by_more_edits(texts, hashed, near, words_per_edit) if words_per_edit else near
     place = F.struct("_key", "_row", "_no")
     firsts = hashed.groupBy("_h", "_g").agg(F.min(place).alias("at"), F.count("*").alias("n")).join(near.withColumn("near", F.lit(True)), ["_h", "_g"], "left").where("n > 1 or near").select("_h", "_g", "at", F.coalesce("near", F.lit(False)).alias("near"))
     taken = hashed.select("_key", "_row", "_no", "_h", "_g").join(stash(firsts, "firsts"), ["_h", "_g"]).where(F.col("near") | (place != F.col("at")))

@@ -58,11 +58,20 @@ def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= KEPT_SCORE).cast("int").alias("predicted"))
 
 
-def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _line_dedup(spark: SparkSession, sf_dir: str, words_per_edit: int | None) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), words_per_edit=words_per_edit)
     return cleaned.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(text_or_empty("text"), 256).alias("text_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edit whatever the length, as in its SQL."""
+    return _line_dedup(spark, sf_dir, None)
+
+
+def op8_line_dedup_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_dedup(spark, sf_dir, line_dedup.WORDS_PER_EDIT)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     digest = F.sha2(F.array_join("hit_items", ","), 256)
@@ -85,6 +94,7 @@ QUERIES = {
     "op6_minhash": op6_minhash,
     "op7_quality_pu": op7_quality_pu,
     "op8_line_dedup": op8_line_dedup,
+    "op8_line_dedup_by_length": op8_line_dedup_by_length,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
