@@ -33,6 +33,12 @@ def test_same_rows(spark, base, name):
     assert rows(df.columns, df.collect()) == rows(sql.columns, sql.fetchall())
 
 
+def test_batch_of_every_fiftieth_vector(spark, base, monkeypatch):
+    monkeypatch.setattr("tomewright.plans.catalogue.BATCH_QUERIES", 3)
+    found = {r["query_id"] for r in QUERIES["semantic_topk_batch_every50"](spark, SF).collect()}
+    assert found == {r[0] for r in base.sql("SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0").fetchall()} and max(found) >= 10
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from .fixtures import CUSTOM, DENSE, Fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NAMESPACE = "en"
+#: Queries of a batch search that one pass over the vectors answers.
+BATCH_QUERIES = 200
 
 
 def query(f: Callable[[Fixture], DataFrame]) -> Callable[[Fixture], DataFrame]:
@@ -381,6 +384,19 @@ def semantic_topk_batch(x):
     return best.select("query_id", "segment_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def semantic_topk_batch_every50(x):
+    """Every vector whose id is divisible by 50 against all; semantic_topk_batch keeps the ten queries of its SQL."""
+    rows = x.table("embeddings").where("vec_id % 50 = 0").orderBy("vec_id").toLocalIterator()
+    queries = {r["vec_id"]: r["embedding"] for r in rows}
+    names = sorted(queries)
+    blocks = [{q: queries[q] for q in names[i : i + BATCH_QUERIES]} for i in range(0, len(names), BATCH_QUERIES)]
+    if not blocks:
+        return x.embeddings.limit(0).select(F.lit(0).cast("long").alias("query_id"), "segment_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    best = reduce(DataFrame.unionByName, [search.top_k_batch(x.embeddings, block, 5) for block in blocks])
+    return best.select("query_id", "segment_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query
 def embedding_lookup(x):
     return x.embeddings.where("vec_id = 7").select("segment_id", "model", F.size("vector").alias("size"), F.round(F.element_at("vector", 1).cast("double"), 6).alias("first"))

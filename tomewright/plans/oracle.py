@@ -167,6 +167,7 @@ _BODIES = {
     "semantic_topk": "SELECT segment_id, round(score, 6) AS score FROM (SELECT segment_id, list_cosine_similarity(vector::double[], q::double[]) AS score FROM emb, q0) ORDER BY round(score, 12) DESC, segment_id LIMIT 10",
     "semantic_topk_namespace": "SELECT * FROM semantic LIMIT 5",
     "semantic_topk_batch": "SELECT query_id, segment_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, segment_id) AS rank FROM (SELECT e.vec_id AS query_id, segment_id, list_cosine_similarity(vector::double[], embedding::double[]) AS score FROM emb, embeddings AS e WHERE e.vec_id < 10)) WHERE rank <= 5",
+    "semantic_topk_batch_every50": "SELECT query_id, segment_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, segment_id) AS rank FROM (SELECT e.vec_id AS query_id, segment_id, list_cosine_similarity(vector::double[], embedding::double[]) AS score FROM emb, embeddings AS e WHERE e.vec_id % 50 = 0)) WHERE rank <= 5",
     "embedding_lookup": "SELECT segment_id, 'given' AS model, len(vector)::INT AS size, round(vector[1]::double, 6) AS first FROM emb WHERE vec_id = 7",
     "missing_embeddings": "SELECT id, segment_index FROM seg WHERE id NOT IN (SELECT segment_id FROM emb)",
     "upsert_embeddings": "SELECT segment_id, CASE WHEN segment_id < '8' THEN 'later' ELSE 'given' END AS model, round(vector[1]::double, 6) AS first FROM emb",
