@@ -34,7 +34,8 @@ def append_chunks(known: DataFrame, chunks: DataFrame) -> DataFrame:
     running = Window.orderBy("source_pdf").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).select("source_pdf", "before")
     place = F.row_number().over(Window.partitionBy("source_pdf").orderBy("page_num", "chunk_index"))
-    rows = chunks.withColumn("place", place).join(per, "source_pdf").join(F.broadcast(start))
+    per = per.withColumnRenamed("source_pdf", "of")
+    rows = chunks.withColumn("place", place).join(per, F.col("source_pdf").eqNullSafe(F.col("of"))).join(F.broadcast(start))
     fresh = rows.select(*[(F.col("start") + F.col("before") + F.col("place")).cast("long").alias("id") if c == "id" else (F.col(c) if c in chunks.columns else F.lit(None).cast(known.schema[c].dataType).alias(c)) for c in known.columns])
     return known.unionByName(fresh)
 

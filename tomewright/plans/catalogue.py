@@ -464,6 +464,23 @@ def legacy_count(x):
     return _legacy(x).agg(F.count("*").alias("chunks"), F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("max_id"))
 
 
+def _legacy_all(x: Fixture) -> DataFrame:
+    """Two batches that hold every chunk; _legacy keeps to the sources of its SQL."""
+    empty = x.chunks.select(F.lit(0).cast("long").alias("id"), "source_pdf", "page_num", "chunk_index", "location", "content").limit(0)
+    first = F.coalesce(F.col("source_pdf").like("/data/en/%"), F.lit(False))
+    return legacy.append_chunks(legacy.append_chunks(empty, x.chunks.where(first)), x.chunks.where(~first))
+
+
+@query
+def legacy_append_all(x):
+    return _legacy_all(x).select("id", "source_pdf", "page_num", "chunk_index")
+
+
+@query
+def legacy_count_all(x):
+    return _legacy_all(x).agg(F.count("*").alias("chunks"), F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("max_id"))
+
+
 @query
 def legacy_search(x):
     vectors = x.table("embeddings").select(F.concat(F.lit("doc://"), F.col("vec_id").cast("string")).alias("source_uri"), F.col("embedding").alias("vector"))

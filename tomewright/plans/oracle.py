@@ -86,6 +86,7 @@ CTES = {
     "words": r"SELECT '/data/' || namespace || '/' || substr(source_uri, 7) || '.pdf' AS source_pdf, source_uri, page_num, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM page",
     "chunk": "SELECT source_pdf, source_uri, page_num, i::INT AS chunk_index, 'page_' || page_num || '_chunk_' || i AS location, array_to_string(w[i * 35 + 1:i * 35 + 40], ' ') AS content FROM (SELECT *, unnest(range(0, greatest(1, (len(w) - 5 + 34) // 35))) AS i FROM words WHERE len(w) > 0)",
     "appended": "SELECT row_number() OVER (ORDER BY (source_pdf LIKE '/data/fr/%')::INT, source_pdf, page_num, chunk_index) AS id, * FROM chunk WHERE source_pdf LIKE '/data/en/%' OR source_pdf LIKE '/data/fr/%'",
+    "appended_all": "SELECT row_number() OVER (ORDER BY (NOT coalesce(source_pdf LIKE '/data/en/%', false))::INT, source_pdf NULLS FIRST, page_num, chunk_index) AS id, * FROM chunk",
     "moved": f"""SELECT *, 'file://' || source_pdf AS uri, (row_number() OVER (PARTITION BY source_pdf ORDER BY page_num, chunk_index) - 1)::INT AS segment_index, {_id("'migrated'", "'file://' || source_pdf", "page_num || ':' || chunk_index", 'content')} AS id, content AS text FROM chunk""",
 }
 
@@ -176,6 +177,8 @@ _BODIES = {
     "legacy_chunk": "SELECT source_pdf, page_num, chunk_index, location, content FROM chunk",
     "legacy_append": "SELECT id, source_pdf, page_num, chunk_index FROM appended",
     "legacy_count": "SELECT count(*) AS chunks, coalesce(max(id), 0) AS max_id FROM appended",
+    "legacy_append_all": "SELECT id, source_pdf, page_num, chunk_index FROM appended_all",
+    "legacy_count_all": "SELECT count(*) AS chunks, coalesce(max(id), 0) AS max_id FROM appended_all",
     "legacy_search": "SELECT source_pdf, page_num, content, round(score, 6) AS score FROM (SELECT c.*, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) AS score FROM chunk AS c JOIN embeddings AS e ON c.source_uri = 'doc://' || e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 3) AS q WHERE page_num = 1 AND chunk_index = 0) ORDER BY round(score, 12) DESC, source_pdf LIMIT 5",
     "legacy_sources": "SELECT DISTINCT source_pdf FROM chunk",
     "migrate_sources": "SELECT DISTINCT sha256('migrated|file://' || source_pdf) AS id, 'migrated' AS namespace, 'file://' || source_pdf AS source_uri, 'legacy_' || replace(source_pdf, '/', '_') AS content_hash, source_pdf AS original_path FROM chunk",
