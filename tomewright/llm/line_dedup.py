@@ -6,13 +6,13 @@ words on, one word in each full 15 of the longer line. All steps are DataFrame o
 1. Equal lines are one (by 128-bit hashes); its earliest place is the least (key, line number).
 2. A line that may have a near line shares its first or its last half of words with another one, whatever the edit
    is: only such lines go on, which spares all others the larger step.
-3. Deletion neighbourhood: a line emits a hashed key for itself and for itself less each word. Equal keys join. Lines
+3. Deletion neighbourhood: a line emits a hashed key for itself and for itself less each word (outside the half it shares). Equal keys join. Lines
    less the same place are one substitution apart, so a group needs only its earliest line as partner; a
    line equal to a longer one less a word pairs with the earliest of the other side. Pairs grow with the
    keys, not with their square.
 4. The edit distance of each pair is verified on the words. Lines with an earlier near line go, wherever they stand.
-5. Lines that more edits may join share a run of 10 words, as k edits cut N words into k + 1 runs. Of each 5 neighbouring
-   six-word runs the least hash is a key, so two lines with such a run share a key, wherever it stands. A line meets the
+5. Lines that more edits may join share a run of 10 words, as k edits cut N words into k + 1 runs. Of each 7 neighbouring
+   four-word runs the least hash is a key, so two lines with such a run share a key, wherever it stands. A line meets the
    earliest line of its key and length class first; only lines not near to that one meet all earlier ones of their keys.
    Word edit distances are verified by characters that stand for words. Keys of which many lines stay open cost up to
    the square of these.
@@ -30,13 +30,18 @@ MIN_WORDS, NEAR_WORDS = 5, 10
 #: Lines of twice as many words or more may differ by one word in each full so many.
 WORDS_PER_EDIT = 15
 #: Words of a run that is hashed into a key of step 5.
-GRAM_WORDS = 6
-#: Lines whose hashes or places may be broadcast (20 MB); beyond that, shuffled joins pick them.
-BROADCAST_LINES = 200_000
+GRAM_WORDS = 4
+#: Characters that stand for words by hash; the 112,000 others are for words whose hashes clash within a pair of lines.
+NUMBERS = 1_000_000
 
 
-def _words(line: str) -> Column:
-    return F.array_remove(F.split(F.lower(F.col(line)), f"[{ASCII_SPACE}]+", -1), "")
+#: White space inside a line that isn't a single space.
+ODD_SPACE = r"[ \t\x0B\x0C\r]{2,}|[\t\x0B\x0C\r]"
+
+
+def _plain(text: Column) -> Column:
+    """Lower case, one space for each run of white space inside a line: words are what stands between single spaces."""
+    return F.lower(F.regexp_replace(text, ODD_SPACE, " "))
 
 
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -44,14 +49,23 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("_key"), text_or_empty(text).alias("_t")).withColumn("_row", F.xxhash64("_t"))
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    """_key, _row, _no, _w (words)."""
-    lines = texts.select("_key", "_row", F.posexplode(F.split("_t", "\n", -1)).alias("_no", "_line"))
-    return lines.select("_key", "_row", "_no", _words("_line").alias("_w"))
+def _lines(texts: DataFrame, min_words: int) -> DataFrame:
+    """_key, _row, _no, _line (words and single spaces), _n (number of words) of the lines of min_words or more."""
+    lines = texts.select("_key", "_row", F.posexplode(F.split(_plain(F.col("_t")), "\n", -1)).alias("_no", "_line")).withColumn("_line", F.trim("_line"))
+    spaces = F.octet_length("_line") - F.octet_length(F.replace(F.col("_line"), F.lit(" "), F.lit("")))
+    return lines.withColumn("_n", F.when(F.col("_line") == "", 0).otherwise(spaces + 1)).where(F.col("_n") >= min_words)
 
 
-def _hashed(lines: DataFrame, min_words: int) -> DataFrame:
-    return lines.where(F.size("_w") >= min_words).withColumns({"_h": F.xxhash64("_w"), "_g": F.xxhash64(F.lit(1), "_w")})
+def _halves(near_words: int, most: int | None) -> Column:
+    """Hashes of the first and the last n/2 words, and for even n also of (n - 1)/2; none for lines without near lines or of more
+    than most words. The line stays a string: its halves are cut at spaces, and no array of words is made."""
+    n = F.col("_n")
+    cut = lambda count: F.call_function("substring_index", F.col("_line"), F.lit(" "), count.cast("int"))
+    pair = lambda size: [F.xxhash64(cut(size)), F.xxhash64(F.lit(2), cut(-size))]
+    large, small = F.floor(n / 2), F.floor((n - 1) / 2)
+    wanted = n >= near_words if most is None else (n >= near_words) & (n <= most)
+    none = F.array().cast("array<bigint>")
+    return F.when(wanted & (n % 2 == 0), F.array(*pair(large), *pair(small))).when(wanted, F.array(*pair(small))).otherwise(none)
 
 
 def _edit_distance_at_most_one(a: str, b: str) -> Column:
@@ -64,61 +78,74 @@ def _edit_distance_at_most_one(a: str, b: str) -> Column:
 
 
 def _first_lines(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """_h, _g, at, w (words) of the lines in places (_h, _g, at)."""
+    """The lines in places (_h, _g, at and others), each once, with w (words) and r, a number that grows with at."""
     # The earliest places of these lines, gathered by text, say which lines to take from which texts.
-    by_text = places.groupBy("at._key", "at._row").agg(F.collect_list(F.struct("at", "_h", "_g")).alias("wanted"))
-    picked = stash(by_text, "by_text")
-    picked = F.broadcast(picked) if places.count() <= BROADCAST_LINES else picked
-    rows = texts.join(picked, texts["_key"].eqNullSafe(picked["_key"]) & (texts["_row"] == picked["_row"])).select(F.split("_t", "\n", -1).alias("_split"), "wanted")
-    first = rows.select("_split", F.explode("wanted").alias("x")).select("x._h", "x._g", "x.at", F.get("_split", F.col("x.at._no")).alias("_line"))
-    return stash(first.select("_h", "_g", "at", _words("_line").alias("w")).dropDuplicates(["_h", "_g"]), "first")
+    rest = [c for c in places.columns if c != "at"]
+    by_text = stash(places.groupBy("at._key", "at._row").agg(F.collect_list(F.struct(*places.columns)).alias("wanted")), "by_text")
+    rows = texts.join(by_text, texts["_key"].eqNullSafe(by_text["_key"]) & (texts["_row"] == by_text["_row"])).select(F.split(_plain(F.col("_t")), "\n", -1).alias("_split"), "wanted")
+    first = rows.select("_split", F.explode("wanted").alias("x")).select("x.at", *[f"x.{c}" for c in rest], F.split(F.trim(F.get("_split", F.col("x.at._no"))), " ", -1).alias("w"))
+    # Numbers instead of places: they are compared and gathered as longs.
+    numbered = first.dropDuplicates(["_h", "_g"]).orderBy("at").withColumn("r", F.monotonically_increasing_id())
+    return stash(numbered.drop("at"), "first")
 
 
 def _near_lines(texts: DataFrame, hashed: DataFrame) -> DataFrame:
-    """_h, _g of the lines that have an earlier near line."""
+    """_h, _g of the lines that have an earlier line one edit away."""
     long = hashed.where(F.size("_halves") > 0)
-    halves = long.select("_h", F.explode(F.array_distinct("_halves")).alias("half"))
+    halves = long.select("_h", F.posexplode("_halves").alias("side", "half")).withColumn("side", F.col("side") % 2)
     shared = stash(halves.groupBy("half").agg(F.min("_h").alias("low"), F.max("_h").alias("high")).where("low <> high").select("half"), "halves")
-    chosen = stash(halves.join(shared, "half", "left_semi").select("_h").distinct(), "chosen")
+    sides = [F.max(F.col("side") == s).alias(f"side{s}") for s in (0, 1)]
+    chosen = stash(halves.join(shared, "half", "left_semi").groupBy("_h").agg(*sides), "chosen")
     if chosen.isEmpty():
         return hashed.select("_h", "_g").limit(0)
-    first = _first_lines(texts, stash(long.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_LINES else chosen, "_h", "left_semi").groupBy("_h", "_g").agg(F.min(F.struct("_key", "_row", "_no")).alias("at")), "places"))
+    places = long.join(chosen, "_h").groupBy("_h", "_g", "side0", "side1").agg(F.min(F.struct("_key", "_row", "_no")).alias("at"))
+    first = _first_lines(texts, stash(places, "places"))
 
     # Keys of all lines less a word in one pass over their words: xor of hashed (word, place), with places after the gap moved.
-    words = first.select("_h", "_g", "at", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+    n = F.size("w")
+    words = first.repartition("r").select("r", n.alias("n"), "side0", "side1", F.posexplode("w").alias("i", "word"))
     seeds = (0, 1)
     words = words.withColumns({f"a{s}": F.xxhash64(F.lit(s), "word", "i") for s in seeds} | {f"b{s}": F.xxhash64(F.lit(s), "word", F.col("i") - 1) for s in seeds})
-    line = Window.partitionBy("_h", "_g").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("r").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     words = words.withColumns({f"{c}{s}_to": F.bit_xor(f"{c}{s}").over(line) for c in "ab" for s in seeds})
-    whole = Window.partitionBy("_h", "_g")
+    whole = Window.partitionBy("r")
     words = words.withColumns({f"{c}{s}_all": F.bit_xor(f"{c}{s}").over(whole) for c in "ab" for s in seeds})
     gap = [F.col(f"a{s}_to").bitwiseXOR(F.col(f"a{s}")).bitwiseXOR(F.col(f"b{s}_all")).bitwiseXOR(F.col(f"b{s}_to")) for s in seeds]
     own = [F.col(f"a{s}_all") for s in seeds]
-    keyed = lambda role, n, values, *more: F.struct(F.lit(role).alias("role"), *[F.xxhash64(n, v, *more).alias(f"k{s}") for s, v in zip(seeds, values, strict=True)])
-    replaced = keyed(0, F.col("n"), gap, F.col("i"))
-    shorter = keyed(2, F.col("n") - 1, gap)
+    keyed = lambda role, n, values, *more: F.struct(F.lit(role).cast("byte").alias("role"), *[F.xxhash64(n, v, *more).alias(f"k{s}") for s, v in zip(seeds, values, strict=True)])
+    # Where only one half is like another line's, the edit lies outside that half.
+    half = F.floor((F.col("n") - 1) / 2)
+    open_place = (F.col("side0") & F.col("side1")) | (F.col("side0") & (F.col("i") >= half)) | (F.col("side1") & (F.col("i") < F.col("n") - half))
+    replaced = F.when(open_place, keyed(0, F.col("n"), gap, F.col("i")))
+    shorter = F.when(open_place, keyed(2, F.col("n") - 1, gap))
     itself = F.when(F.col("i") == 0, keyed(1, F.col("n"), own))
-    keys = words.select("_h", "_g", "at", F.explode(F.array_compact(F.array(replaced, shorter, itself))).alias("k")).select("_h", "_g", "at", "k.role", "k.k0", "k.k1")
+    keys = words.select("r", F.explode(F.array_compact(F.array(replaced, shorter, itself))).alias("k")).select("r", "k.role", "k.k0", "k.k1")
     keys = stash(keys, "variants")
     # A replaced word and a shorter line hash different inputs, so their keys don't meet.
-    least = {r: F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"m{r}") for r in (0, 1, 2)}
-    groups = stash(keys.groupBy("k0", "k1").agg(*least.values(), F.min("_h").alias("low"), F.max("_h").alias("high")).where("low <> high").drop("low", "high"), "groups")
-    partner = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = keys.join(groups, ["k0", "k1"]).select("_h", "_g", "at", partner.alias("partner")).where("partner < at").select("_h", "_g", "partner").distinct()
-    left = first.select("_h", "_g", F.col("w").alias("w_a"))
-    right = first.select(F.col("at").alias("partner"), F.col("w").alias("w_b"))
-    return pairs.join(right, "partner").join(left, ["_h", "_g"]).where(_edit_distance_at_most_one("w_a", "w_b")).select("_h", "_g").distinct()
+    is_shorter = F.col("role") == 2
+    least = [F.min(F.when(~is_shorter, F.col("r"))).alias("whole"), F.min(F.when(is_shorter, F.col("r"))).alias("shorter"), F.max("r").alias("high")]
+    groups = stash(keys.groupBy("k0", "k1").agg(*least).where(F.least("whole", "shorter") < F.col("high")).drop("high"), "groups")
+    partner = F.when(F.col("role") == 1, F.col("shorter")).otherwise(F.col("whole"))
+    pairs = keys.join(groups, ["k0", "k1"]).select("r", partner.alias("partner")).where("partner < r").distinct()
+    left = first.select("r", "_h", "_g", F.col("w").alias("w_a"))
+    right = first.select(F.col("r").alias("partner"), F.col("w").alias("w_b"))
+    return pairs.join(right, "partner").join(left, "r").where(_edit_distance_at_most_one("w_a", "w_b")).select("_h", "_g").distinct()
+
+
+def _run_words(per: int) -> tuple[int, int]:
+    """Words of the run that lines in reach of more than one edit share, and of the pieces that are hashed."""
+    run = -(-2 * (per - 1) // 3)
+    return run, min(GRAM_WORDS, run)
 
 
-def _run_keys(words: str, per: int) -> Column:
-    """Least hashes of neighbouring runs, such that lines in reach of more than one edit share one."""
-    run = -(-2 * (per - 1) // 3)
-    gram = min(GRAM_WORDS, run)
+def _run_keys(per: int) -> Column:
+    """Least hashes of neighbouring pieces, such that lines in reach of more than one edit share one."""
+    run, gram = _run_words(per)
     near = run - gram + 1
     hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - gram), lambda i: F.xxhash64(F.slice(w, i + 1, gram)))
     least = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - near), lambda i: F.array_min(F.slice(h, i + 1, near)))
     # Arrays of one element bind what is used for each place, so that it is computed once.
-    return F.array_distinct(F.transform(F.transform(F.array(words), hashes), least)[0])
+    return F.array_distinct(F.transform(F.transform(F.array(F.split("_line", " ", -1)), hashes), least)[0])
 
 
 def _as_characters(numbers: Column) -> Column:
@@ -128,41 +155,53 @@ def _as_characters(numbers: Column) -> Column:
 
 
 def _within(pairs: DataFrame, lines: DataFrame, per: int) -> DataFrame:
-    """_h, _g of the pairs (_h, _g, p_h, p_g) whose word edit distance is in the bound."""
-    right = lines.select(F.col("_h").alias("p_h"), F.col("_g").alias("p_g"), F.col("w").alias("w_b"), F.col("code").alias("code_b"))
-    left = lines.select("_h", "_g", F.col("w").alias("w_a"), F.col("code").alias("code_a"))
+    """r of the pairs (r, p_r) whose word edit distance is in the bound."""
+    right = lines.select(F.col("r").alias("p_r"), F.col("w").alias("w_b"), F.col("code").alias("code_b"))
+    left = lines.select("r", F.col("w").alias("w_a"), F.col("code").alias("code_a"))
     bound = f"greatest(size(w_a), size(w_b)) div {per}"
-    # Characters shared by different words make distances less, never more: a pair that passes is checked on its own words.
-    passed = pairs.join(right, ["p_h", "p_g"]).join(left, ["_h", "_g"]).where(F.expr(f"levenshtein(code_a, code_b, cast({bound} as int)) >= 0"))
-    passed = passed.withColumn("known", F.array_distinct(F.concat("w_a", "w_b")))
-    apart = F.size(F.array_distinct(F.transform("known", _number))) == F.size("known")
-    own = lambda w: _as_characters(F.transform(w, lambda x: F.array_position(F.col("known"), x)))
-    return passed.where(apart | (F.levenshtein(own("w_a"), own("w_b")) <= F.expr(bound))).select("_h", "_g").distinct()
+    # Characters shared by different words make distances less, never more: a pair that passes is checked again with own characters for these.
+    passed = pairs.join(right, "p_r").join(left, "r").where(F.expr(f"levenshtein(code_a, code_b, cast({bound} as int)) >= 0"))
+    bind = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  (computed once, not for each element)
+
+    def distance(known: Column, clashing: Column) -> Column:
+        words = F.filter(known, lambda x: F.array_contains(clashing, _number(x)))
+        own = lambda w, c: _as_characters(F.transform(w, lambda x: F.when(F.array_contains(clashing, _number(x)), NUMBERS + F.array_position(c, x)).otherwise(_number(x))))
+        return F.when(F.size(clashing) == 0, 0).otherwise(bind(words, lambda c: F.levenshtein(own(F.col("w_a"), c), own(F.col("w_b"), c))))
+
+    repeated = lambda numbers: F.array_distinct(F.filter(numbers, lambda x, i: x == F.get(numbers, i - 1)))
+    clashing = lambda known: bind(F.array_sort(F.transform(known, _number)), repeated)
+    exact = bind(F.array_distinct(F.concat("w_a", "w_b")), lambda known: bind(clashing(known), lambda c: distance(known, c)))
+    return passed.where(exact <= F.expr(bound)).select("r").distinct()
 
 
 def _number(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(1_112_000))
+    return F.pmod(F.xxhash64(word), F.lit(NUMBERS))
 
 
 def _near_by_more_edits(texts: DataFrame, hashed: DataFrame, near: DataFrame, per: int) -> DataFrame:
-    """_h, _g of the lines not in near that have an earlier line in reach of more than one edit."""
-    long = hashed.where(F.size("_keys") > 0).select("_h", "_g", F.struct("_key", "_row", "_no").alias("at"), "_n", F.explode("_keys").alias("k"))
-    shared = stash(long.groupBy("k").agg(F.min("_h").alias("low"), F.max("_h").alias("high")).where("low <> high").select("k"), "shared")
-    members = stash(long.join(shared, "k", "left_semi").groupBy("k", "_h", "_g", "_n").agg(F.min("at").alias("at")).withColumn("class", F.floor(F.log("_n") * 8)), "members")
-    if members.isEmpty():
+    """near, and _h, _g of the lines that have an earlier line in reach of more than one edit."""
+    long = hashed.where(F.size("_keys") > 0)
+    keys = long.select("_h", F.explode("_keys").alias("k"))
+    shared = stash(keys.groupBy("k").agg(F.min("_h").alias("low"), F.max("_h").alias("high")).where("low <> high").select("k"), "shared")
+    found = stash(keys.join(shared, "k", "left_semi").groupBy("_h").agg(F.collect_set("k").alias("keys")), "members")
+    if found.isEmpty():
         return near
-    lines = _first_lines(texts, stash(members.select("_h", "_g", "at").distinct(), "places"))
+    places = long.select("_h", "_g", F.struct("_key", "_row", "_no").alias("at")).groupBy("_h", "_g").agg(F.min("at").alias("at"))
+    lines = _first_lines(texts, stash(places.join(found, "_h"), "places"))
     lines = stash(lines.withColumn("code", _as_characters(F.transform("w", _number))), "coded")
-    longer = F.greatest("_n", "p_n")
-    reach = (F.col("p_at") < F.col("at")) & (longer >= 2 * per) & (F.abs(F.col("_n") - F.col("p_n")) <= F.floor(longer / per))
-    named = [F.col(c).alias(f"p{c if c.startswith('_') else '_' + c}") for c in ("_h", "_g", "_n", "at")]
-    pair = ["_h", "_g", "p_h", "p_g"]
+    n = F.size("w")
+    members = stash(lines.select("r", n.alias("n"), F.floor(F.log(n) * 8).alias("class"), F.explode("keys").alias("k")), "keyed")
+    longer = F.greatest("n", "p_n")
+    reach = (F.col("p_r") < F.col("r")) & (longer >= 2 * per) & (F.abs(F.col("n") - F.col("p_n")) <= F.floor(longer / per))
+    named = [F.col("r").alias("p_r"), F.col("n").alias("p_n")]
 
-    earliest = members.groupBy("k", "class").agg(F.min(F.struct("at", "_h", "_g", "_n")).alias("e")).select("k", "class", "e.*").select("k", "class", *named)
-    pairs = members.join(near, ["_h", "_g"], "left_anti").join(earliest, ["k", "class"]).where(reach).select(*pair).distinct()
-    found = stash(near.unionByName(_within(pairs, lines, per)), "near_first")
-    pairs = members.join(found, ["_h", "_g"], "left_anti").join(members.select("k", *named), "k").where(reach).select(*pair).distinct()
-    return stash(found.unionByName(_within(stash(pairs, "open_pairs"), lines, per)), "near_more")
+    known = lines.join(near, ["_h", "_g"], "left_semi").select("r")
+    earliest = members.groupBy("k", "class").agg(F.min("r").alias("r"), F.min_by("n", "r").alias("n")).select("k", "class", *named)
+    pairs = members.join(known, "r", "left_anti").join(earliest, ["k", "class"]).where(reach).select("r", "p_r").distinct()
+    met = stash(known.unionByName(_within(pairs, lines, per)), "near_first")
+    pairs = members.join(met, "r", "left_anti").join(members.select("k", *named), "k").where(reach).select("r", "p_r").distinct()
+    met = met.unionByName(_within(stash(pairs, "open_pairs"), lines, per))
+    return stash(near.unionByName(lines.join(met, "r", "left_semi").select("_h", "_g")).distinct(), "near_more")
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, words_per_edit: int | None = WORDS_PER_EDIT) -> DataFrame:
@@ -175,27 +214,26 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     as one document and come out alike. Columns named like a made one are replaced, all others pass through."""
     keep = other_columns(df, "n_lines", "n_exact", "n_near")
     texts = _texts(df, key, text)
-    n = F.size("_w")
-    half = lambda size: [F.xxhash64(F.slice("_w", F.lit(1), size)), F.xxhash64(F.lit(2), F.slice("_w", n - size + 1, size))]
-    halves = F.when(n >= near_words, F.array(*half((n / 2).cast("int")), *half(((n - 1) / 2).cast("int")))).otherwise(F.array().cast("array<bigint>"))
-    made = [halves.alias("_halves")]
+    none = F.array().cast("array<bigint>")
+    # Lines of 2 * words_per_edit words have more edits; their pairs, those of one edit too, share runs.
+    made = [_halves(near_words, 2 * words_per_edit - 1 if words_per_edit else None).alias("_halves")]
     if words_per_edit:
-        keys = F.when(n >= max(near_words, 2 * words_per_edit - 2), _run_keys("_w", words_per_edit)).otherwise(F.array().cast("array<bigint>"))
-        made += [n.alias("_n"), keys.alias("_keys")]
-    hashed = stash(_hashed(_lines(texts), min_words).select("_key", "_row", "_no", "_h", "_g", *made), "lines")
+        made.append(F.when(F.col("_n") >= max(near_words, 2 * words_per_edit - 2), _run_keys(words_per_edit)).otherwise(none).alias("_keys"))
+    place = F.struct("_key", "_row", "_no")
+    hashed = stash(_lines(texts, min_words).select("_key", "_row", "_no", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), "_line").alias("_g"), *made), "lines")
     near = stash(_near_lines(texts, hashed), "near")
     near = _near_by_more_edits(texts, hashed, near, words_per_edit) if words_per_edit else near
-    place = F.struct("_key", "_row", "_no")
     firsts = hashed.groupBy("_h", "_g").agg(F.min(place).alias("at"), F.count("*").alias("n")).join(near.withColumn("near", F.lit(True)), ["_h", "_g"], "left").where("n > 1 or near").select("_h", "_g", "at", F.coalesce("near", F.lit(False)).alias("near"))
     taken = hashed.select("_key", "_row", "_no", "_h", "_g").join(stash(firsts, "firsts"), ["_h", "_g"]).where(F.col("near") | (place != F.col("at")))
-    by_text = taken.groupBy("_key", "_row").agg(F.collect_set("_no").alias("_gone"), F.countDistinct(F.when(F.col("near"), F.col("_no"))).alias("n_near"))
+    by_text = taken.groupBy("_key", "_row").agg(F.collect_set("_no").alias("_gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("_no")))).alias("n_near"))
     rows = df.select(*keep, F.xxhash64(text_or_empty(text)).alias("_row"))
     joined = rows.alias("r").join(by_text.alias("g"), F.col(f"r.{key}").eqNullSafe(F.col("g._key")) & (F.col("r._row") == F.col("g._row")), "left")
     split = F.split(F.col(f"r.{text}"), "\n", -1)
-    # The places that go become nulls by one pass of a map from place to itself; array_except and a lookup keep it linear.
+    # The places that stay, in order; array_except and a lookup keep it linear.
     kept_places = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone")))
     cleaned = F.when(F.col("_gone").isNull(), F.col(f"r.{text}")).otherwise(F.transform(F.array(split), lambda s: F.array_join(F.transform(kept_places, lambda i: F.get(s, i)), "\n"))[0])
-    n_lines = F.coalesce(F.size(F.filter(split, lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)), F.lit(0)).cast("long")
+    # A line with a word, from its first other character on, is one match.
+    n_lines = F.coalesce(F.regexp_count(F.col(f"r.{text}"), F.lit(f"[^{ASCII_SPACE}][^\n]*")), F.lit(0)).cast("long")
     n_near = F.coalesce("n_near", F.lit(0)).cast("long")
     return joined.select(*[(cleaned.alias(text) if c == text else F.col(f"r.{c}")) for c in keep], n_lines.alias("n_lines"), (F.coalesce(F.size("_gone"), F.lit(0)).cast("long") - n_near).alias("n_exact"), n_near.alias("n_near"))
 
