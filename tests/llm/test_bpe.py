@@ -1,4 +1,6 @@
+import hashlib
 import random
+import struct
 
 import public_tokenizers
 import pytest
@@ -8,35 +10,22 @@ from tomewright.llm import bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = bpe.read_ranks(open(PATH, "rb").read())
-CODEC = bpe.Codec(RANKS, public_tokenizers.PATTERN)
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
-TEXTS = ["", " ", "a", "Hello, world's  end\n\n x", "<|endoftext|> as text", "naïve Straße 漢字 🙂👍🏽", "\t\tx y z", "ab" * 4000, "é" * 700, "1234567890" * 50, "don't DON'T", "a\x00b\x1f"]
+TEXTS = ["", " ", "a", "Hello, world's  end\n\n x", "<|endoftext|> as text", "naïve Straße 漢字 🙂👍🏽", "\t\tx y z", "ab" * 4000, "é" * 700, "1234567890" * 50, "don't DON'T", "a\x00b\x1f", "漢字仮名交じり文の長い単語" * 6, "=" * 250, "aaa" * 60]
 
 
-@pytest.mark.parametrize("text", TEXTS)
-def test_ids_are_the_librarys(text):
-    ids = CODEC.encode(text)
-    assert ids == LIBRARY.encode_ordinary(text)
-    assert CODEC.decode(ids) == text.encode()
-
-
-def test_heap_and_scan_agree():
+def test_heap_is_the_librarys():
     draw = random.Random(5)
     for _ in range(300):
         word = bytes(draw.choice(b"thena \xc3\xa9io") for _ in range(draw.randint(2, 60)))
-        assert bpe._fold_by_heap(word, RANKS) == LIBRARY._encode_single_piece(word) == bpe.fold_merges(word, RANKS)
-
-
-def test_memo_starts_afresh(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_WORDS", 2)
-    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
-    for text in TEXTS * 2:
-        assert codec.encode(text) == LIBRARY.encode_ordinary(text)
+        assert bpe.fold_by_heap(word, RANKS) == LIBRARY._encode_single_piece(word)
 
 
 def test_frames(spark):
-    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(99, None, None), (99, None, None), (None, "a b", "y")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, token_ids string")
+    draw = random.Random(6)
+    words = [" ".join("".join(draw.choice(["th", "e", "n", "é", "ß", "X", "ing", "9", "-"]) for _ in range(draw.randint(1, 12))) for _ in range(draw.randint(1, 40))) for _ in range(60)]
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS + words)] + [(999, None, None), (999, None, None), (None, "a b", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, token_ids string").repartition(3)
     encoded = bpe.encode(df, PATH, public_tokenizers.PATTERN)
     assert encoded.columns == ["doc_id", "text", "token_ids"]
     got = bpe.decode(encoded, PATH).collect()
@@ -44,7 +33,43 @@ def test_frames(spark):
     for r in got:
         assert r["token_ids"] == LIBRARY.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
-    digests = bpe.round_trip(df, PATH, public_tokenizers.PATTERN)
-    assert digests.count() == len(rows)
-    assert digests.where("doc_id = 99").select("n_tokens").distinct().collect() == [(0,)]
+
+
+def test_digests(spark):
+    rows = [*enumerate(TEXTS), (99, None), (99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip(df, PATH, public_tokenizers.PATTERN).collect()}
+    for key, text in rows:
+        ids = LIBRARY.encode_ordinary(text or "")
+        assert got[key] == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
     assert bpe.round_trip(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_blocks_cut_anywhere(spark, monkeypatch):
+    """Words are folded once a block; where blocks end doesn't show."""
+    texts = ["the end of the words", "", "then thorining whonble", "x" * 300, "whonble"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for chars in (1, 20, 10_000):
+        monkeypatch.setattr(bpe, "BLOCK_CHARS", chars)
+        got = {r["doc_id"]: r["token_ids"] for r in bpe.encode(df, PATH, public_tokenizers.PATTERN).collect()}
+        assert got == {i: LIBRARY.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_fold_is_spark(spark):
+    """Merges are folded by higher-order functions over a literal; Python only splits."""
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = bpe.encode(df, PATH, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" in plan and plan.count("MapInArrow") == 1 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_ids_without_piece(spark):
+    df = spark.createDataFrame([(1, [0, 1]), (2, [60_000]), (3, None), (4, [-1]), (5, [])], "doc_id long, token_ids array<int>")
+    got = {r["doc_id"]: r["decoded"] for r in bpe.decode(df, PATH).collect()}
+    pieces = {rank: piece for piece, rank in RANKS.items()}
+    assert got == {1: pieces[0] + pieces[1], 2: None, 3: b"", 4: None, 5: b""}
+
+
+def test_vocabulary_without_bytes(spark, tmp_path):
+    (tmp_path / "few").write_bytes(b"YQ== 0\n")
+    with pytest.raises(ValueError):
+        bpe.encode(spark.createDataFrame([("a",)], "text string"), f"{tmp_path}/few", public_tokenizers.PATTERN)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: White space of the word definitions, as a character class body (space, tab to carriage return).
 ASCII_SPACE = r"\x20\x09-\x0D"
 
@@ -27,6 +31,7 @@ BATCH_ROWS = 2_000
 
 def texts_in_small_batches(df: DataFrame) -> DataFrame:
     """Before a Python pass over texts: lower the session's Arrow batch size to BATCH_ROWS, if it is higher."""
+    ship(df.sparkSession)  # the workers need this package
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     rows = int(df.sparkSession.conf.get(key))
     if rows <= 0 or rows > BATCH_ROWS:
@@ -34,26 +39,43 @@ def texts_in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_memory() -> None:
+    """At the end of a task's Python pass: give freed memory back to the system, since the worker stays for later tasks."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where the session names none (tests, one machine) a local one is made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, or the one the session was given. Only where there is none and all runs on one
+    machine (tests) a local one is made; on a cluster that is an error, as each executor would write to its own disk."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tomewright-"))
-            known = spark.sparkContext.getCheckpointDir()
-        named = known
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tomewright-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """The folder goes when the JVM ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, a lost executor costs
     no recomputation, and later joins know the true size. The folder goes when the JVM ends."""
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
