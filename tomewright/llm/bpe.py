@@ -1,45 +1,36 @@
 """Byte-level BPE: encode whole texts into vocabulary ids and decode ids back into bytes.
 
-1. Texts are split by the vocabulary's pattern, and gathered into blocks of BLOCK_CHARS characters. A block is one row: its
-   distinct words, and for each text the places of its words among them. This pass runs in Arrow batches.
-2. Each distinct word of a block is folded once, by Spark's higher-order functions: its bytes are the first parts, and the adjacent
-   pair whose concatenation has the lowest rank is merged until no pair has a rank; equal ranks merge from the left. Only the ranks
-   beside the merged pair are looked up anew.
-3. Each text takes its words' ids by their places. Decoding concatenates the pieces of the ids.
-
-The rank map is a literal of the plan, of fixed size (the vocabulary file): an array of small maps, in which the hash of a piece
-says the map, since looking a key up in one large map is a scan. Byte strings are strings of one character a byte (ISO 8859-1).
-
-No row moves between tasks: the operator is one pass over the scan, whatever the key distribution. A task holds one block,
-or one text if that is longer.
+A text is split by the vocabulary's pattern. Each distinct word of a batch is folded once: its bytes are
+the first parts, and the adjacent pair whose concatenation has the lowest rank is merged until no
+pair has a rank; equal ranks merge from the left. The rank map is a literal of fixed size (the
+vocabulary file), sent to the workers as one broadcast. Words already folded stay in a memo of
+bounded size. Decoding concatenates the pieces of the ids.
+
+No row moves between tasks: the operator is one pass over the scan, whatever the key distribution.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-import json
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import free_memory, other_columns
+from .common import free_memory, texts_in_small_batches
 
-#: Characters of texts that share a list of distinct words.
-BLOCK_CHARS = 32_000_000
-#: Low bits of a merge's number that hold its place in the word. The fold in array steps costs the square of a word's length; longer
-#: words than fit are folded by a heap while texts are split.
-PLACE_BITS = 8
-LONG_WORD = (1 << PLACE_BITS) - 1
-#: Maps that the rank map is cut into, a power of two.
-SLOTS = 1 << 16
-BYTES = "ISO-8859-1"
+#: Entries that a worker's memo may hold before it starts afresh; longer words aren't kept.
+MEMO_WORDS = 150_000
+MEMO_WORD_CHARS = 64
+#: Words with more parts are merged by a heap instead of by scans.
+SCAN_PARTS = 48
+NEVER = 1 << 30
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -52,19 +43,40 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return ranks
 
 
-@lru_cache(maxsize=4)
-def _vocabulary(path: str) -> dict[bytes, int]:
+def _checked(path: str) -> bytes:
+    """The vocabulary file, which must have all single bytes (ValueError)."""
     with open(path, "rb") as file:
-        ranks = read_ranks(file.read())
+        raw = file.read()
+    ranks = read_ranks(raw)
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError(f"{path} lacks single bytes")
-    if max(ranks.values()) >> (31 - PLACE_BITS):
-        raise ValueError(f"{path} has ranks beyond {1 << (31 - PLACE_BITS)}")
-    return ranks
-
-
-def fold_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word in n log n steps: parts are spans in a linked list, stale heap entries are skipped."""
+    return raw
+
+
+def fold_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word: fold the ranked merges over its bytes."""
+    if not word:
+        return []
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > SCAN_PARTS:
+        return _fold_by_heap(word, ranks)
+    rank_of = ranks.get
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pair_ranks = [rank_of(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+    while pair_ranks and (lowest := min(pair_ranks)) != NEVER:
+        at = pair_ranks.index(lowest)
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del pair_ranks[at]
+        if at < len(pair_ranks):
+            pair_ranks[at] = rank_of(parts[at] + parts[at + 1], NEVER)
+        if at:
+            pair_ranks[at - 1] = rank_of(parts[at - 1] + parts[at], NEVER)
+    return [ranks[p] for p in parts]
+
+
+def _fold_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same fold in n log n steps: parts are spans in a linked list, stale heap entries are skipped."""
     n = len(word)
     end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
     alive = [True] * n
@@ -95,155 +107,114 @@ def fold_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once, wherever use has it: a fold over nothing, which ends with use. (The element of a transformed array
-    of one would do the same, but asks for the type of the whole expression at each evaluation.)"""
-    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, use)
-
-
-def _spark_hash(data: bytes) -> int:
-    """What Spark's hash() gives for a string: 32-bit Murmur3 of its words of four bytes, then of each single byte left, seed 42."""
-    mask, h = 0xFFFFFFFF, 42
-    whole = len(data) & ~3
-    blocks = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)] + [(b - 256 if b > 127 else b) & mask for b in data[whole:]]
-    for k in blocks:
-        k = k * 0xCC9E2D51 & mask
-        k = (k << 15 | k >> 17) * 0x1B873593 & mask
-        h ^= k
-        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
-    h ^= len(data)
-    h = (h ^ h >> 16) * 0x85EBCA6B & mask
-    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
-    return h ^ h >> 16
-
-
-@lru_cache(maxsize=2)
-def _maps(path: str) -> str:
-    """The rank map as JSON: an array of maps, in which a piece's hash says the map. Ranks are moved left by PLACE_BITS."""
-    maps: list[dict[str, int]] = [{} for _ in range(SLOTS)]
-    for piece, rank in _vocabulary(path).items():
-        text = piece.decode(BYTES)
-        maps[_spark_hash(text.encode()) % SLOTS][text] = rank << PLACE_BITS
-    return json.dumps(maps)
-
-
-def _fold(word: Column, rank_map: Column) -> Column:
-    """Ids of a byte string of up to LONG_WORD bytes: fold the ranked merges over its bytes. The state is an array of parts, each with the (moved) rank
-    of its concatenation with the next one (null: no piece). The least of these, with the place in its low bits, is the next merge."""
-    rank_of = lambda piece: F.get(rank_map, F.hash(piece).bitwiseAND(F.lit(SLOTS - 1)))[piece]
-    part = lambda text, following: F.struct(text.alias("p"), rank_of(F.concat(text, following)).alias("r"))
-    start = lambda parts: F.zip_with(parts, F.slice(parts, 2, F.size(parts)), part)
-
-    def merged(state: Column, at: Column, both: Column) -> Column:
-        here, rest = part(both, F.get(state, at + 2)["p"]), F.slice(state, at + 3, F.size(state))
-        beside = F.when(at > 0, F.flatten(F.array(F.slice(state, 1, at - 1), F.array(part(F.get(state, at - 1)["p"], both), here), rest)))
-        return beside.otherwise(F.flatten(F.array(F.array(here), rest)))
-
-    def step(state: Column, _: Column) -> Column:
-        least = F.array_min(F.transform(state, lambda x, i: x["r"].bitwiseOR(i)))
-        merge = lambda at: _bind(F.concat(F.get(state, at)["p"], F.get(state, at + 1)["p"]), lambda both: merged(state, at, both))
-        return _bind(least, lambda low: F.when(low.isNull(), state).otherwise(_bind(low.bitwiseAND(F.lit(LONG_WORD)), merge)))
-
-    merges = F.slice(F.sequence(F.lit(1), F.length(word)), 2, F.length(word))
-    rank = lambda piece: F.shiftright(rank_of(piece), PLACE_BITS)
-    folded = F.aggregate(merges, _bind(F.split(word, ""), start), step, lambda state: F.transform(state, lambda x: rank(x["p"])))
-    return _bind(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
-
-
-class _Numbers(dict):
-    """Words to numbers in the order of their first look-up."""
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        return number
-
-
-def _blocks(df: DataFrame, text: str, keep: list[str], ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Rows of words (array of byte strings, and ids of long ones) and texts (array of the columns keep and _places)."""
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
-    kept = T.StructType([df.schema[c] for c in keep] + [T.StructField("_places", T.ArrayType(T.IntegerType()))])
-    word = T.StructType([T.StructField("bytes", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    schema = T.StructType([T.StructField("words", T.ArrayType(word)), T.StructField("texts", T.ArrayType(kept))])
+class Codec:
+    """Encoder and decoder of one vocabulary, with the memo of one worker."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks = ranks
+        self.split = regex.compile(pattern).findall
+        self.pieces: dict[int, bytes] = {rank: piece for piece, rank in ranks.items()}
+        self.memo: dict[str, bytes] = {}
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        words = self.split(text)
+        memo = self.memo
+        try:
+            return b"".join(map(memo.__getitem__, words))
+        except KeyError:
+            pass
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        own: dict[str, bytes] = {}
+        for word in set(words):
+            if word not in memo:
+                ids = fold_merges(word.encode("utf-8"), self.ranks)
+                kept = memo if len(word) <= MEMO_WORD_CHARS else own
+                kept[word] = struct.pack(f"<{len(ids)}I", *ids)
+        if own:
+            return b"".join([memo[w] if w in memo else own[w] for w in words])
+        return b"".join(map(memo.__getitem__, words))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
+
+    def decode(self, ids: Iterable[int]) -> bytes | None:
+        """None if one of the ids has no piece."""
+        try:
+            return b"".join(map(self.pieces.__getitem__, ids))
+        except KeyError:
+            return None
+
+
+_codecs: dict[int, Codec] = {}
+
+
+def _codec(vocabulary, pattern: str) -> Codec:
+    """One codec a worker and vocabulary: tasks that share a Python worker share its memo."""
+    raw = vocabulary.value
+    key = hash((raw, pattern))
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(read_ranks(raw), pattern)
+    return _codecs[key]
+
+
+def _map_texts(df: DataFrame, text: str, keep: list[str], vocabulary_path: str, pattern: str, made: list[tuple[str, pa.DataType, T.DataType]], row) -> DataFrame:
+    """A pass that adds the columns made = row(codec, text)."""
+    vocabulary = df.sparkSession.sparkContext.broadcast(_checked(vocabulary_path))
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, kind) for name, _, kind in made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
-        numbers, places, pieces, chars = _Numbers(), [], [], 0
-
-        def block() -> pa.RecordBatch:
-            raw = [w.encode() for w in numbers]
-            ids = pa.array([fold_by_heap(w, shared.value) if len(w) > LONG_WORD else None for w in raw], pa.list_(pa.int32()))
-            words = pa.StructArray.from_arrays([pa.array([w.decode(BYTES) for w in raw], pa.string()), ids], ["bytes", "ids"])
-            ends = np.cumsum([0, *map(len, places)], dtype=np.int32)
-            found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places)))
-            columns = [pa.concat_arrays([p.column(i) for p in pieces]) for i in range(len(keep))]
-            texts = pa.StructArray.from_arrays([*columns, found], [*keep, "_places"])
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            return pa.RecordBatch.from_arrays([one(words), one(texts)], names=schema.names)
-
+        codec = _codec(vocabulary, pattern)
         for batch in batches:
-            begun = 0
-            for i, value in enumerate(batch.column(text)):
-                words = split(value.as_py() or "")
-                places.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                chars += sum(map(len, words))
-                if chars >= BLOCK_CHARS:
-                    pieces.append(batch.slice(begun, i + 1 - begun).select(keep))
-                    yield block()
-                    numbers, places, pieces, chars, begun = _Numbers(), [], [], 0, i + 1
-            if begun < batch.num_rows:
-                pieces.append(batch.slice(begun).select(keep))
-        if places:
-            yield block()
+            rows = [row(codec, value.as_py() or "") for value in batch.column(text)]
+            columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind, _) in enumerate(made)]
+            del rows
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, names=[*keep, *(name for name, _, _ in made)])
+            del columns
         free_memory()
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return texts_in_small_batches(df).select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """df with one more column: the ids of the whole text (array of int). A null text counts as empty and gives [];
-    an input column named like ids is replaced; other columns, repeated rows and empty tables pass through as they are. The
-    vocabulary must have all single bytes (ValueError)."""
-    keep = other_columns(df, ids)
-    ranks = _vocabulary(vocabulary_path)
-    names = [f"_{i}" for i in range(len(keep))]
-    # Columns go by number inside the block: their own names may clash with each other's case.
-    plain = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("_text"))
-    blocks = _blocks(plain, "_text", names, ranks, pattern)
-    literal = F.from_json(F.lit(_maps(vocabulary_path)), "array<map<string,int>>")
-    folded = _bind(literal, lambda rank_map: F.transform("words", lambda w: F.coalesce(w["ids"], _fold(w["bytes"], rank_map))))
-    of_text = lambda found: lambda t: F.struct(*[t[n].alias(n) for n in names], F.flatten(F.transform(t["_places"], lambda i: F.get(found, i))).alias("_ids"))
-    rows = blocks.select(F.explode(_bind(folded, lambda found: F.transform("texts", of_text(found)))).alias("t"))
-    return rows.select(*[F.col(f"t.{n}").alias(c) for n, c in zip(names, keep, strict=True)], F.col("t._ids").alias(ids))
-
-
-def _joined(ids: str, table: list[str | None]) -> Column:
-    """The byte strings that a table has at ids, concatenated; null if one is missing."""
-    literal = F.from_json(F.lit(json.dumps(table)), "array<string>")
-    found = _bind(literal, lambda strings: F.transform(ids, lambda i: F.get(strings, i)))
-    return _bind(found, lambda f: F.when(~F.exists(f, lambda x: x.isNull()), F.encode(F.array_join(f, ""), BYTES)))
-
-
-def _pieces(ranks: dict[bytes, int]) -> list[str | None]:
-    table: list[str | None] = [None] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        table[rank] = piece.decode(BYTES)
-    return table
+    an input column named like ids is replaced; other columns, repeated rows and empty tables pass through as they are. A text is split
+    whole, however long it is; a long word is folded by a heap. The vocabulary must have all single bytes (ValueError)."""
+    keep = [c for c in df.columns if c.lower() != ids.lower()]
+    return _map_texts(df, text, keep, vocabulary_path, pattern, [(ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))], lambda codec, value: (codec.encode(value),))
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with one more column: the bytes of the ids' pieces, concatenated. Null ids give empty bytes; an id that the vocabulary
     doesn't have, or a null among the ids, makes the result null. An input column named like out is replaced."""
-    given = F.coalesce(F.col(ids), F.array().cast("array<int>"))
-    rows = df.select(*other_columns(df, out), given.alias("_given"))
-    return rows.select(*other_columns(df, out), _joined("_given", _pieces(_vocabulary(vocabulary_path))).alias(out))
+    vocabulary = df.sparkSession.sparkContext.broadcast(_checked(vocabulary_path))
+    keep = [c for c in df.columns if c.lower() != out.lower()]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(vocabulary, "")
+        for batch in batches:
+            made = pa.array([codec.decode(v.as_py() or ()) for v in batch.column(ids)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [made], names=[*keep, out])
+
+    return df.select(*dict.fromkeys([*keep, ids])).mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, vocabulary_path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: str | None = None) -> DataFrame:
-    """Digest of encode followed by decode: key, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers),
-    decoded_sha256, and the ids if a name is given. A null text counts as empty: no tokens, the digests of nothing. Repeated rows and
-    keys each give a row."""
-    ranks = _vocabulary(vocabulary_path)
-    rows = encode(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), vocabulary_path, pattern, "_text", "_ids")
-    packed = [rank.to_bytes(4, "little").decode(BYTES) for rank in range(max(ranks.values()) + 1)]
-    made = [F.size("_ids").cast("long").alias("n_tokens"), F.sha2(_joined("_ids", packed), 256).alias("ids_sha256"), F.sha2(_joined("_ids", _pieces(ranks)), 256).alias("decoded_sha256")]
-    return rows.select(F.col("_key").alias(key), *made, *([F.col("_ids").alias(ids)] if ids else []))
+    """Digest of encode followed by decode, in one pass and without carrying the ids between processes:
+    key, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256, and the ids if a name is given.
+    A null text counts as empty: no tokens, the digests of nothing. Repeated rows and keys each give a row."""
+
+    def row(codec: Codec, value: str) -> tuple:
+        packed = codec.packed(value)
+        numbers = np.frombuffer(packed, "<u4")
+        back = codec.decode(numbers.tolist())
+        digest = (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest())
+        return (*digest, numbers.astype(np.int32)) if ids else digest
+
+    made = [("n_tokens", pa.int64(), T.LongType()), ("ids_sha256", pa.string(), T.StringType()), ("decoded_sha256", pa.string(), T.StringType())]
+    if ids:
+        made.append((ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType())))
+    return _map_texts(df, text, [key], vocabulary_path, pattern, made, row)
