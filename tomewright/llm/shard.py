@@ -1,6 +1,7 @@
 """Shards along a Hilbert curve over metadata, so that files hold compact boxes of all dimensions at once.
 
-Each dimension is quantised by cut points of equal depth, taken over all rows in one aggregate. The cell's index on the
+Each dimension is quantised by cut points of equal depth, taken over all rows; those of a text dimension are values of its own, found on
+the running count of its sorted distinct values. The cell's index on the
 Hilbert curve orders the rows; runs of that order are the shards. Only the key, the sizes and the dimensions are sorted, never the
 texts. Ties of the curve (a hot source or one cell may hold a third of the rows) are broken by a hash of the
 key, so range partitions split them, and a run is cut wherever its law says, inside a cell or not.
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import other_columns, stash
 
 BITS = 6
 #: Bytes that each row counts for besides its text.
@@ -54,17 +55,37 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def _codes(df: DataFrame, dimensions: Sequence[str]) -> dict[str, Column]:
-    """An order-keeping number for each dimension: numbers as they are, text by the seven bytes after the prefix
-    that all its values share (the shared prefix of the least and the greatest)."""
-    texts = [d for d in dimensions if dict(df.dtypes)[d] == "string"]
-    ends = df.agg(*[f(d).alias(f"{name}_{i}") for i, d in enumerate(texts) for name, f in (("low", F.min), ("high", F.max))]).first() if texts else {}
-    codes = {d: F.col(d).cast("double") for d in dimensions}
-    for i, d in enumerate(texts):
-        low, high = (ends[f"low_{i}"] or "").encode(), (ends[f"high_{i}"] or "").encode()
-        shared = next((k for k, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
-        window = F.substring(F.encode(F.col(d), "UTF-8"), shared + 1, 7)
-        codes[d] = F.conv(F.rpad(F.hex(window), 14, "0"), 16, 10).cast("double")
+def _text_cuts(df: DataFrame, name: str, parts: int) -> list[str]:
+    """Up to parts - 1 values that cut a text column into runs of near equal counts of rows: the values at equal shares of the running
+    count over all distinct values. Values are counted, range-sorted and numbered by part, so none of it depends on how many there are."""
+    counted = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    ordered = stash(counted.orderBy("value").withColumn("_at", F.monotonically_increasing_id()), "values").withColumn("_part", F.shiftright("_at", 33))
+    sums = sorted(ordered.groupBy("_part").agg(F.sum("n").alias("n")).collect())
+    total = sum(r["n"] for r in sums)
+    if not total:
+        return []
+    before = {r["_part"]: sum(q["n"] for q in sums[:i]) for i, r in enumerate(sums)}
+    offsets = F.broadcast(df.sparkSession.createDataFrame(list(before.items()), "_part long, _before long"))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = ordered.join(offsets, "_part").withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
+    share = lambda count: F.floor(count * parts / total)
+    # The rows after which the running count enters another share: parts at most.
+    return [r[0] for r in upto.where(share(F.col("_upto")) != share(F.col("_upto") - F.col("n"))).orderBy("value").select("value").collect()][: parts - 1]
+
+
+def _below(cuts: Column, value: Column) -> Column:
+    return F.filter(cuts, lambda cut: cut < value)
+
+
+def _codes(df: DataFrame, dimensions: Sequence[str], bits: int) -> dict[str, Column]:
+    """An order-keeping number for each dimension: numbers as they are, text by the number of cut values before it."""
+    codes = {}
+    for d in dimensions:
+        if dict(df.dtypes)[d] == "string":
+            value, cuts = F.col(d), F.array(*[F.lit(c) for c in _text_cuts(df, d, 1 << bits)]).cast("array<string>")
+            codes[d] = F.when(value.isNotNull(), F.size(_below(cuts, value)).cast("double"))
+        else:
+            codes[d] = F.col(d).cast("double")
     return {d: F.coalesce(c, F.lit(-1.0)) for d, c in codes.items()}
 
 
@@ -77,7 +98,7 @@ def hilbert_shards(df: DataFrame, dimensions: Sequence[str], shards: int = 40, l
     empty table gives an empty result."""
     if law not in ("rows", "bytes"):
         raise ValueError(f"law {law!r}")
-    codes = _codes(df, dimensions)
+    codes = _codes(df, dimensions, bits)
     content = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
     light = stash(df.select(F.col(key).alias("_key"), *[F.col(d).alias(f"_d{i}") for i, d in enumerate(dimensions)], *[codes[d].alias(f"_c{i}") for i, d in enumerate(dimensions)], (F.octet_length(content) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(content).alias("text_crc32")), "light")
     depth = [k / (1 << bits) for k in range(1, 1 << bits)]
@@ -131,7 +152,12 @@ def hilbert_shards(df: DataFrame, dimensions: Sequence[str], shards: int = 40, l
     return out.select(F.col("_key").alias(key), *[F.col(f"_d{i}").alias(d) for i, d in enumerate(dimensions)], "size", "text_crc32", "hilbert", F.lit(law).alias("law"), "shard", "slot")
 
 
-def write_shards(df: DataFrame, assignment: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write df's rows to path/shard=N, each shard sorted by slot, for readers that skip files by their statistics. Keys must be unique."""
-    placed = df.join(assignment.select(key, "shard", "slot", "hilbert"), key)
+def write_shards(df: DataFrame, assignment: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Write df's rows to path/shard=N, each shard sorted by slot, for readers that skip files by their statistics. assignment is
+    hilbert_shards(df). Each row of df is written once: rows of equal key and text go together, to the least shard and slot
+    of theirs; a null key is a key. Columns of df named shard, slot or hilbert are replaced."""
+    content = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
+    rows = df.select(*other_columns(df, "shard", "slot", "hilbert"), F.col(key).alias("_k"), F.crc32(content).alias("_crc"), (F.octet_length(content) + ROW_OVERHEAD).cast("long").alias("_size"))
+    least = assignment.groupBy(F.col(key).alias("k"), F.col("text_crc32").alias("c"), F.col("size").alias("s")).agg(F.min(F.struct("shard", "slot", "hilbert")).alias("to"))
+    placed = rows.join(least, F.col("_k").eqNullSafe(F.col("k")) & (F.col("_crc") == F.col("c")) & (F.col("_size") == F.col("s"))).select(*other_columns(df, "shard", "slot", "hilbert"), "to.shard", "to.slot", "to.hilbert")
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
