@@ -27,10 +27,7 @@ def test_round_trip(spark, tmp_path):
     assert sorted(seen, key=str) == sorted(want, key=str)
     stored = {bytes(r["payload"]) for r in got if r["record_type"] == "response"}
     assert stored == {t.encode() for t in by_text}
-    # Written as one member a file, rewritten as one a record.
-    for path in (tmp_path / "monolithic").glob("*.gz"):
-        raw = path.read_bytes()
-        assert raw[:3] == b"\x1f\x8b\x08"
+    assert not (tmp_path / "monolithic").exists()
     offsets = 0
     for path in (tmp_path / "members").glob("*.warc.gz"):
         raw = path.read_bytes()
@@ -64,3 +61,27 @@ def test_streams():
         list(warc.split_records([raw[:-3]]))
     with pytest.raises(ValueError):
         list(warc.split_records([b"HTTP/1.1 200\r\n\r\n"]))
+
+
+def test_damaged_archive(spark, tmp_path):
+    """A payload that isn't the one its headers name is an error, and so is an archive that ends early."""
+    df = spark.createDataFrame([(1, "u", "first text"), (2, "v", "second text")], "page_id long, url string, html string")
+    warc.write_monolithic(warc.records(df).coalesce(1), f"file://{tmp_path}/a")
+    (part,) = (tmp_path / "a").glob("*.gz")
+    whole = gzip.decompress(part.read_bytes())
+    assert whole.count(b"WARC/1.1\r\n") == 2 and part.read_bytes().count(b"\x1f\x8b\x08\x00") == 1
+    for name, content in (("b", gzip.compress(whole.replace(b"second", b"secund"))), ("c", gzip.compress(whole)[:-12])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.gz").write_bytes(content)
+        with pytest.raises(Exception, match="isn't the one|ends early"):
+            warc.read_back(warc.normalise(spark, f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}-out")).collect()
+
+
+def test_records_of_a_named_index(spark, tmp_path):
+    """One archive of many records, read through its sidecar."""
+    df = spark.range(700).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 50) as html")
+    warc.write_monolithic(warc.records(df).coalesce(1), f"file://{tmp_path}/a")
+    manifest = warc.normalise(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b")
+    assert [r["n_records"] for r in manifest.collect()] == [700]
+    got = {r["record_id"]: bytes(r["payload"]) for r in warc.read_back(manifest).collect()}
+    assert got == {f"<urn:page:{i}>": (str(i) * 50).encode() for i in range(700)}

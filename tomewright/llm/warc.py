@@ -4,13 +4,16 @@ Crawlers at times compress a whole archive as one gzip stream; to reach one reco
 normaliser inflates such a file once, as a stream, rewrites each record as a gzip member of its own, and writes a
 sidecar index (a line a record: offset, length and the named headers), after which any record is one ranged read.
 
-Monolithic archives are written by Spark's text writer, so they go wherever Spark writes. Normalised archives and sidecars are written
-by the tasks under names of their own attempt; only names in the stored manifest count, so a task that runs again does no harm.
+Monolithic archives are written by Spark's text writer. They are read as streams, so a task holds a piece of an archive and one record
+of it, however large the archive is. Normalised archives and sidecars are written by the tasks under names of their own
+attempt; only names in the stored manifest count, so a task that runs again does no harm.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -20,12 +23,14 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import delete_at_end, stash
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of one monolithic archive: an archive is read as one value.
+#: Records of one monolithic archive, the unit of work of the normaliser.
 RECORDS_PER_FILE = 4_000
+#: Bytes of an archive that are read at once.
+PIECE = 1 << 16
 #: Digests of repeated payloads that may be broadcast (about 60 MB); beyond that, a shuffled join finds them.
 BROADCAST_GROUPS = 1_000_000
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -126,19 +131,30 @@ def _join(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
 
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """Spark names local files with one slash, which isn't a whole URI."""
+    return fs.FileSystem.from_uri(f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+def _pieces(filesystem: fs.FileSystem, path: str) -> Iterator[bytes]:
+    with filesystem.open_input_stream(path, compression=None) as file:
+        while piece := file.read(PIECE):
+            yield piece
+
+
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrite each gzip archive of folder source in folder target with a member a record, and write a sidecar
-    index (tab-separated: offset, length, record id, type) beside it. Returns the manifest: archive, sidecar, n_records."""
+    index (tab-separated: offset, length, record id, type) beside it. Returns the manifest: archive, sidecar, n_records. An archive that
+    ends early, or holds something else than records, is an error; one without records gives an empty archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = fs.FileSystem.from_uri(target)
         for batch in batches:
-            for content in batch.column(0):
-                whole = content.as_buffer()
+            for uri in batch.column(0).to_pylist():
                 name = f"{uuid.uuid4().hex}.warc.gz"
                 offset, lines = 0, []
                 with filesystem.open_output_stream(f"{base}/{name}", compression=None) as out:
-                    for record in split_records(inflated(whole[i : i + (1 << 16)].to_pybytes() for i in range(0, len(whole), 1 << 16))):
+                    for record in split_records(inflated(_pieces(*_opened(uri)))):
                         headers, _ = parse(record)
                         member = gzip.compress(record, 6, mtime=0)
                         out.write(member)
@@ -150,13 +166,27 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
 
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(target)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop_path)
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("content")
+    # Spark lists the folder and deals out the files by their sizes; without the content column it doesn't read them.
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
     return stash(archives.mapInArrow(run, "archive string, sidecar string, n_records long"), "manifest")
 
 
+def _proved(headers: dict[str, str], payload: bytes) -> tuple[str, int]:
+    """Digest and length of a record's full payload. A revisit has only its headers to say so."""
+    said = headers["warc-payload-digest"], int(headers["warc-payload-length"])
+    if headers["warc-type"] == "revisit":
+        return said
+    read = f"sha1:{base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()}", len(payload)
+    if read != said:
+        raise ValueError(f"{headers['warc-record-id']}: the payload isn't the one its headers name")
+    return read
+
+
 def read_back(manifest: DataFrame) -> DataFrame:
     """A row per record of the manifest's archives, each fetched by its offset in the sidecar: record_id, record_type, target_uri,
-    payload_digest, payload_length (of the full payload), refers_to, payload (empty for revisits)."""
+    payload_digest, payload_length (of the full payload), refers_to, payload (empty for revisits). Digest and length of a
+    response are those of the payload that was read; where its headers say something else, that is an error. A payload of any size is
+    one value, held with its record in memory."""
     names = ["record_id", "record_type", "target_uri", "payload_digest", "payload_length", "refers_to", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +202,7 @@ def read_back(manifest: DataFrame) -> DataFrame:
                         for offset, length, *_ in entries[at : at + 256]:
                             file.seek(int(offset))
                             headers, payload = parse(gzip.decompress(file.read(int(length))))
-                            rows.append((headers["warc-record-id"], headers["warc-type"], headers.get("warc-target-uri"), headers["warc-payload-digest"], int(headers["warc-payload-length"]), headers.get("warc-refers-to"), payload))
+                            rows.append((headers["warc-record-id"], headers["warc-type"], headers.get("warc-target-uri"), *_proved(headers, payload), headers.get("warc-refers-to"), payload))
                         kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -182,6 +212,12 @@ def read_back(manifest: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(df: DataFrame, folder: str, **options) -> DataFrame:
-    """Write df's rows to monolithic archives in folder, normalise them, and read all records back."""
+    """Write df's rows to monolithic archives in folder, normalise them, and read all records back. The monolithic archives go once
+    they are normalised, the folder when the JVM ends."""
+    spark = df.sparkSession
+    delete_at_end(spark, folder)
     write_monolithic(records(df, **options), _join(folder, "monolithic"))
-    return read_back(normalise(df.sparkSession, _join(folder, "monolithic"), _join(folder, "members")))
+    manifest = normalise(spark, _join(folder, "monolithic"), _join(folder, "members"))
+    done = spark._jvm.org.apache.hadoop.fs.Path(_join(folder, "monolithic"))
+    done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
+    return read_back(manifest)
