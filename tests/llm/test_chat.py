@@ -78,3 +78,31 @@ def test_trees(spark, branches):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_paths(chat.paths(chat.threads(df)))).collect() == []
+
+
+def test_deep_tree_stores_the_chosen_paths_only(spark, monkeypatch):
+    """A trunk with a leaf on every message: what is stored grows with messages times the logarithm of the depth, not with its square."""
+    depth = 200
+    messages = [(1, i, i - 1 if i else None, "user", f"m{i}", float(i)) for i in range(depth)] + [(1, 1000 + i, i, "user", f"l{i}", 0.0) for i in range(depth)]
+    df = spark.createDataFrame(messages, "tree long, node long, parent long, role string, text string, score double")
+    stored, stash = [], chat.stash
+
+    def counting(rows, label):
+        out = stash(rows, label)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(chat, "stash", counting)
+    got = chat.paths(df, 1)
+    assert sorted(tuple(r) for r in got.select("tree", "leaf", "depth", "text").collect()) == sorted(brute(messages, 1))
+    assert sum(stored) <= 2 * depth * 14
+
+
+def test_repeated_nodes_and_long_texts(spark):
+    long = "word " * 400_000
+    messages = [(1, 1, None, "user", "root", 0.0)] * 3 + [(1, 1, None, "user", "zzz", 0.0), (1, 2, 1, "assistant", long, 0.0), (1, None, 1, "user", "no node", 0.0)]
+    df = spark.createDataFrame(messages, "tree long, node long, parent long, role string, text string, score double")
+    rows = chat.paths(df, None).collect()
+    assert [(r["depth"], r["text"]) for r in sorted(rows, key=lambda r: r["depth"])] == [(0, "root"), (1, long)]
+    (back,) = chat.read_back(chat.format_paths(chat.paths(df, None))).collect()
+    assert back["n_turns"] == 2 and back["loss_chars"] == len(long)

@@ -1,9 +1,9 @@
 """Chat formatting of reply trees.
 
-Messages form trees by their parents. Root-to-leaf paths are enumerated by iterative self-joins that double the reach: after
-k joins every leaf knows its nearest 2**k ancestors, so a thread of a thousand replies takes ten joins. Branches
-are ranked by the mean score of their messages, and each chosen path becomes one conversation: a text in the
-template below, with spans of characters for the loss mask.
+Messages form trees by their parents. Iterative self-joins double the reach: after k joins every message knows its ancestor 2**k steps
+up and the scores on the way, so a thread of a thousand replies takes ten joins. Leaves are ranked by the mean score of
+their paths; only the chosen paths are then enumerated, by the same jumps, and each becomes one conversation: a text in
+the template below, with spans of characters for the loss mask.
 
 Template: a turn is "### ", the role with an upper-case first letter, ": ", the text, " </turn>", a line end. Inside roles and texts every
 backslash and the first character of every control string gets a backslash before it, which parsing takes off again.
@@ -69,32 +69,40 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """Root-to-leaf paths of messages (tree, node, parent, role, text, score): tree, leaf, depth (0 at the root), role, text.
 
     A node without a parent, or whose parent isn't there, is a root. Of each tree the branches paths of the highest mean score
-    are chosen (None: all), ties by the smaller leaf. Null scores count as 0; a null tree is a tree; nodes are unique in a
-    tree. Messages on or below a cycle of parents have no root and lie on no path."""
+    are chosen (None: all), ties by the smaller leaf; only their messages are enumerated. Null scores count as 0; a null tree is a tree, a
+    null node isn't a message. Of rows with the same tree and node the least (parent, role, text, score) counts. Messages on or
+    below a cycle of parents have no root and lie on no path. A path is one value further on, however long it is."""
     tree = F.coalesce(F.concat(F.lit("t"), F.col("tree").cast("string")), F.lit(""))
-    rows = stash(messages.select(tree.alias("t"), "tree", "node", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
+    given = messages.where("node is not null").select(tree.alias("t"), "tree", "node", "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    one = F.min(F.struct("parent", "role", "text", "score", "tree")).alias("m")
+    rows = stash(given.groupBy("t", "node").agg(one).select("t", "m.tree", "node", "m.parent", "m.role", "m.text", "m.score"), "messages")
     nodes = rows.select("t", "node")
-    step = stash(rows.where("parent is not null").select("t", "node", F.col("parent").alias("up")).join(nodes.select("t", F.col("node").alias("up")), ["t", "up"]), "step")
-    leaves = nodes.join(step.select("t", F.col("up").alias("node")).distinct(), ["t", "node"], "left_anti")
-    reached = stash(leaves.select("t", F.col("node").alias("leaf"), "node", F.lit(0).alias("up_by")), "reached")
+    known = rows.where("parent is not null").select("t", "node", F.col("parent").alias("up")).join(nodes.select("t", F.col("node").alias("up")), ["t", "up"]).select("t", "node", "up")
+    known = stash(known, "known")
+    # Where a node gets by 2**k steps up, and the sum and number of the scores on the way; up is null once the root is passed.
+    state = stash(rows.select("t", "node", F.col("score").alias("sum"), F.lit(1).cast("long").alias("length")).join(known, ["t", "node"], "left"), "reach")
+    steps = [known]
     most = rows.groupBy("t").count().agg(F.max("count")).first()[0] or 0
-    reach = 1
-    while reach < most and not step.isEmpty():
-        further = reached.join(step, ["t", "node"]).select("t", "leaf", F.col("up").alias("node"), (F.col("up_by") + reach).alias("up_by"))
-        reached = stash(reached.unionByName(further), "reached")
-        step = stash(step.join(step.select("t", F.col("node").alias("up"), F.col("up").alias("top")), ["t", "up"]).select("t", "node", F.col("top").alias("up")), "step")
-        reach *= 2
-    with_rows = reached.join(rows.drop("text", "role", "tree"), ["t", "node"])
-    roots = rows.join(nodes.select("t", F.col("node").alias("parent")), ["t", "parent"], "left_anti").select("t", "node").withColumn("is_root", F.lit(True))
-    ranked = with_rows.join(roots, ["t", "node"], "left").groupBy("t", "leaf").agg(F.avg("score").alias("score"), F.max("up_by").alias("length"), F.max("is_root").alias("rooted")).where("rooted")
+    while (1 << (len(steps) - 1)) < most and not steps[-1].isEmpty():
+        above = state.select("t", F.col("node").alias("up"), F.col("up").alias("top"), F.col("sum").alias("more"), F.col("length").alias("further"))
+        zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0).cast(kind))
+        state = stash(state.join(above, ["t", "up"], "left").select("t", "node", F.col("top").alias("up"), (F.col("sum") + zero("more", "double")).alias("sum"), (F.col("length") + zero("further", "long")).alias("length")), "reach")
+        steps.append(state.where("up is not null").select("t", "node", "up"))
+    # Only a cycle has nodes with an ancestor left after as many steps as the tree has messages.
+    leaves = state.where("up is null").join(known.select("t", F.col("up").alias("node")).distinct(), ["t", "node"], "left_anti")
+    ranked = leaves.select("t", F.col("node").alias("leaf"), (F.col("sum") / F.col("length")).alias("score"), "length")
     if branches is not None:
         # First within parts of a tree, so that no task ranks a whole hot tree.
         best = [F.desc("score"), F.asc("leaf")]
         ranked = ranked.withColumn("part", F.pmod(F.xxhash64("leaf"), F.lit(64)))
         for by in (["t", "part"], ["t"]):
             ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).where(F.col("rank") <= branches)
-    chosen = ranked.select("t", "leaf", "length")
-    return reached.join(chosen, ["t", "leaf"]).join(rows.drop("score", "parent"), ["t", "node"]).select("tree", "leaf", (F.col("length") - F.col("up_by")).alias("depth"), "role", "text")
+    chosen = stash(ranked.select("t", "leaf", "length"), "chosen")
+    reached = chosen.select("t", "leaf", F.col("leaf").alias("node"), (F.col("length") - 1).cast("int").alias("depth"))
+    for k in range(len(steps) - 1, -1, -1):
+        further = reached.join(steps[k], ["t", "node"]).select("t", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
+        reached = reached.unionByName(further)
+    return reached.join(rows.drop("score", "parent"), ["t", "node"]).select("tree", "leaf", "depth", "role", "text")
 
 
 def format_paths(path_rows: DataFrame, learned: tuple[str, ...] = LEARNED) -> DataFrame:
