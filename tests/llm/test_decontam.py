@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from tomewright.llm import decontam
 
 
@@ -15,15 +17,16 @@ def brute(docs, items, window=13):
         w, hit, found = words(text), set(), set()
         for item, phrase in items:
             p = words(phrase)
-            if item is None or not p:
+            if not p:
                 continue
             size = min(window, len(p))
             for k in range(len(p) - size + 1):
                 for i in range(len(w) - size + 1):
                     if w[i : i + size] == p[k : k + size]:
                         hit.update(range(i, i + size))
-                        found.add(str(item))
-        out.append((key, len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
+                        found.add(item)
+        named = sorted(str(x) for x in found if x is not None)
+        out.append((key, len(w), len(hit), len(found), named, bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
 
 
@@ -43,7 +46,7 @@ def data(seed):
 
 
 def result(df):
-    return sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["hit_items"]), r["contaminated"]) for r in df.collect()), key=str)
+    return sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], list(r["hit_items"]), r["contaminated"]) for r in df.collect()), key=str)
 
 
 def test_equal_to_brute_force(spark):
@@ -58,14 +61,27 @@ def test_equal_to_brute_force(spark):
 
 
 def test_small_shards(spark, monkeypatch):
+    """Where shards end doesn't show: of a text each, of a few, of all."""
     docs, items = data(2)
-    monkeypatch.setattr(decontam, "SHARD_BYTES", 500)
-    phrases = decontam.phrases_of([(str(i), t) for i, t in items if i is not None and t])
-    for at in range(0, len(docs), 3):
-        part = docs[at : at + 3]
-        hits = decontam._hits([decontam.words_of(t) for _, t in part], phrases)
-        want = {(k, n) for k, _, n, _, _ in brute(part, items)}
-        assert {(part[i][0], sum(b - a for a, b in spans)) for i, (spans, _) in enumerate(hits)} == want
+    phrases = decontam.phrases_of([(None if i is None else str(i), t) for i, t in items if t])
+    want = {(k, n) for k, _, n, *_ in brute(docs, items)}
+    batch = pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in docs], "text": pa.array([t for _, t in docs], pa.string())})
+    for size in (1, 500, 10_000_000):
+        monkeypatch.setattr(decontam, "SHARD_BYTES", size)
+        got = set()
+        for shard in decontam._shards(iter([batch.slice(0, 20), batch.slice(20)]), "text"):
+            keys = [k.as_py() for part in shard for k in part.column("doc_id")]
+            hits = decontam._hits([decontam.ids_of(t.as_py(), phrases.vocabulary) for part in shard for t in part.column("text")], phrases)
+            got |= {(k, sum(b - a for a, b in spans)) for k, (spans, _, _) in zip(keys, hits, strict=True)}
+        assert got == want
+
+
+def test_long_text(spark):
+    phrase = " ".join(f"p{i}" for i in range(20))
+    text = "word " * 300_000 + phrase + " word" * 10
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = decontam.find(df, spark.createDataFrame([(None, phrase)], "item_id long, text string")).collect()
+    assert (r["n_words"], r["n_hit"], r["n_items"], r["hit_items"], r["contaminated"]) == (300_030, 20, 1, [], False)
 
 
 def test_empty_tables(spark):

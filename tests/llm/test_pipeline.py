@@ -53,7 +53,7 @@ def test_run(spark, tmp_path):
     cleaned = [(i, t) for i, t, _, exact, close in test_line_dedup.brute(rows) if t.split() or not exact + close]
     kept = {i for i, _, _, first in test_minhash.brute(cleaned, 5, 80, 100) if first}
     rows = [(i, t) for i, t in cleaned if i in kept]
-    clean = {i for i, _, _, _, bad in test_decontam.brute(rows, bench) if not bad}
+    clean = {i for i, *_, bad in test_decontam.brute(rows, bench) if not bad}
     assert len(clean) < len(rows) < len(docs)
     ranks = bpe.read_ranks(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index for each shard of the training texts.
 
-A shard is a run of texts inside a task. Its index text is a sequence of word ids over the benchmark's
+A shard is a run of texts inside a task, of SHARD_BYTES. Its index text is a sequence of word ids over the benchmark's
 vocabulary: a word outside it can't lie in an occurrence, so each maximal run of benchmark words stays, if it is as long as the
 shortest phrase, and everything else becomes one separator. Over that sequence:
 suffix array by prefix doubling -> Burrows-Wheeler transform -> wavelet matrix for ranks.
@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_in_small_batches
+from .common import free_memory, texts_in_small_batches
 
 WINDOW = 13
 #: Benchmark bytes of one block, which is what a broadcast may hold; more items make more passes.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 #: Text bytes after which a shard is indexed, and the distance of sampled suffix positions.
-SHARD_BYTES, SAMPLE_RATE = 48_000_000, 16
+SHARD_BYTES, SAMPLE_RATE = 24_000_000, 16
 #: Words: digits, letters a-z and all beyond ASCII, after A-Z are lower-cased; other ASCII parts them.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -150,39 +150,52 @@ class FMIndex:
 
 @dataclass(frozen=True)
 class Phrases:
-    """A block of benchmark items: their distinct windows as right-aligned rows of word ids, and who has each."""
+    """A block of benchmark items: their distinct windows as right-aligned rows of word ids, and who has each (None: an item without an id)."""
 
     vocabulary: dict[bytes, int]
     table: np.ndarray
     lengths: np.ndarray
-    owners: list[list[str]]
+    owners: list[list[str | None]]
 
 
-def phrases_of(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases:
+def phrases_of(items: list[tuple[str | None, str]], window: int = WINDOW) -> Phrases:
     vocabulary: dict[bytes, int] = {}
-    owners: dict[tuple[int, ...], set[str]] = {}
+    names: list[str | None] = []
+    rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
     for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        for i in range(max(1, len(ids) - window + 1) if ids else 0):
-            owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
-    table = np.zeros((len(owners), window), np.int64)
-    for row, phrase in enumerate(owners):
-        table[row, window - len(phrase) :] = phrase
-    return Phrases(vocabulary, table, np.array([len(p) for p in owners], np.int64), [sorted(o) for o in owners.values()])
-
-
-def _hits(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[str]]]:
-    """For each text its merged spans of hit words [from, to) and the items that occur in it."""
-    out: list[tuple[list[tuple[int, int]], list[str]]] = [([], []) for _ in texts]
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], np.int32)
+        if not len(ids):
+            continue
+        padded = np.concatenate([np.zeros(max(0, window - len(ids)), np.int32), ids])
+        rows.append(np.lib.stride_tricks.sliding_window_view(padded, window))
+        owner.append(np.full(len(rows[-1]), len(names)))
+        names.append(item)
+    table, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+    owners: list[set[str | None]] = [set() for _ in table]
+    for row, of in zip(which.ravel().tolist(), np.concatenate(owner).tolist(), strict=True):
+        owners[row].add(names[of])
+    return Phrases(vocabulary, table, (table != 0).sum(1), [sorted(o, key=lambda x: (x is not None, x or "")) for o in owners])
+
+
+def ids_of(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The text's words as ids, 0 for those that the benchmark lacks."""
+    words = words_of(text)
+    known = vocabulary.get
+    return np.fromiter((known(w, 0) for w in words), np.int32, len(words))
+
+
+def _hits(texts: list[np.ndarray], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[str], bool]]:
+    """For each text (word ids) its merged spans of hit words [from, to), the items that occur in it, and whether one without an id does."""
+    spans_of: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: dict[int, set[str | None]] = {}
+    result = lambda: [(spans, sorted(x for x in items.get(i, ()) if x is not None), None in items.get(i, ())) for i, spans in enumerate(spans_of)]
     if not len(phrases.lengths):
-        return out
+        return result()
     shortest = int(phrases.lengths.min())
-    known = phrases.vocabulary.get
     pieces, owner, offset = [], [], []
-    for number, found in enumerate(texts):
-        if len(found) < shortest:
+    for number, ids in enumerate(texts):
+        if len(ids) < shortest:
             continue
-        ids = np.fromiter((known(w, 0) for w in found), np.int32, len(found))
         edges = np.flatnonzero(np.diff(np.concatenate([[0], ids != 0, [0]])))
         begin, end = edges[::2], edges[1::2]
         for a, b in zip(begin[end - begin >= shortest].tolist(), end[end - begin >= shortest].tolist(), strict=True):
@@ -190,7 +203,7 @@ def _hits(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[i
             owner.append(number)
             offset.append(a)
     if not pieces:
-        return out
+        return result()
     sequence = np.concatenate(pieces).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces[::2]])])
     index = FMIndex(sequence, len(phrases.vocabulary))
@@ -203,16 +216,15 @@ def _hits(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[i
     run = np.searchsorted(starts, places, "right") - 1
     text_of, word_of = np.array(owner)[run], places - starts[run] + np.array(offset)[run]
     order = np.lexsort((word_of, text_of))
-    items: dict[int, set[str]] = {}
     for t, w in np.unique(np.stack([text_of, which]), axis=1).T.tolist():
         items.setdefault(t, set()).update(phrases.owners[w])
     for t, a, size in zip(text_of[order].tolist(), word_of[order].tolist(), phrases.lengths[which[order]].tolist(), strict=True):
-        spans = out[t][0]
+        spans = spans_of[t]
         if spans and a <= spans[-1][1]:
             spans[-1] = (spans[-1][0], max(spans[-1][1], a + size))
         else:
             spans.append((a, a + size))
-    return [(spans, sorted(items.get(i, ()))) for i, (spans, _) in enumerate(out)]
+    return result()
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -235,9 +247,9 @@ def excise(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     block, size = [], 0
-    for row in benchmark.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string"), F.col(text)).toLocalIterator():
+    for row in benchmark.where(F.col(text).isNotNull()).select(F.col(key).cast("string"), F.col(text)).toLocalIterator():
         if block and size + len(row[1]) > block_bytes:
             yield block
             block, size = [], 0
@@ -247,39 +259,59 @@ def _blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> Iter
         yield block
 
 
-_MADE = [("n_words", T.LongType()), ("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), ("hit_items", T.ArrayType(T.StringType()))]
+def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches of SHARD_BYTES of text; a batch that is larger is cut."""
+    shard, size = [], 0
+    for batch in batches:
+        rows = max(1, batch.num_rows * SHARD_BYTES // max(SHARD_BYTES, batch.column(text).nbytes))
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            shard.append(part)
+            size += part.column(text).nbytes
+            if size >= SHARD_BYTES:
+                yield shard
+                shard, size = [], 0
+    if shard:
+        yield shard
+
+
+_MADE = [("n_words", T.LongType()), ("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), ("hit_items", T.ArrayType(T.StringType())), ("_nameless", T.BooleanType())]
 
 
 def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df (or its columns keep) with n_words, hit_spans (merged word spans [start, end)), hit_items (ids as strings,
     sorted), n_hit (hit words), n_items, contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
-    Null and empty texts have no words and aren't contaminated. Items without an id or without words have no phrase; repeated items
-    count once. Input columns named like made ones are replaced; repeated rows each give a row."""
-    taken = {"n_words", "hit_spans", "hit_items", "n_hit", "n_items", "contaminated"}
+    Null and empty texts have no words and aren't contaminated. Items without words have no phrase; those without an id are searched as well,
+    count as one item in n_items, and aren't in hit_items; repeated items count once. A text is indexed whole, however long it
+    is. Input columns named like made ones are replaced; repeated rows each give a row."""
+    taken = {"n_words", "hit_spans", "hit_items", "n_hit", "n_items", "contaminated", "_nameless"}
     keep = [c for c in (keep or df.columns) if c.lower() not in taken]
     carried = list(dict.fromkeys([*keep, text]))
     schema = T.StructType([df.schema[c] for c in carried] + [T.StructField(name, kind) for name, kind in _MADE])
     arrow_spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     context = df.sparkSession.sparkContext
 
-    def pass_over(frame: DataFrame, block: list[tuple[str, str]], first: bool) -> DataFrame:
-        sent = context.broadcast(block)
+    def pass_over(frame: DataFrame, block: list[tuple[str | None, str]], first: bool) -> DataFrame:
+        sent = context.broadcast(phrases_of(block, window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = phrases_of(sent.value, window)
-            for batch in batches:
-                column = batch.column(text)
-                size = max(1, batch.num_rows * SHARD_BYTES // max(SHARD_BYTES, column.nbytes))
-                for at in range(0, batch.num_rows, size):
-                    part = batch.slice(at, size)
-                    texts = [words_of(v.as_py()) for v in part.column(text)]
-                    hits = _hits(texts, phrases)
+            phrases = sent.value
+            for shard in _shards(batches, text):
+                texts = [ids_of(v.as_py(), phrases.vocabulary) for part in shard for v in part.column(text)]
+                hits = _hits(texts, phrases)
+                at = 0
+                for part in shard:
+                    own = hits[at : at + part.num_rows]
                     if not first:
-                        before = zip(part.column("hit_spans").to_pylist(), part.column("hit_items").to_pylist(), strict=True)
-                        hits = [(merge_spans(spans + [(s["start"], s["end"]) for s in old]), sorted({*items, *own})) for (spans, items), (old, own) in zip(hits, before, strict=True)]
-                    made = [pa.array([len(t) for t in texts], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in spans] for spans, _ in hits], arrow_spans), pa.array([items for _, items in hits], pa.list_(pa.string()))]
+                        before = zip(*(part.column(c).to_pylist() for c in ("hit_spans", "hit_items", "_nameless")), strict=True)
+                        own = [(merge_spans(spans + [(s["start"], s["end"]) for s in old]), sorted({*items, *known}), nameless or was) for (spans, items, nameless), (old, known, was) in zip(own, before, strict=True)]
+                    counts = pa.array([len(t) for t in texts[at : at + part.num_rows]], pa.int64())
+                    spans = pa.array([[{"start": a, "end": b} for a, b in spans] for spans, _, _ in own], arrow_spans)
+                    made = [counts, spans, pa.array([items for _, items, _ in own], pa.list_(pa.string())), pa.array([n for _, _, n in own], pa.bool_())]
                     yield pa.RecordBatch.from_arrays([part.column(c) for c in carried] + made, names=schema.names)
+                    at += part.num_rows
+            free_memory()
 
         return frame.mapInArrow(run, schema)
 
@@ -289,7 +321,7 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
     if first:
         out = pass_over(out, [], True)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
-    out = out.select(*keep, "n_words", "hit_spans", "hit_items", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"))
+    out = out.select(*keep, "n_words", "hit_spans", "hit_items", n_hit.alias("n_hit"), (F.size("hit_items") + F.col("_nameless").cast("int")).cast("long").alias("n_items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
