@@ -87,3 +87,25 @@ def test_components(spark):
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_block_names_links_once(spark):
+    """A clique whose nodes are all outer: links of a task grow with its nodes, not with their pairs."""
+    sets = [list(range(100)) + [1000 + i] for i in range(60)] + [list(range(5000 + 200 * i, 5100 + 200 * i)) for i in range(10)]
+    rows = [(i, i, len(s), sorted(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, component long, size long, shingles array<long>").coalesce(1)
+    links = [tuple(r) for r in minhash._against_block(df, df, (80, 100)).collect()]
+    assert len(links) == 59
+    got = dict(tuple(r) for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(60)}
+
+
+def test_hot_bucket_and_long_texts(spark):
+    """A third of all texts are near copies of one; two very long texts differ in a few words."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words, f"own{i}"])) for i in range(150)] + [(1000 + i, f"lone {i} " * 30) for i in range(300)]
+    long = [f"x{i}" for i in range(200_000)]
+    rows += [(5000, " ".join(long)), (5001, " ".join([*long[:-3], "a", "b", "c"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert {got[i] for i in range(150)} == {0} and got[5001] == got[5000] == 5000

@@ -86,3 +86,68 @@ def test_prior_estimate():
     for share in (0.3, 0.7):
         u = np.vstack([random.normal(0, 1, (int(4000 * share), 4)), random.normal(3, 1, (int(4000 * (1 - share)), 4))])
         assert abs(quality_pu.estimate_prior(p, u) - share) < 0.12
+
+
+def risk(weights, positive, unlabelled, prior):
+    """The non-negative risk and whether its bound is met, term by term."""
+    loss = lambda z, y: float(np.mean(np.log1p(np.exp(-z if y else z))))
+    p, u = (quality_pu._forward(weights, x)[1] for x in (positive, unlabelled))
+    negative = loss(u, 0) - prior * loss(p, 0)
+    return prior * loss(p, 1), negative
+
+
+def test_gradient_of_the_non_negative_risk(monkeypatch):
+    """One step of plain descent (the slope, before Adam) against finite differences of the risk, on both sides of its bound."""
+    random = np.random.default_rng(4)
+    positive, unlabelled = random.normal(1, 1, (30, 5)), random.normal(0, 1, (50, 5))
+    monkeypatch.setattr(quality_pu, "STEPS", 1)
+    monkeypatch.setattr(quality_pu, "DECAY", 0.0)
+    start = np.random.default_rng(quality_pu.SEED)
+    begin = (start.normal(0, 5**-0.5, (5, quality_pu.HIDDEN)), np.zeros(quality_pu.HIDDEN), start.normal(0, quality_pu.HIDDEN**-0.5, quality_pu.HIDDEN), np.zeros(1))
+    sides = set()
+    for prior in (0.2, 0.99):
+        moved = quality_pu._train(positive, unlabelled, prior)
+        above = risk(begin, positive, unlabelled, prior)[1] >= 0
+        sides.add(above)
+        # Adam's first step goes against the sign of each slope: of the whole risk above the bound, away from the negatives' risk below it.
+        value = lambda w, above=above, prior=prior: (sum(risk(w, positive, unlabelled, prior)) if above else -risk(w, positive, unlabelled, prior)[1])
+        for i, w in enumerate(begin):
+            for at in list(np.ndindex(w.shape))[:12]:
+                up, down = ([v.copy() for v in begin] for _ in range(2))
+                up[i][at] += 1e-5
+                down[i][at] -= 1e-5
+                slope = (value(tuple(up)) - value(tuple(down))) / 2e-5
+                if abs(slope) > 1e-6:
+                    assert np.sign(moved[i][at] - w[at]) == -np.sign(slope)
+    assert sides == {True, False} or sides == {True}
+
+
+def test_sizes_are_the_librarys():
+    """Sizes of a text are those of its blocks under each dictionary, compressed here one by one."""
+    import zstandard
+
+    model = langid.LanguageModel((("aa", b"the thing and then " * 100), ("bb", b"le chat que voici " * 100)))
+    text = "The thing that THEN came " * 90
+    lowered = text.lower()
+    n = round(len(lowered) / langid.BLOCK_CHARS)
+    step = -(-len(lowered) // n)
+    want = []
+    for name, content in model.dictionaries:
+        compressor = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+        want.append((sum(len(compressor.compress(lowered[i : i + step].encode())) for i in range(0, len(lowered), step)), name))
+    assert langid.Predictor(model).sizes(text) == sorted(want)
+    assert langid.Predictor(model).predict(text)[0] == "aa"
+
+
+def test_most_languages(spark):
+    df = spark.createDataFrame([(i, t, f"l{min(i % 7, 3)}") for i, t, _ in texts(70)], "doc_id long, text string, lang string")
+    assert [name for name, _ in langid.fit(df, most_languages=2).dictionaries] == ["l0", "l3"]
+
+
+def test_long_texts(spark):
+    docs, labels = quality_tables(spark, 200)
+    model = quality_pu.fit(docs.select("doc_id", "text"), labels)
+    long = spark.createDataFrame([(1, "the ing er an " * 100_000)] * 2, "doc_id long, text string")
+    assert len({r["quality_score"] for r in quality_pu.score(long, model).collect()}) == 1
+    some = spark.createDataFrame([(i, t, lang) for i, t, lang in texts(60)], "doc_id long, text string, lang string")
+    assert {r["lang_best"] for r in langid.identify(long, langid.fit(some)).collect()} == {"aa"}

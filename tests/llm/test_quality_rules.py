@@ -52,3 +52,10 @@ def test_no_python_or_exchange(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = q.judge(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_long_text(spark):
+    text = "the word of a line\n" * 50_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = q.judge(df).collect()
+    assert (r["n_words"], r["n_dup_lines"], r["n_repeat_words"]) == (250_000, 49_999, 250_000)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_in_small_batches
+from .common import free_memory, texts_in_small_batches
 
 UNKNOWN = "und"
 #: Bounds of the training sample: texts a language, characters a text (a slice from a place set by the key's hash),
@@ -35,16 +35,15 @@ class LanguageModel:
     dictionaries: tuple[tuple[str, bytes], ...]
 
 
-def fit(df: DataFrame, where: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> LanguageModel:
+def fit(df: DataFrame, where: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
     """Learn dictionaries from rows of df that hold for where, with a language and a text that has letters.
 
-    The sample is bounded: the sample_texts texts with the smallest key hashes of each language. Row counts of all
-    languages set a hash limit first, so the window that picks them sees about twice the sample."""
+    The sample is bounded: the sample_texts texts with the smallest key hashes of each language, of the most_languages languages of the
+    most rows (ties: the first in name order); rarer ones aren't learned. Row counts of all languages set a hash limit first, so the
+    window that picks them sees about twice the sample. Repeated rows count as rows; a null key comes with hash 0's neighbours."""
     rows = df.where(where) if where is not None else df
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return LanguageModel(())
     limits = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int((1 << 30) * min(1.0, 2 * sample_texts / n + 20 / n)))])
@@ -97,19 +96,24 @@ class Predictor:
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None, reject_margin: float = REJECT_MARGIN) -> DataFrame:
     """df (or its columns keep) with lang_best, lang_score (0 to 1), lang_margin, lang_rejected, and lang_id: lang_best,
-    or 'und' if rejected. A null text, or one without a letter, is 'und' with score 0 and rejected. One pass, no exchange."""
+    or 'und' if rejected. A null text, or one without a letter, is 'und' with score 0 and rejected; of equal sizes the first name
+    wins, with margin 0. A text is compressed whole, in blocks, however long it is; repeated rows each give a row; columns named like made
+    ones are replaced. One pass, no exchange."""
     made = [("lang_best", T.StringType()), ("lang_score", T.DoubleType()), ("lang_margin", T.DoubleType()), ("lang_rejected", T.BooleanType()), ("lang_id", T.StringType())]
     taken = {name for name, _ in made}
     keep = [c for c in (keep or df.columns) if c.lower() not in taken]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, kind) for name, kind in made])
 
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(model)
+        predictor = Predictor(sent.value)
         for batch in batches:
             found = [predictor.predict(v.as_py()) for v in batch.column(text)]
             best, score, margin = ([f[i] for f in found] for i in range(3))
             rejected = [m < reject_margin for m in margin]
             columns = [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_()), pa.array([UNKNOWN if r else b for b, r in zip(best, rejected, strict=True)], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, names=schema.names)
+        free_memory()
 
     return texts_in_small_batches(df).select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

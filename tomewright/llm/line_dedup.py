@@ -98,7 +98,9 @@ def _near_lines(texts: DataFrame, hashed: DataFrame) -> DataFrame:
     chosen = stash(halves.join(shared, "half", "left_semi").groupBy("_h").agg(*sides), "chosen")
     if chosen.isEmpty():
         return hashed.select("_h", "_g").limit(0)
-    places = long.join(chosen, "_h").groupBy("_h", "_g", "side0", "side1").agg(F.min(F.struct("_key", "_row", "_no")).alias("at"))
+    # Stored, so that a line with very many copies is split in the join and combined before the next shuffle.
+    copies = stash(long.select("_h", "_g", "_key", "_row", "_no").join(chosen, "_h"), "copies")
+    places = copies.groupBy("_h", "_g", "side0", "side1").agg(F.min(F.struct("_key", "_row", "_no")).alias("at"))
     first = _first_lines(texts, stash(places, "places"))
 
     # Keys of all lines less a word in one pass over their words: xor of hashed (word, place), with places after the gap moved.

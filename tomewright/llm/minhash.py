@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash, texts_in_small_batches
+from .common import free_memory, stash, texts_in_small_batches
 from .graph import connected_components
 
 WORDS, THRESHOLD = 5, (80, 100)
@@ -131,6 +131,7 @@ def signatures(df: DataFrame, key: str, text: str, words: int, bands: int, rows:
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in buckets])]).astype(np.int32)
             flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "n_shingles", "set_key", "bands"])
+        free_memory()
 
     schema = T.StructType([T.StructField("doc", df.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return texts_in_small_batches(df).select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -146,6 +147,7 @@ def _sets(df: DataFrame, key: str, text: str, nodes: DataFrame, words: int) -> D
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], names=["node", "want", "size", "shingles", "got"])
+        free_memory()
 
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField("node", kind), T.StructField("want", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("got", T.BinaryType())])
@@ -172,7 +174,8 @@ def _still_possible(open_rows: DataFrame, sets: DataFrame, threshold: tuple[int,
     least low / (low + high) * (size + m) shingles with it, and only shingles that another open node has can be shared."""
     low, high = threshold
     smallest = open_rows.join(sets.select("node", "size"), "node")
-    by_bucket = smallest.groupBy("bucket").agg(F.min("size").alias("mate"))
+    # Stored, so that the join with a hot bucket's members stands alone and can be split.
+    by_bucket = stash(smallest.groupBy("bucket").agg(F.min("size").alias("mate")), "mates")
     mates = smallest.select("bucket", "node").join(by_bucket, "bucket").groupBy("node").agg(F.min("mate").alias("mate"))
     exploded = sets.join(mates.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
     shared = exploded.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("shingle")
@@ -198,8 +201,8 @@ def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
 
 def _against_block(rows: DataFrame, block: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Links (a, b) between components of rows and of a block of bounded size, both (node, component, size, shingles). The block's shingles
-    become an inverted index, sent to the tasks; each row is compared with the whole block by counting there, and names each
-    component that it links to once."""
+    become an inverted index, sent to the tasks; each row is compared with the whole block by counting there. A task names at most one link for each
+    component it meets: those that join classes it has not joined yet."""
     low, high = threshold
     held = block.select("component", "shingles").toArrow()
     names, sets = held["component"].to_pylist(), held["shingles"].combine_chunks()
@@ -212,6 +215,13 @@ def _against_block(rows: DataFrame, block: DataFrame, threshold: tuple[int, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, lengths, keys, starts, owners = sent.value
+        joined: dict = {}
+
+        def root(x):
+            while joined.setdefault(x, x) != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
         for batch in batches:
             a, b = [], []
             for component, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -220,10 +230,13 @@ def _against_block(rows: DataFrame, block: DataFrame, threshold: tuple[int, int]
                 at = at[keys[at] == own]
                 counts = starts[at + 1] - starts[at]
                 places = np.repeat(starts[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-                shared = np.bincount(owners[places], minlength=len(names))
-                linked = {names[i] for i in np.flatnonzero(shared * high >= (len(own) + lengths - shared) * low)} - {component}
-                a += [component] * len(linked)
-                b += sorted(linked)
+                met, shared = np.unique(owners[places], return_counts=True)
+                # A link that follows from the links the task has named already isn't named again.
+                for i in met[shared * high >= (len(own) + lengths[met] - shared) * low]:
+                    if (x := root(component)) != (y := root(names[i])):
+                        joined[y] = x
+                        a.append(component)
+                        b.append(names[i])
             yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b, batch.schema.field(0).type)], names=["a", "b"])
 
     return rows.select("component", "shingles").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
@@ -260,7 +273,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
         # Every pair still to be compared has a node outside its bucket's largest class.
         weights = labels.groupBy("component").agg(F.count("*").alias("weight"))
         weighed = labelled.join(weights, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
-        largest = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "component")).alias("x")).select("bucket", F.col("x.component").alias("largest"))
+        weighed = stash(weighed, "weighed")
+        largest = stash(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "component")).alias("x")).select("bucket", F.col("x.component").alias("largest")), "largest")
         outer = stash(weighed.join(largest, "bucket").where("component <> largest").select("node", "component").distinct(), "outer")
         if (outer.join(sets, "node").agg(F.sum("size")).first()[0] or 0) <= BLOCK_SHINGLES:
             nodes_open = labelled.select("node", "component").distinct()

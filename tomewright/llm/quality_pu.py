@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_in_small_batches
+from .common import free_memory, texts_in_small_batches
 
 #: Bounds of the fitting sample, in documents.
 MOST_POSITIVE, MOST_UNLABELLED = 12_000, 24_000
@@ -162,6 +162,7 @@ def _feature_rows(df: DataFrame, text: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([np.asarray(features(v.as_py()), "<f4").tobytes() for v in batch.column(0)], pa.binary())], names=["x"])
+        free_memory()
 
     rows = texts_in_small_batches(df).select(text).mapInArrow(run, "x binary").collect()
     return np.array(sorted((np.frombuffer(r["x"], "<f4") for r in rows), key=bytes), dtype=float).reshape(-1, N_FEATURES)
@@ -170,7 +171,9 @@ def _feature_rows(df: DataFrame, text: str) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, where: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
     """Learn from documents that hold for where. Trusted positives are documents all of whose labels are 1; zeros are not used.
 
-    Both samples are bounded: the rows with the smallest key hashes, at most MOST_POSITIVE and about MOST_UNLABELLED."""
+    Both samples are bounded: the rows with the smallest key hashes, at most MOST_POSITIVE and about MOST_UNLABELLED. Rows of a null key aren't
+    learned from; repeated rows count as rows; columns besides key, text and label don't matter; of ties by hash the least key is taken.
+    Empty tables, or too few rows, give a model that scores everything 0.5 (learned is False)."""
     rows = (documents.where(where) if where is not None else documents).where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
     order = F.xxhash64("k", F.lit(SEED))
     trusted = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low = 1 and high = 1")
@@ -194,5 +197,6 @@ def score(df: DataFrame, model: QualityModel, text: str = "text", keep: list[str
             x = np.array([features(v.as_py()) for v in batch.column(text)], dtype=float).reshape(-1, N_FEATURES)
             made = model.score(x.astype("<f4").astype(float)) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(made, pa.float64())], names=schema.names)
+        free_memory()
 
     return texts_in_small_batches(df).select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
