@@ -61,3 +61,8 @@ def test_custom_extractor(spark):
     assert names(extract_with(frame(spark, ["a b c", "d d", ""]), Twice())) == [(0, "word", "a"), (0, "word", "b"), (1, "word", "d")]
     with pytest.raises(Exception, match="confidence"):
         extract_with(frame(spark, ["a"]), Twice(1.5)).collect()
+
+
+def test_patterns_that_java_refuses(spark):
+    with pytest.raises(ValueError, match="pattern of x"):
+        extract(frame(spark), PatternSet((("x", r"(?P<n>\d+)"),)))

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tomewright.functions.vectors import HashEmbedder, embed
 from tomewright.operators import legacy, recall, search, upsert
+from tomewright.schemas import TABLES
+from tomewright.sources.store import TableStore
 
 
 def test_upsert(spark):
@@ -30,7 +32,7 @@ def test_entity_resolution(spark):
 def test_mentions(spark):
     links = spark.createDataFrame([("s1", "1", "mentions", 0.5), ("s1", "1", "cites", 0.5), ("s2", "2", "mentions", 0.5), ("gone", "3", "mentions", 0.5)], "segment_id string, entity_id string, link_type string, confidence float")
     segments = spark.createDataFrame([("s1", "r1"), ("s2", "lost")], "id string, ir_id string")
-    counts = lambda least: [(r["id"], r["mention_count"]) for r in recall.mention_counts(entities(spark), links, segments, "n", least=least).collect()]
+    counts = lambda least: [(r["id"], r["mention_count"]) for r in recall.most_first(recall.mention_counts(entities(spark), links, segments, "n", least=least)).collect()]
     assert counts(1) == [("1", 2), ("2", 1)]
     assert counts(0) == [("1", 2), ("2", 1), ("3", 0)]
     resources = spark.createDataFrame([("r1", "n", "u1")], "id string, namespace string, source_uri string")
@@ -96,3 +98,56 @@ def test_legacy_append_and_migration(spark):
     assert sources == {"file:///d/a.pdf": "h", "file:///d/b.pdf": "legacy__d_b.pdf"}
     segments = legacy.migrate_segments(once, "old").collect()
     assert sorted((r["source_uri"], r["segment_index"], r["provenance"]["page"], r["provenance"]["legacy"]) for r in segments) == [(f"file:///d/{k}.pdf", i, i + 1, True) for k in "ab" for i in (0, 1)]
+
+
+def test_upsert_of_null_keys(spark):
+    rows = spark.createDataFrame([(None, "a", 1), ("n", None, 2), (None, None, 3)], "namespace string, source_uri string, v int")
+    twice = upsert.upsert(rows, rows.withColumn("v", F.col("v") + 10), ["namespace", "source_uri"], ["v"])
+    assert sorted(r["v"] for r in twice.collect()) == [11, 12, 13]
+
+
+def test_changes_of_null_hashes(spark):
+    schema = "namespace string, source_uri string, content_hash string"
+    known = spark.createDataFrame([("n", "a", None), ("n", "b", "x"), ("n", "c", None), (None, "d", "x")], schema)
+    current = spark.createDataFrame([("n", "a", "y"), ("n", "b", None), ("n", "c", None), (None, "d", "x"), ("n", "e", None)], schema)
+    got = {r["source_uri"]: r["status"] for r in upsert.resource_changes(known, current).collect()}
+    assert got == {"a": "changed", "b": "changed", "c": "unchanged", "d": "unchanged", "e": "new"}
+
+
+def test_stale_segments_of_an_emptied_resource(spark):
+    known = spark.createDataFrame([("s1", "r1"), ("s2", "r2"), ("s3", "r3")], "id string, ir_id string")
+    current = spark.createDataFrame([("s9", "r2")], "id string, ir_id string")
+    covered = spark.createDataFrame([("r1",), ("r2",)], "ir_id string")
+    assert {r["id"] for r in upsert.stale_segments(known, current, covered).collect()} == {"s1", "s2"}
+
+
+def test_negative_batch(spark):
+    df = spark.createDataFrame([("a", [1.0])], "segment_id string, vector array<float>")
+    with pytest.raises(ValueError):
+        search.top_k_batch(df, {1: [1.0]}, -1)
+
+
+def test_store(spark, tmp_path):
+    """Merges touch their buckets; a reader of the generation before goes on; a generation without a manifest doesn't count."""
+    store = TableStore(spark, f"file://{tmp_path}", buckets=8)
+    with pytest.raises(ValueError):
+        TableStore(spark, "x", buckets=0)
+    assert store.read("segments").count() == 0
+    row = lambda i, text: (f"s{i}", "r", None if i % 5 == 0 else f"n{i % 3}", i, text, None, "h", None)
+    rows = lambda found, text: spark.createDataFrame([row(i, text) for i in found], TABLES["segments"])
+    store.write("segments", rows(range(40), "old"))
+    before = store.read("segments")
+    assert len(store.merge("segments", rows([3], "new"))) == 1
+    assert {r["id"] for r in store.read("segments").where("text = 'new'").collect()} == {"s3"} and store.read("segments").count() == 40
+    assert before.where("text = 'old'").count() == 40
+    store.merge("segments", rows([50, 51], "more"))
+    store.merge("segments", rows([], "none"))
+    store.delete("segments", spark.createDataFrame([("s50",), ("s0",)], "id string"))
+    assert sorted(r["id"] for r in store.read("segments").collect()) == sorted(f"s{i}" for i in [*range(1, 40), 51])
+    assert store.read("segments").where("namespace is null").count() == 7
+    assert len(list((tmp_path / "segments" / "manifests").glob("*.json"))) == 2
+    (tmp_path / "segments" / "gen=99").mkdir()
+    assert TableStore(spark, f"file://{tmp_path}").read("segments").count() == 40
+    for _ in range(2):
+        store.delete("segments", store.read("segments"))
+    assert store.read("segments").count() == 0

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import normalize
 
@@ -29,8 +30,8 @@ def entity_id(namespace: Column, kind: Column, name: Column) -> Column:
 
 
 def file_uri(path: Column) -> Column:
-    """file:// and the absolute path, from a path or a URI of any number of slashes."""
-    return F.concat(F.lit("file://"), F.regexp_replace(path, r"^file:/+", "/"))
+    """file:// and the absolute path, from a path or a URI of any number of slashes; URIs of other schemes as they are."""
+    return F.when(path.rlike(r"^(?!file:)[A-Za-z][A-Za-z0-9+.-]*://"), path).otherwise(F.concat(F.lit("file://"), F.regexp_replace(path, r"^file:/+", "/")))
 
 
 def placeholder_hash(path: Column) -> Column:
@@ -62,3 +63,21 @@ def provenance_key(provenance: Column) -> Column:
         .when(has("table", "row"), joined(field("table"), field("row"), field("col", "")))
         .otherwise(rest)
     )
+
+
+def to_json_fields(df: DataFrame, *columns: str) -> DataFrame:
+    """df with the nested columns as JSON text, under their names and _json; null stays null."""
+    return df.select(*[c for c in df.columns if c not in columns], *[F.to_json(c).alias(f"{c}_json") for c in columns])
+
+
+def from_json_fields(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """df with its columns *_json read back into schema's types and names; no text, or an empty one, gives an empty array or map."""
+
+    def read(field: T.StructField) -> Column:
+        if field.name in df.columns:
+            return F.col(field.name)
+        text = F.col(f"{field.name}_json")
+        empty = F.array() if isinstance(field.dataType, T.ArrayType) else F.create_map()
+        return F.when(text.isNull() | (text == ""), empty.cast(field.dataType)).otherwise(F.from_json(text, field.dataType)).alias(field.name)
+
+    return df.select(*[read(f) for f in schema.fields if f.name in df.columns or f"{f.name}_json" in df.columns])

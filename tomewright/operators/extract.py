@@ -6,7 +6,8 @@ import re
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_space
@@ -42,6 +43,14 @@ class PatternSet:
             except re.error as error:
                 raise ValueError(f"pattern of {kind}: {error}") from error
 
+    def check(self, spark: SparkSession) -> None:
+        """Patterns run in the JVM, whose syntax differs in places: ValueError for what it doesn't take."""
+        for kind, pattern in self.patterns:
+            try:
+                spark._jvm.java.util.regex.Pattern.compile(self.regex(pattern))
+            except IllegalArgumentException as error:
+                raise ValueError(f"pattern of {kind}: {error}") from error
+
     def add(self, kind: str, pattern: str) -> PatternSet:
         """With the pattern in kind's place, or at the end."""
         known = dict(self.patterns) | {kind: pattern}
@@ -79,6 +88,7 @@ def hits(text: Column, patterns: PatternSet) -> Column:
 def extract(df: DataFrame, patterns: PatternSet | None = None, text: str = "text") -> DataFrame:
     """df with a row per hit: type, name, confidence. One pass over the texts for all patterns."""
     patterns = patterns or PatternSet()
+    patterns.check(df.sparkSession)
     if not patterns.patterns:
         return df.select("*", F.lit("").alias("type"), F.lit("").alias("name"), F.lit(0.0).alias("confidence")).limit(0)
     return df.select("*", F.explode(hits(F.col(text), patterns)).alias("_hit")).select(*df.columns, "_hit.type", "_hit.name", "_hit.confidence")

@@ -10,6 +10,8 @@ from ..functions.text import normalize
 from .segment import provenance
 
 CHUNK_WORDS, OVERLAP_WORDS = 400, 50
+#: Ranges of source names that are numbered on their own.
+RANGES = 64
 
 
 def chunk_pages(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
@@ -28,11 +30,20 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLA
 
 def append_chunks(known: DataFrame, chunks: DataFrame) -> DataFrame:
     """known with chunks (and embeddings, null where there are none) appended under ids that go on from the largest. Numbers are
-    dealt per source and added to the running total of the sources before, so only sources are counted in one place."""
+    dealt per source and added to the running total of the sources before: sources are cut into RANGES ranges of names, each
+    summed in its own task, and only the ranges' totals meet in one place."""
     start = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
     per = chunks.groupBy("source_pdf").agg(F.count("*").alias("n"))
-    running = Window.orderBy("source_pdf").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).select("source_pdf", "before")
+    # Names of the least hashes are an even sample, the same on every run; a name's range is the number of these before it.
+    names = chunks.select("source_pdf").where("source_pdf is not null").distinct()
+    cuts = sorted(r[0] for r in names.orderBy(F.xxhash64("source_pdf"), "source_pdf").limit(RANGES - 1).collect())
+    past = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<string>"), lambda cut: cut <= F.col("source_pdf")))
+    per = per.withColumn("range", F.when(F.col("source_pdf").isNull(), -1).otherwise(past))
+    totals = per.groupBy("range").agg(F.sum("n").alias("total"))
+    running = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("range", F.coalesce(F.sum("total").over(running), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy("range").orderBy("source_pdf").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(totals, "range").select("source_pdf", (F.col("own") + F.col("earlier")).alias("before"))
     place = F.row_number().over(Window.partitionBy("source_pdf").orderBy("page_num", "chunk_index"))
     per = per.withColumnRenamed("source_pdf", "of")
     rows = chunks.withColumn("place", place).join(per, F.col("source_pdf").eqNullSafe(F.col("of"))).join(F.broadcast(start))

@@ -41,14 +41,14 @@ def resolve_entity(entities: DataFrame, name: str, namespace: str, type: str | N
 
 def segments_for_entity(entity: DataFrame, links: DataFrame, segments: DataFrame, resources: DataFrame) -> DataFrame:
     """All segments linked to the given entities, with their sources where known."""
-    found = links.join(entity.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    found = links.drop("namespace").join(entity.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
     rows = segments.withColumnRenamed("id", "segment_id").join(found, "segment_id")
     sources = resources.select(F.col("id").alias("ir_id"), "source_uri")
     return rows.drop("source_uri").join(sources, "ir_id", "left")
 
 
 def entities_for_segment(links: DataFrame, entities: DataFrame, segment_id: str | None = None) -> DataFrame:
-    found = links if segment_id is None else links.where(F.col("segment_id") == segment_id)
+    found = (links if segment_id is None else links.where(F.col("segment_id") == segment_id)).drop("namespace")
     return entities.select(*ENTITY_COLUMNS).withColumnRenamed("id", "entity_id").join(found, "entity_id")
 
 
@@ -57,14 +57,24 @@ def segments_for_source(segments: DataFrame, resources: DataFrame, namespace: st
     return segments.drop("source_uri").join(source, "ir_id").orderBy("segment_index", "id")
 
 
+def segments_of_resource(segments: DataFrame, resources: DataFrame, ir_id: str) -> DataFrame:
+    """The segments of a resource by its id, in order. Segments of a resource that isn't there stay, with a null source_uri."""
+    source = by_id(resources, ir_id).select(F.col("id").alias("ir_id"), "source_uri")
+    return segments.where(F.col("ir_id") == ir_id).drop("source_uri").join(source, "ir_id", "left").orderBy("segment_index", "id")
+
+
 def mention_counts(entities: DataFrame, links: DataFrame, segments: DataFrame, namespace: str | None = None, type: str | None = None, least: int = 1) -> DataFrame:
-    """Entities with the number of link rows to segments there are: at least least (0 keeps unlinked ones), most first."""
+    """Entities with the number of link rows to segments there are: at least least (0 keeps unlinked ones). Not in order: most_first sorts."""
     linked = links.join(segments.select(F.col("id").alias("segment_id")), "segment_id", "left_semi")
     counts = linked.groupBy("entity_id").agg(F.count("*").alias("mention_count"))
     own = _filtered(entities, namespace=namespace, type=type)
     rows = own.join(counts, own["id"] == counts["entity_id"], "left").drop("entity_id")
     rows = rows.withColumn("mention_count", F.coalesce("mention_count", F.lit(0).cast("long")))
-    return rows.where(F.col("mention_count") >= least).orderBy(F.desc("mention_count"), "name", "type")
+    return rows.where(F.col("mention_count") >= least)
+
+
+def most_first(counted: DataFrame) -> DataFrame:
+    return counted.orderBy(F.desc("mention_count"), "name", "type", "id")
 
 
 def count_segments(segments: DataFrame, resources: DataFrame, namespace: str | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Upserts as one full outer join each, for tables that are written anew rather than changed in place."""
+"""Upserts as one full outer join each, for tables or buckets that are written anew rather than changed in place."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ UPDATED = {
     "entities": ["aliases", "metadata", "updated_at"],
     "links": ["confidence", "created_at"],
     "embeddings": ["model", "vector", "created_at"],
+    "chunks": ["embedding"],
 }
 
 
@@ -28,14 +29,14 @@ def last_of(df: DataFrame, keys: Sequence[str], order: Column | None) -> DataFra
 
 
 def upsert(known: DataFrame, incoming: DataFrame, keys: Sequence[str], updated: Sequence[str], order: Column | None = None) -> DataFrame:
-    """known with incoming merged in by keys: updated columns take the incoming value, others stay; new keys are added."""
+    """known with incoming merged in by keys: updated columns take the incoming value, others stay; new keys are added. A
+    null is a key like any other."""
     fresh = last_of(incoming.select(*known.columns), keys, order).withColumn("_in", F.lit(True))
     old = known.withColumn("_old", F.lit(True))
-    joined = old.alias("o").join(fresh.alias("n"), list(keys), "full_outer")
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    joined = old.alias("o").join(fresh.alias("n"), same, "full_outer")
 
     def value(c: str) -> Column:
-        if c in keys:
-            return F.col(c)
         new, was = F.col(f"n.{c}"), F.col(f"o.{c}")
         first = F.col("n._in") if c in updated else F.col("o._old").isNull()
         return F.when(first, new).otherwise(was).alias(c)
@@ -44,15 +45,18 @@ def upsert(known: DataFrame, incoming: DataFrame, keys: Sequence[str], updated:
 
 
 def resource_changes(known: DataFrame, current: DataFrame) -> DataFrame:
-    """current (namespace, source_uri, content_hash) with status new, changed or unchanged against known."""
-    old = known.select("namespace", "source_uri", F.col("content_hash").alias("_was"))
-    status = F.when(F.col("_was").isNull(), "new").when(F.col("_was") != F.col("content_hash"), "changed").otherwise("unchanged")
-    return current.join(old, ["namespace", "source_uri"], "left").withColumn("status", status).drop("_was")
-
-
-def stale_segments(known: DataFrame, current: DataFrame) -> DataFrame:
-    """Segments of known, of the resources that current covers, which current no longer has."""
-    return known.join(current.select("ir_id").distinct(), "ir_id", "left_semi").join(current.select("id"), "id", "left_anti").select(*known.columns)
+    """current (namespace, source_uri, content_hash) with status new, changed or unchanged against known. A null hash is a value of its own:
+    unchanged only against a null one."""
+    old = known.select(F.col("namespace").alias("_ns"), F.col("source_uri").alias("_uri"), F.col("content_hash").alias("_was"), F.lit(True).alias("_there"))
+    status = F.when(F.col("_there").isNull(), "new").when(F.col("_was").eqNullSafe(F.col("content_hash")), "unchanged").otherwise("changed")
+    return current.join(old, F.col("namespace").eqNullSafe(F.col("_ns")) & F.col("source_uri").eqNullSafe(F.col("_uri")), "left").withColumn("status", status).drop("_ns", "_uri", "_was", "_there")
+
+
+def stale_segments(known: DataFrame, current: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """Segments of known, of the resources that were read again, which current no longer has. covered (ir_id) names these resources; without it
+    they are those that current has segments of, and a resource that lost all of its own isn't seen."""
+    read_again = (current if covered is None else covered).select("ir_id").distinct()
+    return known.join(read_again, "ir_id", "left_semi").join(current.select("id"), "id", "left_anti").select(*known.columns)
 
 
 def missing_embeddings(segments: DataFrame, embeddings: DataFrame) -> DataFrame:

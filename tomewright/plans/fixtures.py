@@ -1,7 +1,12 @@
-"""The driver's tables seen as a knowledge base: documents are resources, their languages namespaces."""
+"""The driver's tables seen as a knowledge base: documents are resources, their languages namespaces.
+
+Segments, entities, links and vectors are made from the texts for queries about ingest. Queries about recall and search read
+them from a TableStore, which the first such query of an application fills (stored_tables)."""
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +16,26 @@ from ..functions import ids
 from ..operators import legacy, link
 from ..operators.extract import DEFAULT_PATTERNS, PatternSet, extract
 from ..operators.segment import keep_pages, segment_markdown, segment_pages, segment_text
+from ..sources.store import TableStore
 
 #: Patterns that give dense links on the synthetic texts, beside the defaults.
 DENSE = PatternSet((*DEFAULT_PATTERNS, ("token", r"\b[A-Z][a-z]{4,7}\b"), ("tion", r"\b[a-z]{2,6}tion\b")))
 CUSTOM = PatternSet((("token", r"\b[A-Z][a-z]{4,7}\b"), ("tion", r"\b[a-z]{2,6}tion\b")))
 PAGE_CHARS = 1000
+#: Stores filled by this application: (application, folder of the tables) -> folder of the store.
+_filled: dict[tuple[str, str], str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that the session shares with all executors. Where it names none and all runs on one machine (tests), a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="tomewright-kb-")
+        spark.sparkContext.setCheckpointDir(named)
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 class Fixture:
@@ -79,10 +99,40 @@ class Fixture:
     @cached_property
     def embeddings(self) -> DataFrame:
         """Vectors of the first segments of documents whose id is the vector's."""
+        return self._vectors(self.segments).drop("namespace")
+
+    def _vectors(self, segments: DataFrame) -> DataFrame:
         owner = self.resources.select(F.col("doc_id").alias("vec_id"), F.col("id").alias("ir_id"))
-        first = self.segments.where("segment_index = 0").select("ir_id", F.col("id").alias("segment_id"))
+        first = segments.where("segment_index = 0").select("ir_id", F.col("id").alias("segment_id"), "namespace")
         rows = self.table("embeddings").join(owner, "vec_id").join(first, "ir_id")
-        return rows.select("vec_id", "segment_id", F.lit("given").alias("model"), F.col("embedding").alias("vector"))
+        return rows.select("vec_id", "segment_id", F.lit("given").alias("model"), F.col("embedding").alias("vector"), "namespace")
+
+    def fill(self, store: TableStore) -> TableStore:
+        """Ingest everything: resources, segments, entities, links and vectors into an empty store. Segments are read back for what follows
+        from them, so each text is cut and searched once."""
+        none = F.lit(None).cast("timestamp_ntz")
+        meta = F.create_map().cast("map<string,string>")
+        created = F.timestamp_seconds("created_at").cast("timestamp_ntz")
+        store.write("resources", self.bare_resources.select("id", "namespace", "source_type", "source_uri", "content_hash", meta.alias("metadata"), created.alias("created_at"), created.alias("updated_at")))
+        store.write("segments", self.segments.withColumn("created_at", none))
+        hits = extract(store.read("segments").select("id", "namespace", "text"), DENSE).drop("text")
+        store.write("links", link.links_of(hits).withColumn("created_at", none))
+        store.write("entities", link.entities_of(hits).withColumn("aliases", F.array(F.lower("name"))).withColumns({"metadata": meta, "created_at": none, "updated_at": none}))
+        store.write("embeddings", self._vectors(store.read("segments")).drop("vec_id").withColumn("created_at", none))
+        return store
+
+    @cached_property
+    def stored(self) -> dict[str, DataFrame]:
+        """The tables of the filled store."""
+        known = (self.spark.sparkContext.applicationId, self.dir)
+        if known not in _filled:
+            folder = f"{scratch(self.spark)}/kb-{hashlib.sha256('|'.join(known).encode()).hexdigest()[:24]}"
+            self.fill(TableStore(self.spark, folder, buckets=1))  # written once, merged never
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+            _filled[known] = folder
+        store = TableStore(self.spark, _filled[known])
+        return {name: store.read(name) for name in ("resources", "segments", "entities", "links", "embeddings")}
 
     def query_vector(self, vec_id: int) -> list[float]:
         return self.table("embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]

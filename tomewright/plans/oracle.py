@@ -4,16 +4,10 @@ from __future__ import annotations
 
 import re
 
-#: The default patterns again, as RE2 reads them, and those of the catalogue.
-_PATTERNS = {
-    "strain": r"\b[A-Z]{2,4}[A-Z0-9]{3,6}\b",
-    "gene": r"\b[A-Z]{2,5}[0-9]{1,2}\b",
-    "protein": r"\b[a-zA-Z]{2,4}[0-9]{1,3}\b",
-    "email": r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b",
-    "doi": r"\b10\.\d{4,}/[-._;()/:a-zA-Z0-9]+\b",
-    "pmid": r"\bPMID:?\s*(\d{7,8})\b",
-    "accession": r"\b[A-Z]{1,3}\d{5,7}\b",
-}
+from ..operators.extract import DEFAULT_PATTERNS
+
+#: The default patterns, whose syntax RE2 shares.
+_PATTERNS = dict(DEFAULT_PATTERNS)
 _TOKEN, _TION = r"\b[A-Z][a-z]{4,7}\b", r"\b[a-z]{2,6}tion\b"
 _CUSTOM = {"token": _TOKEN, "tion": _TION}
 
@@ -85,8 +79,7 @@ CTES = {
     "near50": "SELECT segment_id FROM semantic LIMIT 50",
     "words": r"SELECT '/data/' || namespace || '/' || substr(source_uri, 7) || '.pdf' AS source_pdf, source_uri, page_num, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM page",
     "chunk": "SELECT source_pdf, source_uri, page_num, i::INT AS chunk_index, 'page_' || page_num || '_chunk_' || i AS location, array_to_string(w[i * 35 + 1:i * 35 + 40], ' ') AS content FROM (SELECT *, unnest(range(0, greatest(1, (len(w) - 5 + 34) // 35))) AS i FROM words WHERE len(w) > 0)",
-    "appended": "SELECT row_number() OVER (ORDER BY (source_pdf LIKE '/data/fr/%')::INT, source_pdf, page_num, chunk_index) AS id, * FROM chunk WHERE source_pdf LIKE '/data/en/%' OR source_pdf LIKE '/data/fr/%'",
-    "appended_all": "SELECT row_number() OVER (ORDER BY (NOT coalesce(source_pdf LIKE '/data/en/%', false))::INT, source_pdf NULLS FIRST, page_num, chunk_index) AS id, * FROM chunk",
+    "appended": "SELECT row_number() OVER (ORDER BY (NOT coalesce(source_pdf LIKE '/data/en/%', false))::INT, source_pdf NULLS FIRST, page_num, chunk_index) AS id, * FROM chunk",
     "moved": f"""SELECT *, 'file://' || source_pdf AS uri, (row_number() OVER (PARTITION BY source_pdf ORDER BY page_num, chunk_index) - 1)::INT AS segment_index, {_id("'migrated'", "'file://' || source_pdf", "page_num || ':' || chunk_index", 'content')} AS id, content AS text FROM chunk""",
 }
 
@@ -111,6 +104,8 @@ def _typed(hits: str) -> str:
 
 _FIXED = "(SELECT 0::INT AS n, 'The CCNA001 strain and BRCA1; mail researcher@example.com.' AS text UNION ALL SELECT 1::INT, 'See 10.1234/abc.DEF-5 and PMID: 12345678, also AB123456.')"
 
+_FIRST = "(SELECT min(name) FROM ent WHERE namespace = 'en' AND type = 'token')"
+
 _BODIES = {
     "register_resources": "SELECT id, namespace, source_uri, content_hash FROM ir",
     "lookup_resource_by_id": "SELECT id, namespace, source_uri FROM ir WHERE id = (SELECT sha256(lang || '|doc://5') FROM documents WHERE doc_id = 5)",
@@ -122,6 +117,7 @@ _BODIES = {
     "normalize_text": f"SELECT doc_id, sha256({_NORM.format('text')}) AS text_hash FROM ir",
     "segment_texts": "SELECT id, namespace, source_uri, segment_index, sentence, sentence_count, text, text_hash FROM seg",
     "segment_ids": "SELECT id, ir_id FROM seg",
+    "ingest_directory": "SELECT text_hash, segment_index FROM seg",
     "stream_ingest": "SELECT id, ir_id FROM seg",
     "segment_pages": "SELECT id, source_uri, segment_index, page, sentence, text FROM page_seg",
     "segment_markdown": "SELECT id, source_uri, heading, para, sentence, text FROM md_seg",
@@ -131,8 +127,8 @@ _BODIES = {
     "segment_preview": "SELECT id, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS preview, substr(id, 1, 8) AS short_id FROM seg",
     "lookup_segment_by_id": "SELECT id, segment_index, text FROM seg WHERE id = (SELECT min(id) FROM seg)",
     "duplicate_text": "SELECT text_hash, count(*) AS copies, min(id) AS first_id FROM seg GROUP BY text_hash HAVING count(*) > 1",
-    "upsert_segments": "SELECT id, segment_index, text_hash FROM seg UNION ALL SELECT id, -1, text_hash FROM later_seg WHERE id NOT IN (SELECT id FROM seg)",
-    "idempotent_reingest": "SELECT run, count(*) AS n, count(DISTINCT id) AS n_ids FROM seg, (VALUES (1), (2)) AS r(run) GROUP BY run",
+    "upsert_segments": "SELECT seg.id, seg.segment_index, seg.text_hash, seg.sentence, CASE WHEN l.id IS NOT NULL THEN 7::INT END AS para FROM seg LEFT JOIN (SELECT DISTINCT id FROM later_seg) AS l ON l.id = seg.id UNION ALL SELECT id, -1, text_hash, sentence, 7::INT FROM later_seg WHERE id NOT IN (SELECT id FROM seg)",
+    "idempotent_reingest": "SELECT run, count(*) AS n, count(DISTINCT id) AS n_ids, true AS same FROM seg, (VALUES (1), (2)) AS r(run) GROUP BY run",
     "stale_segments": "SELECT id, source_uri FROM seg WHERE ir_id IN (SELECT ir_id FROM later_seg) AND id NOT IN (SELECT id FROM later_seg)",
     "extract_entities": _typed(_hits("seg", _PATTERNS)),
     "extract_raw_documents": f"SELECT doc_id, type, name FROM ({_hits('ir', _PATTERNS)})",
@@ -148,38 +144,42 @@ _BODIES = {
     "new_entities": "SELECT id, type, name FROM ent WHERE type <> 'token'",
     "lookup_entity_by_id": "SELECT id, type, name FROM ent WHERE id = (SELECT max(id) FROM ent)",
     "lookup_entity_typed": "SELECT id, type, name FROM ent WHERE namespace = 'en' AND type = 'token' AND name = 'Thtion'",
-    "lookup_entity_untyped": "SELECT id, type, name FROM ent WHERE namespace = 'en' AND (name = 'Thand' OR alias = 'Thand') ORDER BY name, type LIMIT 1",
-    "lookup_entity_alias": "SELECT id, type, name FROM ent WHERE namespace = 'en' AND (name = 'thand' OR alias = 'thand') ORDER BY name, type LIMIT 1",
+    "lookup_entity_untyped": f"SELECT id, type, name FROM ent WHERE namespace = 'en' AND (name = {_FIRST} OR alias = {_FIRST}) ORDER BY name, type LIMIT 1",
+    "lookup_entity_alias": f"SELECT id, type, name FROM ent WHERE namespace = 'en' AND (name = lower({_FIRST}) OR alias = lower({_FIRST})) ORDER BY name, type LIMIT 1",
+    "entity_json": "SELECT id, '[\"' || alias || '\"]' AS aliases_json, '{}' AS metadata_json, 1::INT AS n_aliases, 0::INT AS n_metadata FROM ent",
     "list_entities_by_type": "SELECT id, type, name FROM ent WHERE namespace = 'en' AND type = 'tion'",
     "entity_mention_counts": "SELECT namespace, type, name, n AS mention_count FROM counted",
     "entity_mention_counts_min2": "SELECT type, name, n AS mention_count FROM counted WHERE namespace = 'en' AND type = 'token' AND n >= 2",
-    "entity_mention_counts_min0": "SELECT e.namespace, type, name, count(segment_id) AS mention_count FROM ent AS e LEFT JOIN (SELECT * FROM link WHERE segment_id > '8') AS l ON entity_id = e.id GROUP BY ALL",
+    "entity_mention_counts_min0": "SELECT namespace, type, name, n AS mention_count FROM counted UNION ALL SELECT DISTINCT namespace, 'token', 'Unmentioned', 0 FROM ent",
     "upsert_entities": "SELECT id, name, CASE WHEN type = 'tion' THEN '' ELSE alias END AS aliases FROM ent",
     "upsert_links": "SELECT segment_id, entity_id, CASE WHEN entity_id < '8' THEN 3 ELSE 1 END AS created_at, CASE WHEN entity_id < '8' THEN 0.5::double ELSE round(confidence::double, 6) END AS confidence FROM link",
     "exact_recall": "SELECT segment_id, text, source_uri, link_type, round(confidence::double, 6) AS confidence FROM link JOIN named ON entity_id = named.id JOIN seg ON seg.id = segment_id",
-    "exact_recall_by_name": "SELECT segment_id, entity_id, source_uri FROM link JOIN seg ON seg.id = segment_id WHERE entity_id = (SELECT id FROM ent WHERE namespace = 'en' AND (name = 'Thand' OR alias = 'Thand') ORDER BY name, type LIMIT 1)",
+    "exact_recall_by_name": f"SELECT segment_id, entity_id, source_uri FROM link JOIN seg ON seg.id = segment_id WHERE entity_id = (SELECT id FROM ent WHERE namespace = 'en' AND (name = {_FIRST} OR alias = {_FIRST}) ORDER BY name, type LIMIT 1)",
     "exact_recall_unknown": "SELECT segment_id, entity_id, source_uri FROM link JOIN seg ON seg.id = segment_id WHERE false",
     "entities_for_segment": "SELECT segment_id, entity_id, type, name FROM link JOIN ent ON ent.id = entity_id",
     "segments_for_source": "SELECT id AS segment_id, text, source_uri, segment_index FROM seg WHERE namespace = 'en' AND source_uri = 'doc://2'",
+    "segments_of_resource": "SELECT id AS segment_id, text, source_uri, segment_index FROM seg WHERE source_uri = 'doc://5'",
+    "segments_of_missing_resource": "SELECT id AS segment_id, text, NULL::VARCHAR AS source_uri, segment_index FROM seg WHERE source_uri = 'doc://5'",
     "count_segments": "SELECT count(*) AS segments FROM seg",
     "count_segments_by_namespace": "SELECT count(*) AS segments FROM seg WHERE namespace = 'en'",
     "kb_stats": "SELECT namespace, information_resources, coalesce(segments, 0) AS segments, coalesce(entities, 0) AS entities, coalesce(entity_types, 0) AS entity_types FROM (SELECT namespace, count(*) AS information_resources FROM ir GROUP BY 1) LEFT JOIN (SELECT namespace, count(*) AS segments FROM seg GROUP BY 1) USING (namespace) LEFT JOIN (SELECT namespace, count(*) AS entities, count(DISTINCT type) AS entity_types FROM ent GROUP BY 1) USING (namespace)",
     "namespace_isolation": "SELECT count(*) FILTER (l.namespace <> ent.namespace) AS crossing, count(*) AS links FROM link AS l JOIN ent ON ent.id = entity_id",
     "semantic_topk": "SELECT segment_id, round(score, 6) AS score FROM (SELECT segment_id, list_cosine_similarity(vector::double[], q::double[]) AS score FROM emb, q0) ORDER BY round(score, 12) DESC, segment_id LIMIT 10",
     "semantic_topk_namespace": "SELECT * FROM semantic LIMIT 5",
-    "semantic_topk_batch": "SELECT query_id, segment_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, segment_id) AS rank FROM (SELECT e.vec_id AS query_id, segment_id, list_cosine_similarity(vector::double[], embedding::double[]) AS score FROM emb, embeddings AS e WHERE e.vec_id < 10)) WHERE rank <= 5",
-    "semantic_topk_batch_every50": "SELECT query_id, segment_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, segment_id) AS rank FROM (SELECT e.vec_id AS query_id, segment_id, list_cosine_similarity(vector::double[], embedding::double[]) AS score FROM emb, embeddings AS e WHERE e.vec_id % 50 = 0)) WHERE rank <= 5",
+    "semantic_topk_batch": "SELECT query_id, segment_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, segment_id) AS rank FROM (SELECT e.vec_id AS query_id, segment_id, list_cosine_similarity(vector::double[], embedding::double[]) AS score FROM emb, embeddings AS e WHERE e.vec_id % 50 = 0)) WHERE rank <= 5",
     "embedding_lookup": "SELECT segment_id, 'given' AS model, len(vector)::INT AS size, round(vector[1]::double, 6) AS first FROM emb WHERE vec_id = 7",
     "missing_embeddings": "SELECT id, segment_index FROM seg WHERE id NOT IN (SELECT segment_id FROM emb)",
-    "upsert_embeddings": "SELECT segment_id, CASE WHEN segment_id < '8' THEN 'later' ELSE 'given' END AS model, round(vector[1]::double, 6) AS first FROM emb",
+    "embed_hash": r"""SELECT id, list_transform(range(0, 64), lambda b: coalesce(round((map_extract_value(m, b)::FLOAT / sqrt(l)::FLOAT)::DOUBLE, 4), 0::DOUBLE)) AS vector FROM
+        (SELECT seg.id, coalesce(m, MAP {}) AS m, l FROM seg LEFT JOIN (SELECT id, map(list(b), list(v)) AS m, sum(v * v) AS l FROM
+        (SELECT id, ('0x' || substr(md5(f), 1, 8))::BIGINT % 64 AS b, sum(CASE WHEN ('0x' || substr(md5(f), 9, 1))::BIGINT >= 8 THEN 1 ELSE -1 END) AS v FROM
+        (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM (SELECT id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM seg)) GROUP BY id, b) GROUP BY id) AS g ON g.id = seg.id)""",
+    "upsert_embeddings": "SELECT segment_id, CASE WHEN segment_id < '8' THEN 'later' ELSE 'given' END AS model, list_transform(vector, lambda v: round(CASE WHEN segment_id < '8' THEN -v::double ELSE v::double END, 6)) AS vector FROM emb",
     "compare_exact_vs_semantic": "SELECT 'top' AS entity_name, e AS exact_count, s AS semantic_count, o AS overlap_count, e - o AS missed_by_semantic_count, s - o AS false_positive_count, CASE WHEN e > 0 THEN round(o / e, 6) ELSE 0::double END AS recall, CASE WHEN s > 0 THEN round(o / s, 6) ELSE 0::double END AS precision, coalesce(m, '') AS missed_segments FROM (SELECT (SELECT count(*) FROM exact) AS e, (SELECT count(*) FROM near50) AS s, (SELECT count(*) FROM exact JOIN near50 USING (segment_id)) AS o, (SELECT string_agg(segment_id, ',' ORDER BY segment_id) FROM (SELECT segment_id FROM exact WHERE segment_id NOT IN (SELECT segment_id FROM near50) ORDER BY segment_id LIMIT 10)) AS m)",
     "missed_segments": "SELECT segment_id FROM exact WHERE segment_id NOT IN (SELECT segment_id FROM near50)",
     "legacy_chunk": "SELECT source_pdf, page_num, chunk_index, location, content FROM chunk",
     "legacy_append": "SELECT id, source_pdf, page_num, chunk_index FROM appended",
     "legacy_count": "SELECT count(*) AS chunks, coalesce(max(id), 0) AS max_id FROM appended",
-    "legacy_append_all": "SELECT id, source_pdf, page_num, chunk_index FROM appended_all",
-    "legacy_count_all": "SELECT count(*) AS chunks, coalesce(max(id), 0) AS max_id FROM appended_all",
-    "legacy_search": "SELECT source_pdf, page_num, content, round(score, 6) AS score FROM (SELECT c.*, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) AS score FROM chunk AS c JOIN embeddings AS e ON c.source_uri = 'doc://' || e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 3) AS q WHERE page_num = 1 AND chunk_index = 0) ORDER BY round(score, 12) DESC, source_pdf LIMIT 5",
+    "legacy_search": "SELECT source_pdf, page_num, chunk_index, content, round(score, 6) AS score FROM (SELECT c.*, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) AS score FROM chunk AS c JOIN embeddings AS e ON c.source_uri = 'doc://' || e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 3) AS q) ORDER BY round(score, 12) DESC, source_pdf, page_num, chunk_index LIMIT 5",
     "legacy_sources": "SELECT DISTINCT source_pdf FROM chunk",
     "migrate_sources": "SELECT DISTINCT sha256('migrated|file://' || source_pdf) AS id, 'migrated' AS namespace, 'file://' || source_pdf AS source_uri, 'legacy_' || replace(source_pdf, '/', '_') AS content_hash, source_pdf AS original_path FROM chunk",
     "migrate_segments": "SELECT id, sha256('migrated|' || uri) AS ir_id, segment_index, page_num AS page, chunk_index, location FROM moved",

@@ -17,9 +17,12 @@ PROVENANCE = _fields(page=_INT, sentence=_INT, sentence_count=_INT, heading_path
 RESOURCES = _fields(id=_TEXT, namespace=_TEXT, source_type=_TEXT, source_uri=_TEXT, content_hash=_TEXT, metadata=_MAP, created_at=_TIME, updated_at=_TIME)
 SEGMENTS = _fields(id=_TEXT, ir_id=_TEXT, namespace=_TEXT, segment_index=_INT, text=_TEXT, provenance=PROVENANCE, text_hash=_TEXT, created_at=_TIME)
 ENTITIES = _fields(id=_TEXT, namespace=_TEXT, type=_TEXT, name=_TEXT, aliases=T.ArrayType(_TEXT), metadata=_MAP, created_at=_TIME, updated_at=_TIME)
-LINKS = _fields(segment_id=_TEXT, entity_id=_TEXT, link_type=_TEXT, confidence=T.FloatType(), created_at=_TIME)
-EMBEDDINGS = _fields(segment_id=_TEXT, model=_TEXT, vector=T.ArrayType(T.FloatType()), created_at=_TIME)
+#: Links and vectors carry their segment's namespace, by which they are laid out.
+LINKS = _fields(segment_id=_TEXT, entity_id=_TEXT, link_type=_TEXT, confidence=T.FloatType(), namespace=_TEXT, created_at=_TIME)
+EMBEDDINGS = _fields(segment_id=_TEXT, model=_TEXT, vector=T.ArrayType(T.FloatType()), namespace=_TEXT, created_at=_TIME)
 CHUNKS = _fields(id=T.LongType(), source_pdf=_TEXT, page_num=_INT, chunk_index=_INT, location=_TEXT, content=_TEXT, embedding=T.ArrayType(T.FloatType()))
 
 TABLES = {"resources": RESOURCES, "segments": SEGMENTS, "entities": ENTITIES, "links": LINKS, "embeddings": EMBEDDINGS, "chunks": CHUNKS}
 KEYS = {"resources": ["namespace", "source_uri"], "segments": ["id"], "entities": ["namespace", "type", "name"], "links": ["segment_id", "entity_id", "link_type"], "embeddings": ["segment_id"], "chunks": ["id"]}
+#: Columns whose hash is a row's bucket.
+BUCKETED_BY = {"resources": ["namespace", "source_uri"], "segments": ["id"], "entities": ["namespace", "type", "name"], "links": ["segment_id"], "embeddings": ["segment_id"], "chunks": ["id"]}

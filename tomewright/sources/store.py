@@ -1,48 +1,140 @@
-"""Tables as versions of Parquet folders: a table is read from its last finished version and written as the next one."""
+"""Tables as buckets of Parquet files: a merge writes the buckets it touches anew and leaves the others alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Sequence
 
-from ..schemas import KEYS, TABLES
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Tables laid out by namespace, so that a query of one namespace reads only its files.
-PARTITIONED = {"resources", "segments", "entities"}
+from ..operators.upsert import UPDATED, upsert
+from ..schemas import BUCKETED_BY, KEYS, TABLES
+
+#: Tables laid out by namespace inside their buckets, so that a query of one namespace reads only its files.
+PARTITIONED = {"resources", "segments", "entities", "links", "embeddings"}
+BUCKETS = 16
 
 
 class TableStore:
-    """Single writer. A version counts once Spark's success marker is there, so a failed write leaves the last one in force."""
+    """Single writer. A row's bucket is the hash of its table's bucket columns. Each write is a generation: a folder of the buckets that it wrote. The
+    manifest of the generation names, for each bucket, the generation that holds it; it is put in place last, by a
+    rename, so a failed write leaves the last manifest in force. buckets counts for tables that don't exist yet (16 serve
+    small tables; a bucket should come to some gigabytes)."""
 
-    def __init__(self, spark: SparkSession, path: str, keep_versions: int = 2):
-        self.spark, self.path, self.keep_versions = spark, path.rstrip("/"), max(1, keep_versions)
+    def __init__(self, spark: SparkSession, path: str, keep_versions: int = 2, buckets: int = BUCKETS):
+        if buckets < 1:
+            raise ValueError("buckets must be 1 or more")
+        self.spark, self.path, self.keep_versions, self.buckets = spark, path.rstrip("/"), max(1, keep_versions), buckets
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _versions(self, table: str) -> list[int]:
-        folder = self._hadoop(f"{self.path}/{table}")
+    # Manifests
+
+    def _generations(self, table: str) -> list[int]:
+        folder = self._hadoop(f"{self.path}/{table}/manifests")
         if not self._fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self._fs.exists(self._hadoop(f"{self.path}/{table}/{n}/_SUCCESS")))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+    def _manifest(self, table: str, generation: int) -> dict:
+        stream = self._fs.open(self._hadoop(f"{self.path}/{table}/manifests/{generation:08d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _last(self, table: str) -> tuple[int, dict]:
+        known = self._generations(table)
+        return (known[-1], self._manifest(table, known[-1])) if known else (0, {"buckets": self.buckets, "live": {}})
+
+    def _publish(self, table: str, generation: int, manifest: dict) -> None:
+        folder = f"{self.path}/{table}/manifests"
+        written = self._hadoop(f"{folder}/writing")
+        stream = self._fs.create(written, True)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        self._fs.rename(written, self._hadoop(f"{folder}/{generation:08d}.json"))
+        self._clean(table)
+
+    def _clean(self, table: str) -> None:
+        """Old manifests go, and generations that none of the kept ones names."""
+        known = self._generations(table)
+        kept = known[-self.keep_versions :]
+        named = {g for k in kept for g in self._manifest(table, k)["live"].values()}
+        for old in known[: -self.keep_versions]:
+            self._fs.delete(self._hadoop(f"{self.path}/{table}/manifests/{old:08d}.json"), False)
+        for status in self._fs.listStatus(self._hadoop(f"{self.path}/{table}")):
+            name = status.getPath().getName()
+            if name.startswith("gen=") and int(name[4:]) not in named and int(name[4:]) <= known[-1]:
+                self._fs.delete(status.getPath(), True)
+
+    # Rows
+
+    def _bucket(self, table: str, count: int) -> Column:
+        return F.pmod(F.xxhash64(*BUCKETED_BY[table]), F.lit(count)).cast("int")
 
-    def read(self, table: str) -> DataFrame:
-        schema, versions = TABLES[table], self._versions(table)
-        if not versions:
+    def read(self, table: str, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The table, or some of its buckets. Buckets that newer generations replaced are left out by their folder names alone."""
+        schema, (_, manifest) = TABLES[table], self._last(table)
+        held: dict[int, list[int]] = {}
+        for bucket, generation in manifest["live"].items():
+            if buckets is None or int(bucket) in buckets:
+                held.setdefault(generation, []).append(int(bucket))
+        if not held:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{table}/v{versions[-1]:08d}")
-        return rows.select(*schema.names)
+        full = T.StructType([*schema.fields, T.StructField("gen", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+        folder = f"{self.path}/{table}"
+        rows = self.spark.read.schema(full).option("basePath", folder).parquet(*[f"{folder}/gen={g}" for g in sorted(held)])
+        live = F.lit(False)
+        for generation, own in held.items():
+            live = live | ((F.col("gen") == generation) & F.col("bucket").isin(own))
+        return rows.where(live).select(*schema.names)
 
-    def write(self, table: str, rows: DataFrame) -> None:
-        """The whole table anew. rows may read the version before."""
-        versions = self._versions(table)
-        number = versions[-1] + 1 if versions else 1
-        folder = f"{self.path}/{table}/v{number:08d}"
+    def _written(self, table: str, rows: DataFrame, generation: int, count: int) -> set[int]:
+        """Write rows as a generation; the buckets that have rows."""
+        folder = f"{self.path}/{table}/gen={generation}"
         self._fs.delete(self._hadoop(folder), True)  # what a failed write left
-        ready = rows.select(*TABLES[table].names)
-        writer = ready.write.partitionBy("namespace") if table in PARTITIONED else ready.write
-        writer.parquet(folder)
-        for old in versions[: -self.keep_versions + 1 or None] if self.keep_versions > 1 else versions:
-            self._fs.delete(self._hadoop(f"{self.path}/{table}/v{old:08d}"), True)
+        laid = ["bucket", *(["namespace"] if table in PARTITIONED else [])]
+        ready = rows.select(*TABLES[table].names).withColumn("bucket", self._bucket(table, count))
+        # One shuffle by bucket and a hash of the rest: files of a bucket are few, and a hot one is still dealt to several tasks.
+        ready.repartition("bucket", F.pmod(F.xxhash64(*KEYS[table]), F.lit(4))).write.partitionBy(*laid).parquet(folder)
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop(folder))]
+        return {int(n.removeprefix("bucket=")) for n in found if n.startswith("bucket=")}
+
+    def write(self, table: str, rows: DataFrame) -> None:
+        """The whole table anew. rows may read the table as it is."""
+        last, manifest = self._last(table)
+        filled = self._written(table, rows, last + 1, manifest["buckets"])
+        self._publish(table, last + 1, {"buckets": manifest["buckets"], "live": {str(b): last + 1 for b in sorted(filled)}})
+
+    def _replace(self, table: str, touched: list[int], rows: DataFrame) -> None:
+        last, manifest = self._last(table)
+        filled = self._written(table, rows, last + 1, manifest["buckets"])
+        live = {b: g for b, g in manifest["live"].items() if int(b) not in touched} | {str(b): last + 1 for b in filled}
+        self._publish(table, last + 1, {"buckets": manifest["buckets"], "live": live})
+
+    def touched(self, table: str, rows: DataFrame) -> list[int]:
+        """The buckets of rows, which have the table's bucket columns; as many numbers as there are buckets at most."""
+        _, manifest = self._last(table)
+        return sorted(r[0] for r in rows.select(self._bucket(table, manifest["buckets"]).alias("b")).distinct().collect())
+
+    def merge(self, table: str, incoming: DataFrame, order: Column | None = None) -> list[int]:
+        """Upsert incoming by the table's keys. Only the buckets that it has rows of are read and written; returns them."""
+        touched = self.touched(table, incoming)
+        if touched:
+            self._replace(table, touched, upsert(self.read(table, touched), incoming, KEYS[table], UPDATED[table], order))
+        return touched
+
+    def delete(self, table: str, gone: DataFrame) -> list[int]:
+        """Take out the rows whose bucket columns are in gone (of those columns). Returns the buckets written."""
+        on = BUCKETED_BY[table]
+        touched = self.touched(table, gone)
+        if touched:
+            self._replace(table, touched, self.read(table, touched).join(gone.select(*on).distinct(), on, "left_anti"))
+        return touched
 
     def keys(self, table: str) -> list[str]:
         return KEYS[table]
