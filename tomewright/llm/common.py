@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,12 +71,29 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
 
+@contextlib.contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """What runs inside removes its shuffle files when it ends. The session's own setting comes back after."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, a lost executor costs
-    no recomputation, and later joins know the true size. The folder goes when the JVM ends."""
+    no recomputation, and later joins know the true size. The shuffle files of the write go with its end, as nothing
+    reads them again; the folder goes when the JVM ends."""
     spark = ship(df.sparkSession)
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_cleaned(spark):
+        df.write.parquet(path)
     delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,7 +13,8 @@ words on, one word in each full 15 of the longer line. All steps are DataFrame o
 4. The edit distance of each pair is verified on the words. Lines with an earlier near line go, wherever they stand.
 5. Lines that more edits may join share a run of 10 words, as k edits cut N words into k + 1 runs. Of each 7 neighbouring
    four-word runs the least hash is a key, so two lines with such a run share a key, wherever it stands. A line meets the
-   earliest line of its key and length class first; only lines not near to that one meet all earlier ones of their keys.
+   earliest line of its key and length class first; only lines not near to that one meet all earlier ones of their keys. Pairs whose words,
+   counted in a few classes, differ by more than the edits allow are dropped before any text is joined.
    Word edit distances are verified by characters that stand for words. Keys of which many lines stay open cost up to
    the square of these.
 """
@@ -31,6 +32,8 @@ MIN_WORDS, NEAR_WORDS = 5, 10
 WORDS_PER_EDIT = 15
 #: Words of a run that is hashed into a key of step 5.
 GRAM_WORDS = 4
+#: Lines of more words aren't sketched: a count would not fit its byte. Seeds of the sketches.
+SKETCHED_WORDS, SKETCHES = 255, (3, 4)
 #: Characters that stand for words by hash; the 112,000 others are for words whose hashes clash within a pair of lines.
 NUMBERS = 1_000_000
 
@@ -78,15 +81,19 @@ def _edit_distance_at_most_one(a: str, b: str) -> Column:
 
 
 def _first_lines(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """The lines in places (_h, _g, at and others), each once, with w (words) and r, a number that grows with at."""
+    """The lines in places (_h, _g, at and others), each once, with _line and r, a number that grows with at."""
     # The earliest places of these lines, gathered by text, say which lines to take from which texts.
     rest = [c for c in places.columns if c != "at"]
     by_text = stash(places.groupBy("at._key", "at._row").agg(F.collect_list(F.struct(*places.columns)).alias("wanted")), "by_text")
     rows = texts.join(by_text, texts["_key"].eqNullSafe(by_text["_key"]) & (texts["_row"] == by_text["_row"])).select(F.split(_plain(F.col("_t")), "\n", -1).alias("_split"), "wanted")
-    first = rows.select("_split", F.explode("wanted").alias("x")).select("x.at", *[f"x.{c}" for c in rest], F.split(F.trim(F.get("_split", F.col("x.at._no"))), " ", -1).alias("w"))
-    # Numbers instead of places: they are compared and gathered as longs.
-    numbered = first.dropDuplicates(["_h", "_g"]).orderBy("at").withColumn("r", F.monotonically_increasing_id())
-    return stash(numbered.drop("at"), "first")
+    first = rows.select("_split", F.explode("wanted").alias("x")).select("x.at", *[f"x.{c}" for c in rest], F.trim(F.get("_split", F.col("x.at._no"))).alias("_line"))
+    # Repeated rows bring a place several times. Numbers instead of places: they are compared and gathered as longs.
+    once = first.groupBy("at").agg(*[F.first(c).alias(c) for c in (*rest, "_line")])
+    return stash(once.orderBy("at").drop("at").withColumn("r", F.monotonically_increasing_id()), "first")
+
+
+def _words(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("w", F.split("_line", " ", -1)).drop("_line")
 
 
 def _near_lines(texts: DataFrame, hashed: DataFrame) -> DataFrame:
@@ -104,8 +111,7 @@ def _near_lines(texts: DataFrame, hashed: DataFrame) -> DataFrame:
     first = _first_lines(texts, stash(places, "places"))
 
     # Keys of all lines less a word in one pass over their words: xor of hashed (word, place), with places after the gap moved.
-    n = F.size("w")
-    words = first.repartition("r").select("r", n.alias("n"), "side0", "side1", F.posexplode("w").alias("i", "word"))
+    words = _words(first.repartition("r")).select("r", F.size("w").alias("n"), "side0", "side1", F.posexplode("w").alias("i", "word"))
     seeds = (0, 1)
     words = words.withColumns({f"a{s}": F.xxhash64(F.lit(s), "word", "i") for s in seeds} | {f"b{s}": F.xxhash64(F.lit(s), "word", F.col("i") - 1) for s in seeds})
     line = Window.partitionBy("r").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -129,9 +135,10 @@ def _near_lines(texts: DataFrame, hashed: DataFrame) -> DataFrame:
     groups = stash(keys.groupBy("k0", "k1").agg(*least).where(F.least("whole", "shorter") < F.col("high")).drop("high"), "groups")
     partner = F.when(F.col("role") == 1, F.col("shorter")).otherwise(F.col("whole"))
     pairs = keys.join(groups, ["k0", "k1"]).select("r", partner.alias("partner")).where("partner < r").distinct()
-    left = first.select("r", "_h", "_g", F.col("w").alias("w_a"))
-    right = first.select(F.col("r").alias("partner"), F.col("w").alias("w_b"))
-    return pairs.join(right, "partner").join(left, "r").where(_edit_distance_at_most_one("w_a", "w_b")).select("_h", "_g").distinct()
+    left = first.select("r", "_h", "_g", F.col("_line").alias("line_a"))
+    right = first.select(F.col("r").alias("partner"), F.col("_line").alias("line_b"))
+    both = pairs.join(right, "partner").join(left, "r")
+    return both.withColumns({"w_a": F.split("line_a", " ", -1), "w_b": F.split("line_b", " ", -1)}).where(_edit_distance_at_most_one("w_a", "w_b")).select("_h", "_g").distinct()
 
 
 def _run_words(per: int) -> tuple[int, int]:
@@ -158,11 +165,13 @@ def _as_characters(numbers: Column) -> Column:
 
 def _within(pairs: DataFrame, lines: DataFrame, per: int) -> DataFrame:
     """r of the pairs (r, p_r) whose word edit distance is in the bound."""
-    right = lines.select(F.col("r").alias("p_r"), F.col("w").alias("w_b"), F.col("code").alias("code_b"))
-    left = lines.select("r", F.col("w").alias("w_a"), F.col("code").alias("code_a"))
+    code = lambda w: _as_characters(F.transform(w, _number))
     bound = f"greatest(size(w_a), size(w_b)) div {per}"
     # Characters shared by different words make distances less, never more: a pair that passes is checked again with own characters for these.
-    passed = pairs.join(right, "p_r").join(left, "r").where(F.expr(f"levenshtein(code_a, code_b, cast({bound} as int)) >= 0"))
+    right = lines.select(F.col("r").alias("p_r"), F.col("_line").alias("line_b"))
+    both = pairs.join(right, "p_r").join(lines.select("r", F.col("_line").alias("line_a")), "r")
+    split = both.select("r", F.split("line_a", " ", -1).alias("w_a"), F.split("line_b", " ", -1).alias("w_b"))
+    passed = split.withColumns({"code_a": code("w_a"), "code_b": code("w_b")}).where(F.expr(f"levenshtein(code_a, code_b, cast({bound} as int)) >= 0"))
     bind = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  (computed once, not for each element)
 
     def distance(known: Column, clashing: Column) -> Column:
@@ -180,6 +189,20 @@ def _number(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(NUMBERS))
 
 
+def _counts(words: str, seed: int) -> Column:
+    """Words by hash in seven classes, counted in a byte each of one number."""
+    one = lambda w: F.element_at(F.array(*[F.lit(1 << 8 * i).cast("long") for i in range(7)]), (F.pmod(F.xxhash64(F.lit(seed), w), F.lit(7)) + 1).cast("int"))
+    counted = F.aggregate(words, F.lit(0).cast("long"), lambda total, w: total + one(w))
+    return F.when(F.size(words) <= SKETCHED_WORDS, counted).otherwise(F.lit(0).cast("long"))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Sum of the differences of the counts: two at most for each word edit."""
+    count = lambda x, i: F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))
+    parts = [F.abs(count(a, i) - count(b, i)) for i in range(7)]
+    return sum(parts[1:], parts[0])
+
+
 def _near_by_more_edits(texts: DataFrame, hashed: DataFrame, near: DataFrame, per: int) -> DataFrame:
     """near, and _h, _g of the lines that have an earlier line in reach of more than one edit."""
     long = hashed.where(F.size("_keys") > 0)
@@ -190,15 +213,19 @@ def _near_by_more_edits(texts: DataFrame, hashed: DataFrame, near: DataFrame, pe
         return near
     places = long.select("_h", "_g", F.struct("_key", "_row", "_no").alias("at")).groupBy("_h", "_g").agg(F.min("at").alias("at"))
     lines = _first_lines(texts, stash(places.join(found, "_h"), "places"))
-    lines = stash(lines.withColumn("code", _as_characters(F.transform("w", _number))), "coded")
     n = F.size("w")
-    members = stash(lines.select("r", n.alias("n"), F.floor(F.log(n) * 8).alias("class"), F.explode("keys").alias("k")), "keyed")
+    sketched = stash(lines.select("r", "keys", F.split("_line", " ", -1).alias("w")).select("r", "keys", n.alias("n"), *[_counts("w", seed).alias(f"s{seed}") for seed in SKETCHES]), "sketched")
+    n, sketches = F.col("n"), [f"s{seed}" for seed in SKETCHES]
+    members = stash(sketched.select("r", n, *sketches, F.floor(F.log(n) * 8).alias("class"), F.explode("keys").alias("k")), "keyed")
     longer = F.greatest("n", "p_n")
-    reach = (F.col("p_r") < F.col("r")) & (longer >= 2 * per) & (F.abs(F.col("n") - F.col("p_n")) <= F.floor(longer / per))
-    named = [F.col("r").alias("p_r"), F.col("n").alias("p_n")]
+    bound = F.floor(longer / per)
+    reach = (F.col("p_r") < F.col("r")) & (longer >= 2 * per) & (F.abs(F.col("n") - F.col("p_n")) <= bound)
+    for c in sketches:
+        reach = reach & ((longer > SKETCHED_WORDS) | (_apart(F.col(c), F.col(f"p_{c}")) <= 2 * bound))
+    named = [F.col(c).alias(f"p_{c}") for c in ("r", "n", *sketches)]
 
     known = lines.join(near, ["_h", "_g"], "left_semi").select("r")
-    earliest = members.groupBy("k", "class").agg(F.min("r").alias("r"), F.min_by("n", "r").alias("n")).select("k", "class", *named)
+    earliest = members.groupBy("k", "class").agg(F.min("r").alias("r"), *[F.min_by(c, "r").alias(c) for c in ("n", *sketches)]).select("k", "class", *named)
     pairs = members.join(known, "r", "left_anti").join(earliest, ["k", "class"]).where(reach).select("r", "p_r").distinct()
     met = stash(known.unionByName(_within(pairs, lines, per)), "near_first")
     pairs = members.join(met, "r", "left_anti").join(members.select("k", *named), "k").where(reach).select("r", "p_r").distinct()
