@@ -29,8 +29,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated and nearly repeated lines out of texts; a document that so loses its last word goes. n_chars follows the text."""
-    cleaned = line_dedup.dedup_lines(docs)
+    """Takes repeated lines, and those one word edit from an earlier one, out of texts; a document that so loses its last word goes. n_chars
+    follows the text. Bounds that grow with the length make pairs grow with the square of a hot passage's lines (README)."""
+    cleaned = line_dedup.dedup_lines(docs, words_per_edit=None)
     emptied = (F.col("n_exact") + F.col("n_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     changed = F.col("n_exact") + F.col("n_near") > 0
     counted = {"n_chars": F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
