@@ -98,10 +98,10 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held_out(doc_id: Column | str = "doc_id") -> Column:
-    """Rows that learning must not see: crc32 of the id as text, modulo 4, is 2."""
+def held_out(doc_id: Column | str = "doc_id", modulus: int = 4, rest: int = 2) -> Column:
+    """Rows that learning must not see: crc32 of the id as text, modulo 4, is 2 (or as said)."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
 def other_columns(df: DataFrame, *made: str) -> list[str]:

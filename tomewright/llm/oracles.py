@@ -52,6 +52,35 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN j USING (doc_id)"""
 
+_CODE_PARTS, _CODE_ENTRIES = 16, 64
+_APART = "list_sum(list_transform(list_zip(v, e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+_NEAREST = f"SELECT r, part, any_value(v) AS v, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT r, part, v, entry, {_APART} AS d FROM p JOIN {{0}} USING (part)) GROUP BY r, part"
+_MEANS = "SELECT part, entry, coalesce(m, e) AS e FROM {0} LEFT JOIN (SELECT part, entry, list(m ORDER BY j) AS m FROM (SELECT part, entry, j, floor(sum(v[j])::DOUBLE / count(*))::BIGINT AS m FROM (SELECT *, unnest(range(1, len(v) + 1)) AS j FROM {1}) GROUP BY ALL) GROUP BY part, entry) USING (part, entry)"
+
+OP11 = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // {_CODE_PARTS}) + 1:(part + 1) * (len(v) // {_CODE_PARTS})] AS v FROM (SELECT *, unnest(range(0, {_CODE_PARTS})) AS part FROM k)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v AS e FROM p WHERE r <= {_CODE_ENTRIES}),
+a0 AS MATERIALIZED ({_NEAREST.format('c0')}), c1 AS MATERIALIZED ({_MEANS.format('c0', 'a0')}),
+a1 AS MATERIALIZED ({_NEAREST.format('c1')}), c2 AS MATERIALIZED ({_MEANS.format('c1', 'a1')}),
+a2 AS MATERIALIZED ({_NEAREST.format('c2')}),
+o AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r),
+s AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN o USING (r), s"""
+
+_TERMS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents),
+i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+g AS (SELECT count(*) AS n_all, sum(len(ws))::BIGINT AS l_all FROM d WHERE len(ws) > 0),
+m AS (SELECT r, doc_id, 75 + (25 * len(ws) * n_all) // l_all AS m FROM d, g WHERE len(ws) > 0),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM f GROUP BY t), g),
+s AS (SELECT item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score, any_value(doc_id) AS doc_id FROM i JOIN w USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY item_id, r)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20"""
+
 ORACLES = {
     "op3_quality_rules": quality_rules.oracle(),
     "op4_warc": OP4,
@@ -59,4 +88,6 @@ ORACLES = {
     "op6_minhash": OP6,
     "op8_line_dedup": line_dedup.oracle(),
     "op9_decontamination": OP9,
+    "op11_vector_codes": OP11,
+    "op13_lexical_search": OP13,
 }

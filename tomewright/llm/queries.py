@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, line_dedup, minhash, quality_pu, quality_rules, shard, warc
+from . import bpe, chat, decontam, langid, lexical, line_dedup, minhash, quality_pu, quality_rules, shard, toxicity, vector_codes, warc
 from .common import held_out, shared_folder, table, text_or_empty
 from .oracles import ORACLES  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-KEPT_SCORE = 0.7
+KEPT_SCORE, TOXIC_SCORE = 0.7, 0.5
 
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), F.col("lang_best").alias("lang_pred"), F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.product_codes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), vector="embedding")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest if books else "").alias("codebooks_sha256"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unseen = held_out(modulus=5, rest=0)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~unseen)
+    scored = toxicity.score(documents, model, keep=["doc_id"], out="score")
+    return scored.select("doc_id", unseen.alias("held_out"), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_byte_bpe": op2_byte_bpe,
@@ -97,4 +115,7 @@ QUERIES = {
     "op8_line_dedup_by_length": op8_line_dedup_by_length,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_toxicity": op12_toxicity,
+    "op13_lexical_search": op13_lexical_search,
 }
