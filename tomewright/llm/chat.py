@@ -1,9 +1,9 @@
 """Chat formatting of reply trees.
 
 Messages form trees by their parents. Iterative self-joins double the reach: after k joins every message knows its ancestor 2**k steps
-up and the scores on the way, so a thread of a thousand replies takes ten joins. Leaves are ranked by the mean score of
-their paths; only the chosen paths are then enumerated, by the same jumps, and each becomes one conversation: a text in
-the template below, with spans of characters for the loss mask.
+up and the scores on the way. Leaves are ranked by the mean score of their paths; only the chosen paths are then enumerated, by the
+same jumps, and each becomes one conversation: a text in the template below, with spans of characters for the loss mask. Each
+jump is stored, so a thread of a thousand replies takes ten joins up and ten back, and no plan holds more than one of them.
 
 Template: a turn is "### ", the role with an upper-case first letter, ": ", the text, " </turn>", a line end. Inside roles and texts every
 backslash and the first character of every control string gets a backslash before it, which parsing takes off again.
@@ -101,7 +101,7 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     reached = chosen.select("t", "leaf", F.col("leaf").alias("node"), (F.col("length") - 1).cast("int").alias("depth"))
     for k in range(len(steps) - 1, -1, -1):
         further = reached.join(steps[k], ["t", "node"]).select("t", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        reached = reached.unionByName(further)
+        reached = stash(reached.unionByName(further), "reached")  # else each jump's plan would hold that of the last one twice
     return reached.join(rows.drop("score", "parent"), ["t", "node"]).select("tree", "leaf", "depth", "role", "text")
 
 
