@@ -57,7 +57,9 @@ def test_equal_to_brute_force(spark):
     assert found.columns.count("n_hit") == 1
     assert result(found) == brute(docs, items)
     # Several blocks of items and a shard for each few texts change nothing.
-    assert result(decontam.find(df, bench, block_bytes=60)) == brute(docs, items)
+    many = decontam.find(df, bench, block_bytes=60)
+    assert result(many) == brute(docs, items)
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
 def test_small_shards(spark, monkeypatch):
@@ -92,6 +94,13 @@ def test_empty_tables(spark):
     assert result(decontam.find(df, bench.limit(0))) == brute(docs, [])
 
 
+def test_removal_leaves_other_columns_alone(spark):
+    df = spark.createDataFrame([(1, "clean text", 7, "x", True), (2, None, 8, "y", None)], "doc_id long, text string, n_words int, N_HIT string, contaminated boolean")
+    bench = spark.createDataFrame([(1, "some phrase")], "item_id long, text string")
+    got = decontam.remove(df, bench)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
 def test_removal(spark):
     phrase = " ".join(f"p{i}" for i in range(15))
     df = spark.createDataFrame([(1, f"Start, {phrase}! end here"), (2, "clean text"), (3, None)], "doc_id long, text string")

@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +104,13 @@ def held_out(doc_id: Column | str = "doc_id", modulus: int = 4, rest: int = 2) -
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
+def set_aside(df: DataFrame, *made: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns of the names `made` under names of their own, and what gives a result df's columns back."""
+    taken = {m.lower() for m in made}
+    aside = {c: f"_{i}_own" if c.lower() in taken else c for i, c in enumerate(df.columns)}
+    return df.withColumnsRenamed({c: a for c, a in aside.items() if c != a}), lambda out: out.select(*[F.col(a).alias(c) for c, a in aside.items()])
+
+
 def other_columns(df: DataFrame, *made: str) -> list[str]:
     """Columns of df that an operator passes through: all but those it makes itself."""
     taken = {m.lower() for m in made}

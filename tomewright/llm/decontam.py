@@ -5,27 +5,30 @@ vocabulary: a word outside it can't lie in an occurrence, so each maximal run of
 shortest phrase, and everything else becomes one separator. Over that sequence:
 suffix array by prefix doubling -> Burrows-Wheeler transform -> wavelet matrix for ranks.
 All phrases are searched backwards at once; occurrences are located by walking back to sampled suffix
-positions; their spans are merged per text. Texts don't move between tasks: the plan is one pass over the scan
-for each block of benchmark items.
+positions; their spans are merged per text. Texts don't move between tasks, and the plan is one pass over the scan: the phrases of
+benchmark items lie in the shared folder in blocks of a bounded size, and a task searches its shard for one block after the other.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_memory, texts_in_small_batches
+from .common import delete_at_end, free_memory, set_aside, shared_folder, texts_in_small_batches
 
 WINDOW = 13
-#: Benchmark bytes of one block, which is what a broadcast may hold; more items make more passes.
+#: Benchmark bytes of one block. The driver and each task hold the phrases of one block at a time.
 BLOCK_BYTES = 4_000_000
 #: Text bytes after which a shard is indexed, and the distance of sampled suffix positions.
 SHARD_BYTES, SAMPLE_RATE = 24_000_000, 16
@@ -248,17 +251,50 @@ def excise(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items in blocks, read one after the other."""
     block, size = [], 0
-    for row in benchmark.where(F.col(text).isNotNull()).select(F.col(key).cast("string"), F.col(text)).toLocalIterator():
-        if block and size + len(row[1]) > block_bytes:
+    for row in benchmark.where(F.col(text).isNotNull()).select(F.col(key).cast("string"), F.col(text), F.octet_length(text)).toLocalIterator():
+        if block and size + row[2] > block_bytes:
             yield block
             block, size = [], 0
         block.append((row[0], row[1]))
-        size += len(row[1])
+        size += row[2]
     if block:
         yield block
 
 
+def _stored_phrases(spark: SparkSession, blocks: Iterator[list[tuple[str | None, str]]], window: int) -> list[str]:
+    """The phrases of each block as a file in the shared folder; the files' names."""
+    folder = f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
+    delete_at_end(spark, folder)
+    names = []
+    for number, block in enumerate(blocks):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(pickle.dumps(phrases_of(block, window))))
+        out.close()
+        names.append(f"{folder}/{number}")
+    return names
+
+
+def _read_phrases(name: str) -> Phrases:
+    filesystem, path = fs.FileSystem.from_uri(name if ":" in name else f"file://{name}")
+    with filesystem.open_input_file(path) as file:
+        return pickle.loads(file.read())  # written by this job's driver
+
+
+def _all_hits(texts: pa.ChunkedArray, phrases: Iterator[Phrases]) -> tuple[list[int], list[tuple[list[tuple[int, int]], list[str], bool]]]:
+    """Word counts of a shard's texts, and _hits of all blocks of phrases together."""
+    counts: list[int] | None = None
+    found: list[tuple[list[tuple[int, int]], list[str], bool]] = [([], [], False)] * len(texts)
+    for block in phrases:
+        ids = [ids_of(t.as_py(), block.vocabulary) for t in texts]
+        counts = [len(i) for i in ids] if counts is None else counts
+        own = _hits(ids, block)
+        found = [a if not b[0] else b if not a[0] else (merge_spans(a[0] + b[0]), sorted({*a[1], *b[1]}), a[2] or b[2]) for a, b in zip(found, own, strict=True)]
+    return [len(words_of(t.as_py())) for t in texts] if counts is None else counts, found
+
+
 def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[list[pa.RecordBatch]]:
     """Runs of batches of SHARD_BYTES of text; a batch that is larger is cut."""
     shard, size = [], 0
@@ -290,52 +326,41 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
     carried = list(dict.fromkeys([*keep, text]))
     schema = T.StructType([df.schema[c] for c in carried] + [T.StructField(name, kind) for name, kind in _MADE])
     arrow_spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    context = df.sparkSession.sparkContext
-
-    def pass_over(frame: DataFrame, block: list[tuple[str | None, str]], first: bool) -> DataFrame:
-        sent = context.broadcast(phrases_of(block, window))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = sent.value
-            for shard in _shards(batches, text):
-                texts = [ids_of(v.as_py(), phrases.vocabulary) for part in shard for v in part.column(text)]
-                hits = _hits(texts, phrases)
-                at = 0
-                for part in shard:
-                    own = hits[at : at + part.num_rows]
-                    if not first:
-                        before = zip(*(part.column(c).to_pylist() for c in ("hit_spans", "hit_items", "_nameless")), strict=True)
-                        own = [(merge_spans(spans + [(s["start"], s["end"]) for s in old]), sorted({*items, *known}), nameless or was) for (spans, items, nameless), (old, known, was) in zip(own, before, strict=True)]
-                    counts = pa.array([len(t) for t in texts[at : at + part.num_rows]], pa.int64())
-                    spans = pa.array([[{"start": a, "end": b} for a, b in spans] for spans, _, _ in own], arrow_spans)
-                    made = [counts, spans, pa.array([items for _, items, _ in own], pa.list_(pa.string())), pa.array([n for _, _, n in own], pa.bool_())]
-                    yield pa.RecordBatch.from_arrays([part.column(c) for c in carried] + made, names=schema.names)
-                    at += part.num_rows
-            free_memory()
-
-        return frame.mapInArrow(run, schema)
-
-    out, first = texts_in_small_batches(df).select(*carried), True
-    for block in _blocks(benchmark, item, item_text, block_bytes):
-        out, first = pass_over(out, block, first), False
-    if first:
-        out = pass_over(out, [], True)
+    names = _stored_phrases(df.sparkSession, _blocks(benchmark, item, item_text, block_bytes), window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = _read_phrases(names[0]) if len(names) == 1 else None
+        for shard in _shards(batches, text):
+            column = pa.chunked_array([part.column(text) for part in shard])
+            counts, hits = _all_hits(column, iter([kept]) if kept else map(_read_phrases, names))
+            at = 0
+            for part in shard:
+                own = hits[at : at + part.num_rows]
+                spans = pa.array([[{"start": a, "end": b} for a, b in spans] for spans, _, _ in own], arrow_spans)
+                made = [pa.array(counts[at : at + part.num_rows], pa.int64()), spans, pa.array([items for _, items, _ in own], pa.list_(pa.string())), pa.array([n for _, _, n in own], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in carried] + made, names=schema.names)
+                at += part.num_rows
+        free_memory()
+
+    out = texts_in_small_batches(df).select(*carried).mapInArrow(run, schema)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     out = out.select(*keep, "n_words", "hit_spans", "hit_items", n_hit.alias("n_hit"), (F.size("hit_items") + F.col("_nameless").cast("int")).cast("long").alias("n_items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
 def remove(df: DataFrame, benchmark: DataFrame, text: str = "text", whole: bool = True, **options) -> DataFrame:
-    """df without its contaminated rows (whole), or with all hit spans cut out of the texts of those rows."""
-    found = find(df, benchmark, text=text, **options)
+    """df without its contaminated rows (whole), or with all hit spans cut out of the texts of those rows. Columns named like those
+    that find makes pass through."""
+    inner, restored = set_aside(df, *(name for name, _ in _MADE), "n_hit", "n_items", "contaminated")
+    found = find(inner, benchmark, text=text, **options)
     if whole:
-        return found.where(~F.col("contaminated")).select(*df.columns)
+        return restored(found.where(~F.col("contaminated")))
 
     @F.pandas_udf("string")
     def cut(texts, spans, bad):
         return texts.combine(spans, lambda t, s: (t, s)).combine(bad, lambda ts, b: excise(ts[0], [(x["start"], x["end"]) for x in ts[1]]) if b else ts[0])
 
-    return found.withColumn(text, cut(text, "hit_spans", "contaminated")).select(*df.columns)
+    return restored(found.withColumn(text, cut(text, "hit_spans", "contaminated")))
 
 
 def items_digest(items: list[str]) -> str:
