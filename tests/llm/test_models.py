@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tomewright.llm import langid, quality_pu
@@ -139,11 +140,6 @@ def test_sizes_are_the_librarys():
     assert langid.Predictor(model).predict(text)[0] == "aa"
 
 
-def test_most_languages(spark):
-    df = spark.createDataFrame([(i, t, f"l{min(i % 7, 3)}") for i, t, _ in texts(70)], "doc_id long, text string, lang string")
-    assert [name for name, _ in langid.fit(df, most_languages=2).dictionaries] == ["l0", "l3"]
-
-
 def test_long_texts(spark):
     docs, labels = quality_tables(spark, 200)
     model = quality_pu.fit(docs.select("doc_id", "text"), labels)
@@ -151,3 +147,28 @@ def test_long_texts(spark):
     assert len({r["quality_score"] for r in quality_pu.score(long, model).collect()}) == 1
     some = spark.createDataFrame([(i, t, lang) for i, t, lang in texts(60)], "doc_id long, text string, lang string")
     assert {r["lang_best"] for r in langid.identify(long, langid.fit(some)).collect()} == {"aa"}
+
+
+def test_too_many_languages_are_an_error(spark):
+    df = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(df, most_languages=4)
+    assert [name for name, _ in langid.fit(df, most_languages=5).dictionaries] == [f"l{i}" for i in range(5)]
+
+
+def test_dictionaries_share_their_bytes_evenly(spark):
+    """Texts of three-byte characters fill a dictionary with all their slices, none cut inside a character."""
+    rows = [(i, "".join(chr(0x4E00 + (i * 37 + j * 11) % 5000) for j in range(900)), "zh") for i in range(langid.SAMPLE_TEXTS)]
+    ((_, content),) = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).dictionaries
+    lines = content.decode("utf-8").split("\n")
+    assert len(content) <= langid.DICTIONARY_BYTES and len(lines) == langid.SAMPLE_TEXTS and len({len(x) for x in lines}) == 1
+
+
+def test_a_hot_id_is_bounded_in_the_quality_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality_pu, "MOST_POSITIVE", 10)
+    monkeypatch.setattr(quality_pu, "MOST_UNLABELLED", 20)
+    rows = [(1, f"text number {i}") for i in range(300)] + [(2, "the same text")] * 300 + [(i, f"other {i} words") for i in range(3, 20)]
+    seen = []
+    monkeypatch.setattr(quality_pu, "fit_rows", lambda p, u: seen.append((len(p), len(u))))
+    quality_pu.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int"))
+    assert seen[0][0] <= 10 and seen[0][1] <= 40

@@ -22,7 +22,7 @@ from .common import free_memory, texts_in_small_batches
 
 UNKNOWN = "und"
 #: Bounds of the training sample: texts a language, characters a text (a slice from a place set by the key's hash),
-#: bytes of a dictionary, languages.
+#: bytes of a dictionary (shared evenly by the texts), languages.
 SAMPLE_TEXTS, SLICE_CHARS, DICTIONARY_BYTES, MOST_LANGUAGES = 200, 600, 110_000, 1_000
 BLOCK_CHARS, LEVEL = 700, 6
 #: Relative margins: below the first the verdict is rejected; at the second the score is 1.
@@ -38,12 +38,15 @@ class LanguageModel:
 def fit(df: DataFrame, where: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
     """Learn dictionaries from rows of df that hold for where, with a language and a text that has letters.
 
-    The sample is bounded: the sample_texts texts with the smallest key hashes of each language, of the most_languages languages of the
-    most rows (ties: the first in name order); rarer ones aren't learned. Row counts of all languages set a hash limit first, so the
-    window that picks them sees about twice the sample. Repeated rows count as rows; a null key comes with hash 0's neighbours."""
+    The sample is bounded: the sample_texts texts with the smallest key hashes of each language, and each gives
+    at most its even share of DICTIONARY_BYTES, in whole characters. More than most_languages languages are an error, as every task holds all
+    dictionaries. Row counts of all languages set a hash limit first, so the window that picks texts sees about twice the
+    sample. Repeated rows count as rows; rows of a null key aren't learned from."""
     rows = df.where(where) if where is not None else df
-    rows = rows.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    rows = rows.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages to learn")
     if not counts:
         return LanguageModel(())
     limits = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int((1 << 30) * min(1.0, 2 * sample_texts / n + 20 / n)))])
@@ -58,13 +61,13 @@ def fit(df: DataFrame, where: Column | None = None, key: str = "doc_id", text: s
     )
     slices: dict[str, list[bytes]] = {}
     for r in picked:
-        slices.setdefault(r["lang"], []).append(r["slice"].lower().encode("utf-8"))
+        slices.setdefault(r["lang"], []).append(r["slice"].lower().encode("utf-8")[: DICTIONARY_BYTES // sample_texts - 1].decode("utf-8", "ignore").encode("utf-8"))
     made = []
     for name in sorted(slices):
         joined = b"\n".join(slices[name])
         while 0 < len(joined) < 1024:  # too short a dictionary is refused by the library
             joined += b"\n" + joined
-        made.append((name, joined[:DICTIONARY_BYTES]))
+        made.append((name, joined))
     return LanguageModel(tuple(made))
 
 

@@ -158,21 +158,23 @@ def fit_rows(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
     return QualityModel(mean, scale, _train(p, u, prior), prior)
 
 
-def _feature_rows(df: DataFrame, text: str) -> np.ndarray:
+def _feature_rows(df: DataFrame, text: str, most: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(features(v.as_py()), "<f4").tobytes() for v in batch.column(0)], pa.binary())], names=["x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.asarray(features(v.as_py()), "<f4").tobytes() for v in batch.column(1)], pa.binary())], names=["k", "x"])
         free_memory()
 
-    rows = texts_in_small_batches(df).select(text).mapInArrow(run, "x binary").collect()
+    # A repeated text of a key counts once, and of a key's many texts no more than the limit come to the driver.
+    made = texts_in_small_batches(df).select("k", text).mapInArrow(run, T.StructType([df.schema["k"], T.StructField("x", T.BinaryType())]))
+    rows = made.distinct().orderBy(F.xxhash64("k", "x"), "x").limit(most).select("x").collect()
     return np.array(sorted((np.frombuffer(r["x"], "<f4") for r in rows), key=bytes), dtype=float).reshape(-1, N_FEATURES)
 
 
 def fit(documents: DataFrame, labels: DataFrame, where: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
     """Learn from documents that hold for where. Trusted positives are documents all of whose labels are 1; zeros are not used.
 
-    Both samples are bounded: the rows with the smallest key hashes, at most MOST_POSITIVE and about MOST_UNLABELLED. Rows of a null key aren't
-    learned from; repeated rows count as rows; columns besides key, text and label don't matter; of ties by hash the least key is taken.
+    Both samples are bounded: the rows with the smallest key hashes, at most MOST_POSITIVE and about MOST_UNLABELLED (twice that at most). Rows of
+    a null key aren't learned from; repeated rows count once; columns besides key, text and label don't matter; of ties by hash the least key is taken.
     Empty tables, or too few rows, give a model that scores everything 0.5 (learned is False)."""
     rows = (documents.where(where) if where is not None else documents).where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
     order = F.xxhash64("k", F.lit(SEED))
@@ -180,9 +182,9 @@ def fit(documents: DataFrame, labels: DataFrame, where: Column | None = None, ke
     if where is not None:
         trusted = trusted.where(where) if key == "k" else trusted.withColumnRenamed("k", key).where(where).withColumnRenamed(key, "k")
     ids = F.broadcast(trusted.orderBy(order, "k").limit(MOST_POSITIVE).select("k"))  # bounded by the limit
-    positive = _feature_rows(rows.join(ids, "k"), "t")
+    positive = _feature_rows(rows.join(ids, "k"), "t", MOST_POSITIVE)
     share = min(1.0, MOST_UNLABELLED / max(1, rows.count()))
-    unlabelled = _feature_rows(rows.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))), "t")
+    unlabelled = _feature_rows(rows.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))), "t", 2 * MOST_UNLABELLED)
     return fit_rows(positive, unlabelled)
 
 
