@@ -85,3 +85,20 @@ def test_records_of_a_named_index(spark, tmp_path):
     assert [r["n_records"] for r in manifest.collect()] == [700]
     got = {r["record_id"]: bytes(r["payload"]) for r in warc.read_back(manifest).collect()}
     assert got == {f"<urn:page:{i}>": (str(i) * 50).encode() for i in range(700)}
+
+
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    """Large payloads don't gather in one batch: each of these is as large as a batch may be."""
+    rows = [(i, "http://x", f"{i}" * (8 << 20)) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    back = warc.archive_round_trip(df, f"file://{tmp_path}/archives")
+    assert sorted((r["payload_length"], r["record_type"]) for r in back.select("payload_length", "record_type").collect()) == [(8 << 20, "response")] * 5
+    sizes = back.mapInArrow(lambda batches: (b.select(["payload_length"]) for b in batches), "payload_length long")
+    assert sizes.count() == 5
+
+
+def test_headers_that_come_in_small_pieces():
+    record = b"WARC/1.0\r\nContent-Length: 3\r\nX: " + b"y" * 50 + b"\r\n\r\nabc\r\n\r\n"
+    stream = record * 3
+    for size in (1, 2, 3, 7, 1000):
+        assert list(warc.split_records(stream[i : i + size] for i in range(0, len(stream), size))) == [record] * 3

@@ -29,6 +29,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records of one monolithic archive, the unit of work of the normaliser.
 RECORDS_PER_FILE = 4_000
+#: A batch of records read back ends with so many, or with so many bytes of payloads.
+BATCH_RECORDS, BATCH_BYTES = 256, 8 << 20
 #: Bytes of an archive that are read at once.
 PIECE = 1 << 16
 #: Digests of repeated payloads that may be broadcast (about 60 MB); beyond that, a shuffled join finds them.
@@ -90,7 +92,7 @@ def inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
 
 def split_records(pieces: Iterable[bytes]) -> Iterator[bytes]:
     """Whole WARC records, from their version line to the two line ends that close them."""
-    buffer, pieces = bytearray(), iter(pieces)
+    buffer, pieces, seen = bytearray(), iter(pieces), 0
 
     def fill() -> bool:
         piece = next(pieces, None)
@@ -99,7 +101,8 @@ def split_records(pieces: Iterable[bytes]) -> Iterator[bytes]:
         return piece is not None
 
     while True:
-        while (head_end := buffer.find(b"\r\n\r\n")) < 0:
+        while (head_end := buffer.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(buffer) - 3)  # what has been searched isn't searched again
             if not fill():
                 if buffer.strip():
                     raise ValueError("the archive ends inside a record's header")
@@ -114,6 +117,7 @@ def split_records(pieces: Iterable[bytes]) -> Iterator[bytes]:
                 raise ValueError("the archive ends inside a record")
         yield bytes(buffer[:end])
         del buffer[:end]
+        seen = 0
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -188,6 +192,10 @@ def read_back(manifest: DataFrame) -> DataFrame:
     response are those of the payload that was read; where its headers say something else, that is an error. A payload of any size is
     one value, held with its record in memory."""
     names = ["record_id", "record_type", "target_uri", "payload_digest", "payload_length", "refers_to", "payload"]
+    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,15 +204,18 @@ def read_back(manifest: DataFrame) -> DataFrame:
                 _, index_path = fs.FileSystem.from_uri(sidecar)
                 with filesystem.open_input_file(index_path) as file:
                     entries = [line.split("\t") for line in file.read().decode("utf-8").splitlines()]
+                rows, size = [], 0
                 with filesystem.open_input_file(path) as file:
-                    for at in range(0, len(entries), 256):
-                        rows = []
-                        for offset, length, *_ in entries[at : at + 256]:
-                            file.seek(int(offset))
-                            headers, payload = parse(gzip.decompress(file.read(int(length))))
-                            rows.append((headers["warc-record-id"], headers["warc-type"], headers.get("warc-target-uri"), *_proved(headers, payload), headers.get("warc-refers-to"), payload))
-                        kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary()]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    for offset, length, *_ in entries:
+                        file.seek(int(offset))
+                        headers, payload = parse(gzip.decompress(file.read(int(length))))
+                        rows.append((headers["warc-record-id"], headers["warc-type"], headers.get("warc-target-uri"), *_proved(headers, payload), headers.get("warc-refers-to"), payload))
+                        size += len(payload)
+                        if len(rows) >= BATCH_RECORDS or size >= BATCH_BYTES:
+                            yield batch_of(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
 
     # An archive is a task's unit; the manifest's few rows are dealt out again, by their number alone.
     dealt = manifest.select("archive", "sidecar").repartition(max(manifest.sparkSession.sparkContext.defaultParallelism, manifest.count() // 4))
