@@ -70,3 +70,22 @@ def test_stages_keep_columns(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, empty, str(tmp_path))
             assert out.dtypes == docs.dtypes and out.count() <= empty.count()
+
+
+def test_near_duplicates_go_by_id_and_text(spark, tmp_path):
+    """Another text under a dropped id stays, a copy without an id goes, and columns named like made ones keep their values."""
+    words = [f"w{i}" for i in range(200)]
+    copied, other, lone = " ".join(words[:60]), " ".join(words[60:120]), " ".join(words[120:])
+    rows = [(1, copied, "a"), (2, copied, "b"), (2, other, "c"), (None, copied, "d"), (None, lone, "e"), (3, None, "f"), (4, "", "g"), (1, copied, "h")]
+    df = spark.createDataFrame([(i, t, k, 5) for i, t, k in rows], "doc_id long, text string, component_id string, kept int")
+    got = corpus_pipeline.dedup_documents(spark, df, str(tmp_path))
+    assert got.columns == df.columns and sorted(r["component_id"] for r in got.collect()) == list("acefgh")
+
+
+def test_made_names_pass_through(spark, tmp_path):
+    tables(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({c: F.lit(f"own {c}") for c in ("quality_score", "n_lines", "N_exact", "n_near", "n_words", "n_hit", "contaminated", "text_hash", "kept")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(r[c] == f"own {c}" for r in out.collect() for c in docs.columns[5:])

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,7 +117,7 @@ class Signer:
 
 
 def signatures(df: DataFrame, key: str, text: str, words: int, bands: int, rows: int) -> DataFrame:
-    """doc, n_shingles, set_key (digest of the set; null without words), bands (bucket keys)."""
+    """doc, text_hash (of the text, null as empty), n_shingles, set_key (digest of the set; null without words), bands (bucket keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(words, bands, rows)
@@ -130,11 +130,15 @@ def signatures(df: DataFrame, key: str, text: str, words: int, bands: int, rows:
                 buckets.append(signer.band_keys(s))
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in buckets])]).astype(np.int32)
             flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "text_hash", "n_shingles", "set_key", "bands"])
         free_memory()
 
-    schema = T.StructType([T.StructField("doc", df.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return texts_in_small_batches(df).select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc", df.schema[key].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return texts_in_small_batches(df).select(F.col(key).alias("doc"), F.col(text).alias("text"), text_hash(text)).mapInArrow(run, schema)
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")
 
 
 def _sets(df: DataFrame, key: str, text: str, nodes: DataFrame, words: int) -> DataFrame:
@@ -242,12 +246,13 @@ def _against_block(rows: DataFrame, block: DataFrame, threshold: tuple[int, int]
     return rows.select("component", "shingles").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """Per row of df: key, n_shingles (size of the set), component_id (smallest key of its class), kept (key = component_id).
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, hashes: bool = False) -> DataFrame:
+    """Per row of df: key, n_shingles (size of the set), component_id (smallest key of its class), kept (key = component_id), and with
+    hashes text_hash, by which rows of one key with different texts are told apart.
 
     Texts are linked if high * intersection >= low * union of their distinct shingles, threshold = (low, high). A text of fewer words than a shingle
-    is one shingle; a null text, or one without words, has no shingle and is a class of its own. Rows with equal keys
-    each give a row; if they are the least of several sets, the set of least digest is the one compared. Needs the folder of spark.checkpoint.dir: every step is stored there."""
+    is one shingle; a null text, or one without words, has no shingle and is a class of its own. A row without a key is
+    kept. Rows with equal keys each give a row; if they are the least of several sets, the set of least digest is the one compared. Needs the folder of spark.checkpoint.dir: every step is stored there."""
     rows_in_band = rows_per_band(threshold, bands)
     signed = stash(signatures(df, key, text, words, bands, rows_in_band), "signed")
     nodes = stash(signed.where("set_key is not null").groupBy("set_key").agg(F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "bands"))).alias("least"), F.count("*").alias("copies")).select("set_key", "copies", F.col("least.doc").alias("node"), F.col("least.bands").alias("bands")), "nodes")
@@ -292,6 +297,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
         open_rows = counted.select("bucket", "node").join(centres.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
         round_no += 1
     classes = nodes.join(labels, "node", "left").where("copies > 1 or component is not null").select("set_key", F.coalesce("component", "node").alias("class"))
-    out = signed.select("doc", "n_shingles", "set_key").join(stash(classes, "classes"), "set_key", "left")
+    out = signed.select("doc", "text_hash", "n_shingles", "set_key").join(stash(classes, "classes"), "set_key", "left")
     component = F.coalesce("class", "doc")
-    return out.select(F.col("doc").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("doc").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"), *(["text_hash"] if hashes else []))
