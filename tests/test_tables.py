@@ -151,3 +151,21 @@ def test_store(spark, tmp_path):
     for _ in range(2):
         store.delete("segments", store.read("segments"))
     assert store.read("segments").count() == 0
+
+
+def test_store_appends_and_rebuckets(spark, tmp_path):
+    """An append leaves what is there as it is; both generations of a bucket are read, merged and cleaned up as one."""
+    store = TableStore(spark, f"file://{tmp_path}", buckets=2)
+    rows = lambda found: spark.createDataFrame([(i, "s", 1, i, "l", "c", None) for i in found], TABLES["chunks"])
+    store.append("chunks", rows(range(20)))
+    old = set(store.read("chunks").inputFiles())
+    store.append("chunks", rows(range(20, 30)))
+    ids = lambda: sorted(r["id"] for r in store.read("chunks").collect())
+    assert old < set(store.read("chunks").inputFiles()) and ids() == list(range(30))
+    store.merge("chunks", rows([5, 25, 31]))
+    assert ids() == [*range(30), 31]
+    store.delete("chunks", spark.createDataFrame([(31,), (0,)], "id long"))
+    assert ids() == list(range(1, 30))
+    store.rebucket("chunks", 7)
+    assert ids() == list(range(1, 30)) and len(store.touched("chunks", store.read("chunks"))) > 2
+    assert TableStore(spark, f"file://{tmp_path}").merge("chunks", rows([3])) != [] and ids() == list(range(1, 30))

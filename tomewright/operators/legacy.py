@@ -29,8 +29,12 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLA
 
 
 def append_chunks(known: DataFrame, chunks: DataFrame) -> DataFrame:
-    """known with chunks (and embeddings, null where there are none) appended under ids that go on from the largest. Numbers are
-    dealt per source and added to the running total of the sources before: sources are cut into RANGES ranges of names, each
+    """known with chunks appended as numbered_chunks has them."""
+    return known.unionByName(numbered_chunks(known, chunks))
+
+
+def numbered_chunks(known: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunks (and embeddings, null where there are none) under ids that go on from known's largest. Numbers are dealt per source and added to the running total of the sources before: sources are cut into RANGES ranges of names, each
     summed in its own task, and only the ranges' totals meet in one place."""
     start = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
     per = chunks.groupBy("source_pdf").agg(F.count("*").alias("n"))
@@ -47,8 +51,7 @@ def append_chunks(known: DataFrame, chunks: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("source_pdf").orderBy("page_num", "chunk_index"))
     per = per.withColumnRenamed("source_pdf", "of")
     rows = chunks.withColumn("place", place).join(per, F.col("source_pdf").eqNullSafe(F.col("of"))).join(F.broadcast(start))
-    fresh = rows.select(*[(F.col("start") + F.col("before") + F.col("place")).cast("long").alias("id") if c == "id" else (F.col(c) if c in chunks.columns else F.lit(None).cast(known.schema[c].dataType).alias(c)) for c in known.columns])
-    return known.unionByName(fresh)
+    return rows.select(*[(F.col("start") + F.col("before") + F.col("place")).cast("long").alias("id") if c == "id" else (F.col(c) if c in chunks.columns else F.lit(None).cast(known.schema[c].dataType).alias(c)) for c in known.columns])
 
 
 def sources(chunks: DataFrame) -> DataFrame:

@@ -23,5 +23,6 @@ def new_entities(hits: DataFrame, known: DataFrame) -> DataFrame:
 
 def links_of(hits: DataFrame, link_type: str = MENTIONS) -> DataFrame:
     """A link per segment (id) and entity. Entity ids are functions of the hit, so nothing is joined, and a segment's
-    hits are distinct already, so nothing is shuffled."""
-    return hits.select(F.col("id").alias("segment_id"), ids.entity_id(F.col("namespace"), F.col("type"), F.col("name")).alias("entity_id"), F.lit(link_type).alias("link_type"), F.col("confidence").cast("float").alias("confidence"), "namespace")
+    hits are distinct already, so nothing is shuffled. Hits that name their segment's resource give links that do."""
+    of = [F.col("ir_id")] if "ir_id" in hits.columns else []
+    return hits.select(F.col("id").alias("segment_id"), ids.entity_id(F.col("namespace"), F.col("type"), F.col("name")).alias("entity_id"), F.lit(link_type).alias("link_type"), F.col("confidence").cast("float").alias("confidence"), *of, "namespace")

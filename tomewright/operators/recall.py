@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from ..sources.store import TableStore
+
 ENTITY_COLUMNS = ["id", "namespace", "type", "name", "aliases"]
 
 
@@ -47,6 +52,20 @@ def segments_for_entity(entity: DataFrame, links: DataFrame, segments: DataFrame
     return rows.drop("source_uri").join(sources, "ir_id", "left")
 
 
+def recalled(store: TableStore, entity_id: str, namespace: str) -> DataFrame:
+    """Exact recall of one entity from the stored tables, as segments_for_entity. Only the bucket of mentions that holds the entity is read, then
+    only the buckets of segments that its mentions lie in, and of both the files of the namespace alone."""
+    spark = store.spark
+    at = store.touched("mentions", spark.range(1).select(F.lit(entity_id).alias("entity_id")))
+    own = lambda df: df.where(F.col("namespace") == namespace)
+    mentions = own(store.read("mentions", at)).where(F.col("entity_id") == entity_id)
+    segments = own(store.read("segments", store.touched("segments", mentions)))
+    found = mentions.select("segment_id", "entity_id", "link_type", "confidence", "ir_id")
+    rows = segments.withColumnRenamed("id", "segment_id").join(found, ["ir_id", "segment_id"])
+    sources = own(store.read("resources")).select(F.col("id").alias("ir_id"), "source_uri")
+    return rows.join(sources, "ir_id", "left")
+
+
 def entities_for_segment(links: DataFrame, entities: DataFrame, segment_id: str | None = None) -> DataFrame:
     found = (links if segment_id is None else links.where(F.col("segment_id") == segment_id)).drop("namespace")
     return entities.select(*ENTITY_COLUMNS).withColumnRenamed("id", "entity_id").join(found, "entity_id")

@@ -13,6 +13,7 @@ UPDATED = {
     "segments": ["text", "provenance", "text_hash"],
     "entities": ["aliases", "metadata", "updated_at"],
     "links": ["confidence", "created_at"],
+    "mentions": ["confidence", "created_at"],
     "embeddings": ["model", "vector", "created_at"],
     "chunks": ["embedding"],
 }

@@ -99,13 +99,13 @@ class Fixture:
     @cached_property
     def embeddings(self) -> DataFrame:
         """Vectors of the first segments of documents whose id is the vector's."""
-        return self._vectors(self.segments).drop("namespace")
+        return self._vectors(self.segments).drop("namespace", "ir_id")
 
     def _vectors(self, segments: DataFrame) -> DataFrame:
         owner = self.resources.select(F.col("doc_id").alias("vec_id"), F.col("id").alias("ir_id"))
         first = segments.where("segment_index = 0").select("ir_id", F.col("id").alias("segment_id"), "namespace")
         rows = self.table("embeddings").join(owner, "vec_id").join(first, "ir_id")
-        return rows.select("vec_id", "segment_id", F.lit("given").alias("model"), F.col("embedding").alias("vector"), "namespace")
+        return rows.select("vec_id", "segment_id", F.lit("given").alias("model"), F.col("embedding").alias("vector"), "ir_id", "namespace")
 
     def fill(self, store: TableStore) -> TableStore:
         """Ingest everything: resources, segments, entities, links and vectors into an empty store. Segments are read back for what follows
@@ -115,24 +115,29 @@ class Fixture:
         created = F.timestamp_seconds("created_at").cast("timestamp_ntz")
         store.write("resources", self.bare_resources.select("id", "namespace", "source_type", "source_uri", "content_hash", meta.alias("metadata"), created.alias("created_at"), created.alias("updated_at")))
         store.write("segments", self.segments.withColumn("created_at", none))
-        hits = extract(store.read("segments").select("id", "namespace", "text"), DENSE).drop("text")
+        hits = extract(store.read("segments").select("id", "ir_id", "namespace", "text"), DENSE).drop("text")
         store.write("links", link.links_of(hits).withColumn("created_at", none))
+        store.write("mentions", store.read("links"))
         store.write("entities", link.entities_of(hits).withColumn("aliases", F.array(F.lower("name"))).withColumns({"metadata": meta, "created_at": none, "updated_at": none}))
         store.write("embeddings", self._vectors(store.read("segments")).drop("vec_id").withColumn("created_at", none))
         return store
 
     @cached_property
-    def stored(self) -> dict[str, DataFrame]:
-        """The tables of the filled store."""
+    def store(self) -> TableStore:
+        """The filled store."""
         known = (self.spark.sparkContext.applicationId, self.dir)
         if known not in _filled:
             folder = f"{scratch(self.spark)}/kb-{hashlib.sha256('|'.join(known).encode()).hexdigest()[:24]}"
-            self.fill(TableStore(self.spark, folder, buckets=1))  # written once, merged never
+            self.fill(TableStore(self.spark, folder, buckets=8))
             path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
             _filled[known] = folder
-        store = TableStore(self.spark, _filled[known])
-        return {name: store.read(name) for name in ("resources", "segments", "entities", "links", "embeddings")}
+        return TableStore(self.spark, _filled[known])
+
+    @cached_property
+    def stored(self) -> dict[str, DataFrame]:
+        """The tables of the filled store."""
+        return {name: self.store.read(name) for name in ("resources", "segments", "entities", "links", "mentions", "embeddings")}
 
     def query_vector(self, vec_id: int) -> list[float]:
         return self.table("embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]

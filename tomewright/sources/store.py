@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.upsert import UPDATED, upsert
-from ..schemas import BUCKETED_BY, KEYS, TABLES
+from ..schemas import BUCKETED_BY, KEYS, SORTED_BY, TABLES
 
 #: Tables laid out by namespace inside their buckets, so that a query of one namespace reads only its files.
-PARTITIONED = {"resources", "segments", "entities", "links", "embeddings"}
+PARTITIONED = {"resources", "segments", "entities", "links", "mentions", "embeddings"}
 BUCKETS = 16
 
 
 class TableStore:
     """Single writer. A row's bucket is the hash of its table's bucket columns. Each write is a generation: a folder of the buckets that it wrote. The
-    manifest of the generation names, for each bucket, the generation that holds it; it is put in place last, by a
-    rename, so a failed write leaves the last manifest in force. buckets counts for tables that don't exist yet (16 serve
-    small tables; a bucket should come to some gigabytes)."""
+    manifest of the generation names, for each bucket, the generations that hold it (more than one after appends); it is put in
+    place last, by a rename, so a failed write leaves the last manifest in force. buckets counts for tables that don't exist yet (16
+    serve small tables; a bucket should come to some gigabytes); rebucket deals a table that has grown to more."""
 
     def __init__(self, spark: SparkSession, path: str, keep_versions: int = 2, buckets: int = BUCKETS):
         if buckets < 1:
@@ -63,7 +63,7 @@ class TableStore:
         """Old manifests go, and generations that none of the kept ones names."""
         known = self._generations(table)
         kept = known[-self.keep_versions :]
-        named = {g for k in kept for g in self._manifest(table, k)["live"].values()}
+        named = {g for k in kept for held in self._manifest(table, k)["live"].values() for g in held}
         for old in known[: -self.keep_versions]:
             self._fs.delete(self._hadoop(f"{self.path}/{table}/manifests/{old:08d}.json"), False)
         for status in self._fs.listStatus(self._hadoop(f"{self.path}/{table}")):
@@ -80,8 +80,8 @@ class TableStore:
         """The table, or some of its buckets. Buckets that newer generations replaced are left out by their folder names alone."""
         schema, (_, manifest) = TABLES[table], self._last(table)
         held: dict[int, list[int]] = {}
-        for bucket, generation in manifest["live"].items():
-            if buckets is None or int(bucket) in buckets:
+        for bucket, generations in manifest["live"].items():
+            for generation in generations if buckets is None or int(bucket) in buckets else ():
                 held.setdefault(generation, []).append(int(bucket))
         if not held:
             return self.spark.createDataFrame([], schema)
@@ -99,21 +99,34 @@ class TableStore:
         self._fs.delete(self._hadoop(folder), True)  # what a failed write left
         laid = ["bucket", *(["namespace"] if table in PARTITIONED else [])]
         ready = rows.select(*TABLES[table].names).withColumn("bucket", self._bucket(table, count))
-        # One shuffle by bucket and a hash of the rest: files of a bucket are few, and a hot one is still dealt to several tasks.
-        ready.repartition("bucket", F.pmod(F.xxhash64(*KEYS[table]), F.lit(4))).write.partitionBy(*laid).parquet(folder)
+        # One shuffle by folder. Spark deals it by size: small folders share a task, a large one is split over as many as it fills.
+        ready.hint("rebalance", *laid).sortWithinPartitions(*laid, *SORTED_BY.get(table, [])).write.partitionBy(*laid).parquet(folder)
         found = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop(folder))]
         return {int(n.removeprefix("bucket=")) for n in found if n.startswith("bucket=")}
 
-    def write(self, table: str, rows: DataFrame) -> None:
-        """The whole table anew. rows may read the table as it is."""
+    def write(self, table: str, rows: DataFrame, buckets: int | None = None) -> None:
+        """The whole table anew, in as many buckets as it has or in the number given. rows may read the table as it is."""
+        last, manifest = self._last(table)
+        count = buckets or manifest["buckets"]
+        filled = self._written(table, rows, last + 1, count)
+        self._publish(table, last + 1, {"buckets": count, "live": {str(b): [last + 1] for b in sorted(filled)}})
+
+    def rebucket(self, table: str, buckets: int) -> None:
+        """The same rows in another number of buckets."""
+        self.write(table, self.read(table), buckets)
+
+    def append(self, table: str, rows: DataFrame) -> list[int]:
+        """Add rows whose keys the table doesn't have. What is there is neither read nor written."""
         last, manifest = self._last(table)
         filled = self._written(table, rows, last + 1, manifest["buckets"])
-        self._publish(table, last + 1, {"buckets": manifest["buckets"], "live": {str(b): last + 1 for b in sorted(filled)}})
+        live = {**manifest["live"], **{str(b): [*manifest["live"].get(str(b), []), last + 1] for b in filled}}
+        self._publish(table, last + 1, {"buckets": manifest["buckets"], "live": live})
+        return sorted(filled)
 
     def _replace(self, table: str, touched: list[int], rows: DataFrame) -> None:
         last, manifest = self._last(table)
         filled = self._written(table, rows, last + 1, manifest["buckets"])
-        live = {b: g for b, g in manifest["live"].items() if int(b) not in touched} | {str(b): last + 1 for b in filled}
+        live = {b: g for b, g in manifest["live"].items() if int(b) not in touched} | {str(b): [last + 1] for b in filled}
         self._publish(table, last + 1, {"buckets": manifest["buckets"], "live": live})
 
     def touched(self, table: str, rows: DataFrame) -> list[int]:
@@ -129,11 +142,14 @@ class TableStore:
         return touched
 
     def delete(self, table: str, gone: DataFrame) -> list[int]:
-        """Take out the rows whose bucket columns are in gone (of those columns). Returns the buckets written."""
-        on = BUCKETED_BY[table]
-        touched = self.touched(table, gone)
+        """Take out the rows that agree with a row of gone in all of the table's bucket and key columns that gone has. If gone has the bucket
+        columns, only their buckets are read and written; returns those that were written."""
+        on = [c for c in dict.fromkeys([*BUCKETED_BY[table], *KEYS[table]]) if c in gone.columns]
+        live = sorted(map(int, self._last(table)[1]["live"]))
+        touched = [b for b in self.touched(table, gone) if b in live] if set(BUCKETED_BY[table]) <= set(on) else live
         if touched:
-            self._replace(table, touched, self.read(table, touched).join(gone.select(*on).distinct(), on, "left_anti"))
+            rows, out = self.read(table, touched).alias("t"), gone.select(*on).distinct().alias("g")
+            self._replace(table, touched, rows.join(out, [F.col(f"t.{c}").eqNullSafe(F.col(f"g.{c}")) for c in on], "left_anti"))
         return touched
 
     def keys(self, table: str) -> list[str]:
