@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.text import preview, sentences
 from ..functions.vectors import HashEmbedder, embed
-from ..operators import legacy, link, recall, search, upsert
+from ..operators import ann, legacy, link, recall, retention, search, temporal, upsert
 from ..operators.extract import EntityExtractor, PatternSet, extract, extract_with
 from ..operators.segment import segment_text
 from ..schemas import PROVENANCE
+from ..streaming import windows
 from .fixtures import CUSTOM, DENSE, Fixture, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -584,3 +585,122 @@ def stream_ingest(x):
     store = TableStore(x.spark, f"{folder}/store")
     text_stream_to_segments(rows, store, f"{folder}/checkpoint").awaitTermination()
     return store.read("segments").select("id", "ir_id")
+
+
+# Vector index
+
+
+def _index(x: Fixture) -> tuple[ann.VectorIndex, DataFrame]:
+    """All vectors of the table in an index, and those whose id is divisible by 50 as queries."""
+    vectors = x.table("embeddings")
+    index = ann.VectorIndex.build(vectors, f"{scratch(x.spark)}/index-{uuid.uuid4().hex}", "vec_id", "embedding")
+    return index, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query
+def ann_topk_all_lists(x):
+    """With every list probed the index gives the exact answer."""
+    index, queries = _index(x)
+    found = index.search(queries, 10, probes=index.lists)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def ann_recall(x):
+    """As many lists probed as building found to do: queries, and whether nine tenths of their ten best vectors were found."""
+    index, queries = _index(x)
+    exact = index.search(queries, 10, probes=index.lists).select("query_id", "id")
+    found = index.search(queries, 10).select("query_id", "id", F.lit(1).alias("there"))
+    rows = exact.join(found, ["query_id", "id"], "left")
+    return rows.agg(F.countDistinct("query_id").alias("queries"), (F.count("there") >= 0.9 * F.count("*")).alias("nine_tenths_found"))
+
+
+# Along time
+
+
+@query
+def as_of_view(x):
+    """Each purchase-like event (all but views) with the user's last view before it or at its time."""
+    events = x.table("events")
+    views = events.where("event_type = 'view'").select("user_id", "ts", "event_id", "value")
+    rows = temporal.as_of_join(events.where("event_type <> 'view' or event_type is null").select("event_id", "user_id", "ts"), views, ["user_id"], tie="event_id", cell_rows=2000)
+    return rows.select("event_id", F.col("met.event_id").alias("view_id"), F.col("met.value").alias("view_value"))
+
+
+@query
+def as_of_view_within_hour(x):
+    """As as_of_view, strictly earlier views of the last hour only."""
+    events = x.table("events")
+    views = events.where("event_type = 'view'").select("user_id", "ts", "event_id")
+    rows = temporal.as_of_join(events.select("event_id", "user_id", "ts"), views, ["user_id"], tie="event_id", tolerance=3600, strict=True)
+    return rows.select("event_id", F.col("met.event_id").alias("view_id"))
+
+
+@query
+def span_join_clicks(x):
+    """Each error with the user's clicks of the six hours before it."""
+    events = x.table("events")
+    of = lambda kind: events.where(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+    pairs = temporal.span_join(of("error"), of("click"), ["user_id"], 6 * 3600, salts=2)
+    return pairs.select("event_id", F.col("met.event_id").alias("click_id"))
+
+
+def _windowed(x: Fixture, by: list[str], span) -> DataFrame:
+    """The events table as a stream, its windows written as they close; the input's end closes the last."""
+    folder = f"{scratch(x.spark)}/windows-{uuid.uuid4().hex}"
+    schema = x.table("events").schema
+    stream = lambda: windows.closing(x.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(x.dir.rstrip("/")), f"{folder}/end")
+    run = lambda: windows.write(windows.totals(stream(), by, span(), "1 hour"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    run()
+    windows.close(x.spark, schema, f"{folder}/end")
+    run()
+    rows = x.spark.read.parquet(f"{folder}/out")
+    return rows.withColumn("total", F.round("total", 4))
+
+
+@query
+def stream_tumbling(x):
+    return _windowed(x, ["event_type"], lambda: windows.tumbling("1 hour"))
+
+
+@query
+def stream_sliding(x):
+    return _windowed(x, ["event_type"], lambda: windows.sliding("6 hours", "2 hours"))
+
+
+@query
+def stream_session(x):
+    return _windowed(x, ["user_id"], lambda: windows.session("2 hours"))
+
+
+# Retention
+
+
+def _gone(x: Fixture) -> DataFrame:
+    """Resources to be deleted: those whose uri ends in 3, and all of namespace de."""
+    return x.stored["resources"].where("source_uri like '%3' or namespace = 'de'")
+
+
+@query
+def retention_cascade(x):
+    """Rows of each table and namespace before and after resources are deleted with all that comes of them."""
+    t = x.stored
+    kept = retention.survivors(t, _gone(x))
+    parts = []
+    for name in ("resources", "segments", "links", "embeddings", "entities"):
+        before, after = (df.groupBy("namespace").agg(F.count("*").alias(c)) for df, c in ((t[name], "before"), (kept[name], "after")))
+        parts.append(before.join(after, "namespace", "left").select(F.lit(name).alias("name"), "namespace", "before", F.coalesce("after", F.lit(0).cast("long")).alias("after")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def retention_in_store(x):
+    """The same deletion in a store of its own, run twice: what went each time, and what is left."""
+    from ..sources.store import TableStore
+
+    store = x.fill(TableStore(x.spark, f"{scratch(x.spark)}/retention-{uuid.uuid4().hex}", buckets=4))
+    gone = _gone(x)
+    runs = [retention.delete_resources(store, gone) for _ in range(2)]
+    left = {name: store.read(name).count() for name in runs[0]}
+    rows = [(name, *(r[name] for r in runs), left[name]) for name in runs[0]]
+    return x.spark.createDataFrame(rows, "name string, first_run long, second_run long, left_over long")

@@ -106,6 +106,12 @@ _FIXED = "(SELECT 0::INT AS n, 'The CCNA001 strain and BRCA1; mail researcher@ex
 
 _FIRST = "(SELECT min(name) FROM ent WHERE namespace = 'en' AND type = 'token')"
 
+#: A user's view of each time, the last of equal times.
+_VIEWS = "(SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'view' GROUP BY user_id, ts)"
+_DEAD = "(source_uri LIKE '%3' OR namespace = 'de')"
+#: Every row of every table, and whether it goes with the resources that go.
+_FATES = " UNION ALL ".join([*(f"SELECT '{name}' AS name, namespace, {_DEAD} AS gone FROM {table}" for name, table in (("resources", "ir"), ("segments", "seg"), ("links", "hit"), ("embeddings", "emb"))), f"SELECT 'entities', namespace, bool_and({_DEAD}) FROM hit GROUP BY namespace, type, name"])
+
 _BODIES = {
     "register_resources": "SELECT id, namespace, source_uri, content_hash FROM ir",
     "lookup_resource_by_id": "SELECT id, namespace, source_uri FROM ir WHERE id = (SELECT sha256(lang || '|doc://5') FROM documents WHERE doc_id = 5)",
@@ -185,6 +191,16 @@ _BODIES = {
     "migrate_segments": "SELECT id, sha256('migrated|' || uri) AS ir_id, segment_index, page_num AS page, chunk_index, location FROM moved",
     "migrate_entities": f"SELECT id AS segment_id, sha256('migrated|' || type || '|' || name) AS entity_id FROM ({_hits('moved', _CUSTOM)})",
     "latency_stats": "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_samp(value), 6) AS stdev, round(min(value), 6) AS least, round(max(value), 6) AS most, round(list_sort(list(value))[floor(count(value) * 0.95)::INT + 1], 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type",
+    "ann_topk_all_lists": "SELECT query_id, vec_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) AS score FROM embeddings AS v, embeddings AS q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10",
+    "ann_recall": "SELECT count(*) AS queries, true AS nine_tenths_found FROM embeddings WHERE vec_id % 50 = 0",
+    "as_of_view": f"SELECT e.event_id, v.event_id AS view_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type <> 'view' OR event_type IS NULL) AS e ASOF LEFT JOIN {_VIEWS} AS v ON e.user_id = v.user_id AND e.ts >= v.ts",
+    "as_of_view_within_hour": f"SELECT e.event_id, CASE WHEN e.ts - v.ts <= INTERVAL 1 HOUR THEN v.event_id END AS view_id FROM events AS e ASOF LEFT JOIN {_VIEWS} AS v ON e.user_id = v.user_id AND e.ts > v.ts",
+    "span_join_clicks": "SELECT e.event_id, c.event_id AS click_id FROM events AS e JOIN events AS c ON e.user_id = c.user_id AND c.ts BETWEEN e.ts - INTERVAL 6 HOUR AND e.ts WHERE e.event_type = 'error' AND c.event_type = 'click'",
+    "stream_tumbling": "SELECT event_type, epoch_us(ts) // 3600000000 * 3600 AS starts, epoch_us(ts) // 3600000000 * 3600 + 3600 AS ends, count(*) AS events, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+    "stream_sliding": "SELECT event_type, epoch_us(ts) // 7200000000 * 7200 - 7200 * k AS starts, epoch_us(ts) // 7200000000 * 7200 - 7200 * k + 21600 AS ends, count(*) AS events, round(sum(value), 4) AS total FROM events, range(0, 3) AS r(k) WHERE ts IS NOT NULL GROUP BY ALL",
+    "stream_session": "SELECT user_id, epoch_us(min(ts)) // 1000000 AS starts, epoch_us(max(ts)) // 1000000 + 7200 AS ends, count(*) AS events, round(sum(value), 4) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, session",
+    "retention_cascade": f"SELECT name, namespace, count(*) AS before, count(*) FILTER (NOT gone) AS after FROM ({_FATES}) GROUP BY name, namespace",
+    "retention_in_store": f"SELECT name, count(*) FILTER (gone) AS first_run, 0::BIGINT AS second_run, count(*) FILTER (NOT gone) AS left_over FROM ({_FATES}) GROUP BY name",
 }
 
 ORACLES = {name: sql(body) for name, body in _BODIES.items()}
