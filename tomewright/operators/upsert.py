@@ -14,6 +14,7 @@ UPDATED = {
     "entities": ["aliases", "metadata", "updated_at"],
     "links": ["confidence", "created_at"],
     "mentions": ["confidence", "created_at"],
+    "sketches": ["state"],
     "embeddings": ["model", "vector", "created_at"],
     "chunks": ["embedding"],
 }

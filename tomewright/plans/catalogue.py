@@ -5,14 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from functools import reduce
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids
+from ..functions import ids, metadata
 from ..functions.text import preview, sentences
 from ..functions.vectors import HashEmbedder, embed
-from ..operators import ann, legacy, link, recall, retention, search, temporal, upsert
+from ..operators import ann, dictionary, legacy, link, recall, retention, search, sketches, table_functions, temporal, upsert
 from ..operators.extract import EntityExtractor, PatternSet, extract, extract_with
 from ..operators.segment import segment_text
 from ..schemas import PROVENANCE
@@ -22,7 +23,7 @@ from .fixtures import CUSTOM, DENSE, Fixture, scratch
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NAMESPACE = "en"
 #: Queries of a batch search that one pass over the vectors answers.
-BATCH_QUERIES = 200
+BATCH_QUERIES = 4_096
 
 
 def query(f: Callable[[Fixture], DataFrame]) -> Callable[[Fixture], DataFrame]:
@@ -142,9 +143,12 @@ def segment_markdown_index(x):
 
 @query
 def provenance_keys(x):
-    shapes = [{"page": "5", "sentence": "3"}, {"heading_path": "a/b", "para": "2", "sentence": "1"}, {"heading_path": "a"}, {"line": "7"}, {"table": "t", "row": "4"}, {"table": "t", "row": "4", "col": "c"}, {"sentence": "3", "b": "x"}]
-    maps = F.array(*[F.create_map(*[F.lit(v) for kv in s.items() for v in kv]) for s in shapes])
-    return x.spark.range(1).select(F.posexplode(maps).alias("shape", "m")).select("shape", ids.provenance_key(F.col("m")).alias("key"))
+    """Each document's own values as a provenance of one of seven shapes."""
+    d, n = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
+    shapes = [{"page": d, "sentence": n}, {"heading_path": F.col("lang"), "para": d, "sentence": n}, {"heading_path": F.col("lang")}, {"line": d}, {"table": F.col("source"), "row": d}, {"table": F.col("source"), "row": d, "col": F.col("lang")}, {"sentence": n, "b": d}]
+    shape = F.col("doc_id") % len(shapes)
+    given = F.coalesce(*[F.when(shape == i, F.create_map(*[v if isinstance(v, Column) else F.lit(v) for kv in s.items() for v in kv])) for i, s in enumerate(shapes)])
+    return x.table("documents").select("doc_id", ids.provenance_key(given).alias("key"))
 
 
 @query
@@ -226,13 +230,13 @@ def extract_edited_patterns(x):
     return _hits(x, DENSE.remove("strain").add("token", r"\b[A-Z][a-z]{6,7}\b"))
 
 
-FIXED_TEXTS = ["The CCNA001 strain and BRCA1; mail researcher@example.com.", "See 10.1234/abc.DEF-5 and PMID: 12345678, also AB123456."]
-
-
 @query
 def extract_fixed_texts(x):
-    texts = x.spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in FIXED_TEXTS])).alias("n", "text"))
-    return extract(texts, PatternSet()).select("n", "type", "name", F.round("confidence", 6).alias("confidence"))
+    """Every document with a passage of its own that has hits of all seven default types."""
+    d = F.col("doc_id").cast("string")
+    own = F.concat(F.lit("The CCNA001 strain and BRCA"), (F.col("doc_id") % 100).cast("string"), F.lit("; mail r"), d, F.lit("@example.com. See 10.1234/abc.D-"), d, F.lit(" and PMID: "), F.lpad(d, 8, "1"), F.lit(", also AB1"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"), F.lit("."))
+    texts = x.table("documents").select("doc_id", F.concat_ws(" ", "text", own).alias("text"))
+    return extract(texts, PatternSet()).select("doc_id", "type", "name", F.round("confidence", 6).alias("confidence"))
 
 
 @query
@@ -417,8 +421,8 @@ def namespace_isolation(x):
 
 @query
 def semantic_topk(x):
-    best = search.top_k(x.stored["embeddings"], x.query_vector(0), 10)
-    return best.select("segment_id", F.round("score", 6).alias("score"))
+    best = search.top_k(x.table("embeddings"), x.query_vector(0), 10, "embedding", "vec_id")
+    return best.select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query
@@ -431,14 +435,14 @@ def semantic_topk_namespace(x):
 @query
 def semantic_topk_batch(x):
     """Every vector whose id is divisible by 50 against all, in blocks of BATCH_QUERIES a pass."""
-    rows = x.table("embeddings").where("vec_id % 50 = 0").orderBy("vec_id").toLocalIterator()
-    queries = {r["vec_id"]: r["embedding"] for r in rows}
-    names = sorted(queries)
-    blocks = [{q: queries[q] for q in names[i : i + BATCH_QUERIES]} for i in range(0, len(names), BATCH_QUERIES)]
-    if not blocks:
-        return x.stored["embeddings"].limit(0).select(F.lit(0).cast("long").alias("query_id"), "segment_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    best = reduce(DataFrame.unionByName, [search.top_k_batch(x.stored["embeddings"], block, 5) for block in blocks])
-    return best.select("query_id", "segment_id", F.round("score", 6).alias("score"), "rank")
+    vectors = x.table("embeddings")
+    rows = vectors.where("vec_id % 50 = 0 and embedding is not null").orderBy("vec_id").toLocalIterator()
+    found = []
+    while block := {r["vec_id"]: r["embedding"] for r in islice(rows, BATCH_QUERIES)}:
+        found.append(search.top_k_batch(vectors, block, 5, "embedding", "vec_id"))
+    if not found:
+        return vectors.limit(0).select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return reduce(DataFrame.unionByName, found).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
@@ -704,3 +708,54 @@ def retention_in_store(x):
     left = {name: store.read(name).count() for name in runs[0]}
     rows = [(name, *(r[name] for r in runs), left[name]) for name in runs[0]]
     return x.spark.createDataFrame(rows, "name string, first_run long, second_run long, left_over long")
+
+
+# Sketches, known names, table functions, metadata
+
+
+@query
+def distinct_rollup(x):
+    """Segments with an entity by namespace and type, and rolled up: the exact count, and whether the stored states' estimate is near it."""
+    t = x.stored
+    about = sketches.rolled_up(x.store.read("sketches")).select(F.col("namespace").alias("_ns"), F.col("type").alias("_type"), F.col("level").alias("_level"), F.col("segments").alias("estimate"))
+    real = sketches.exact(t["links"], t["entities"])
+    same = real["namespace"].eqNullSafe(about["_ns"]) & real["type"].eqNullSafe(about["_type"]) & (real["level"] == about["_level"])
+    near = F.abs(F.col("estimate") - F.col("segments")) <= F.greatest(F.lit(1.0), F.col("segments") * sketches.ERROR)
+    return real.join(about, same, "left").select("namespace", "type", "level", "segments", F.coalesce(near, F.lit(False)).alias("near"))
+
+
+@query
+def known_names(x):
+    """Where the names and aliases of all tokens and -tion words of a namespace stand in its segments."""
+    t = x.stored
+    return dictionary.known_names(t["segments"], t["entities"].where("type in ('token', 'tion')")).select(F.col("id").alias("segment_id"), "entity_id", "times")
+
+
+@query
+def custom_extractor_sql(x):
+    """custom_extractor, called by SQL as a table function."""
+    table_functions.register(x.spark, "capitals", Capitals())
+    return x.spark.sql("SELECT s.id, e.type, e.name, round(e.confidence, 6) AS confidence FROM {segments} AS s, LATERAL capitals(s.text, 'confidence') AS e", segments=x.segments.select("id", "text"))
+
+
+@query
+def metadata_filter(x):
+    """Events whose properties have a k of 50 or more."""
+    k = metadata.at(metadata.parsed(F.col("props")), "$.k", "int")
+    return x.table("events").select("event_id", k.alias("k")).where("k >= 50")
+
+
+@query
+def metadata_merge(x):
+    """Documents' metadata, with later values for every second one merged in key by key, read back by paths."""
+    old = metadata.parsed(F.to_json(F.struct("lang", "source", "n_chars")))
+    later = F.concat(F.lit('{"n_chars": '), (F.col("n_chars") + 1).cast("string"), F.lit(', "seen": true, "tags": ["a", "b"]}'))
+    both = metadata.merged(old, metadata.parsed(F.when(F.col("doc_id") % 2 == 0, later)))
+    rows = x.table("documents").select("doc_id", both.alias("m"))
+    paths = {"lang": "string", "source": "string", "n_chars": "bigint", "seen": "boolean"}
+    return rows.select("doc_id", *[metadata.at(F.col("m"), f"$.{p}", kind).alias(p) for p, kind in paths.items()], metadata.at(F.col("m"), "$.tags[1]", "string").alias("tag"))
+
+
+@query
+def dated_events(x):
+    return metadata.dated(x.table("events").select("event_id", "ts", "event_type"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import legacy, link
+from ..operators import legacy, link, sketches
 from ..operators.extract import DEFAULT_PATTERNS, PatternSet, extract
 from ..operators.segment import keep_pages, segment_markdown, segment_pages, segment_text
 from ..sources.store import TableStore
@@ -118,6 +118,7 @@ class Fixture:
         hits = extract(store.read("segments").select("id", "ir_id", "namespace", "text"), DENSE).drop("text")
         store.write("links", link.links_of(hits).withColumn("created_at", none))
         store.write("mentions", store.read("links"))
+        store.write("sketches", sketches.states(hits))
         store.write("entities", link.entities_of(hits).withColumn("aliases", F.array(F.lower("name"))).withColumns({"metadata": meta, "created_at": none, "updated_at": none}))
         store.write("embeddings", self._vectors(store.read("segments")).drop("vec_id").withColumn("created_at", none))
         return store

@@ -102,7 +102,7 @@ def _typed(hits: str) -> str:
     return f"SELECT id, type, name FROM ({hits})"
 
 
-_FIXED = "(SELECT 0::INT AS n, 'The CCNA001 strain and BRCA1; mail researcher@example.com.' AS text UNION ALL SELECT 1::INT, 'See 10.1234/abc.DEF-5 and PMID: 12345678, also AB123456.')"
+_FIXED = "(SELECT doc_id, concat_ws(' ', text, 'The CCNA001 strain and BRCA' || doc_id % 100 || '; mail r' || doc_id || '@example.com. See 10.1234/abc.D-' || doc_id || ' and PMID: ' || lpad(doc_id::VARCHAR, 8, '1') || ', also AB1' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || '.') AS text FROM documents)"
 
 _FIRST = "(SELECT min(name) FROM ent WHERE namespace = 'en' AND type = 'token')"
 
@@ -128,7 +128,7 @@ _BODIES = {
     "segment_pages": "SELECT id, source_uri, segment_index, page, sentence, text FROM page_seg",
     "segment_markdown": "SELECT id, source_uri, heading, para, sentence, text FROM md_seg",
     "segment_markdown_index": "SELECT id, segment_index, dense_index FROM md_seg",
-    "provenance_keys": "SELECT * FROM (VALUES (0, '5:3'), (1, 'a/b:2:1'), (2, 'a:0:0'), (3, '7:0'), (4, 't:4:'), (5, 't:4:c'), (6, 'x:3')) AS v(shape, key)",
+    "provenance_keys": "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN doc_id || ':' || n_chars WHEN 1 THEN lang || ':' || doc_id || ':' || n_chars WHEN 2 THEN lang || ':0:0' WHEN 3 THEN doc_id || ':0' WHEN 4 THEN source || ':' || doc_id || ':' WHEN 5 THEN source || ':' || doc_id || ':' || lang ELSE doc_id || ':' || n_chars END AS key FROM documents",
     "provenance_roundtrip": "SELECT id, page, sentence, sentence_count, NULL::VARCHAR AS heading_path FROM page_seg",
     "segment_preview": "SELECT id, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS preview, substr(id, 1, 8) AS short_id FROM seg",
     "lookup_segment_by_id": "SELECT id, segment_index, text FROM seg WHERE id = (SELECT min(id) FROM seg)",
@@ -142,7 +142,7 @@ _BODIES = {
     "custom_extractor": _typed(_hits("seg", {"token": _TOKEN})),
     "extract_case_insensitive": _typed(_hits("seg", {"tion": _TION}, folded=True)),
     "extract_edited_patterns": _typed(_hits("seg", {k: (r"\b[A-Z][a-z]{6,7}\b" if k == "token" else p) for k, p in _DENSE.items() if k != "strain"})),
-    "extract_fixed_texts": f"SELECT n, type, name, round(confidence, 6) AS confidence FROM ({_hits(_FIXED, _PATTERNS)})",
+    "extract_fixed_texts": f"SELECT doc_id, type, name, round(confidence, 6) AS confidence FROM ({_hits(_FIXED, _PATTERNS)})",
     "entity_confidence": "SELECT DISTINCT type, name, round(confidence, 6) AS confidence FROM hit",
     "min_confidence_filter": _typed(_hits("seg", _DENSE, least=0.8)),
     "resolve_entities": "SELECT id, namespace, type, name FROM ent",
@@ -170,9 +170,9 @@ _BODIES = {
     "count_segments_by_namespace": "SELECT count(*) AS segments FROM seg WHERE namespace = 'en'",
     "kb_stats": "SELECT namespace, information_resources, coalesce(segments, 0) AS segments, coalesce(entities, 0) AS entities, coalesce(entity_types, 0) AS entity_types FROM (SELECT namespace, count(*) AS information_resources FROM ir GROUP BY 1) LEFT JOIN (SELECT namespace, count(*) AS segments FROM seg GROUP BY 1) USING (namespace) LEFT JOIN (SELECT namespace, count(*) AS entities, count(DISTINCT type) AS entity_types FROM ent GROUP BY 1) USING (namespace)",
     "namespace_isolation": "SELECT count(*) FILTER (l.namespace <> ent.namespace) AS crossing, count(*) AS links FROM link AS l JOIN ent ON ent.id = entity_id",
-    "semantic_topk": "SELECT segment_id, round(score, 6) AS score FROM (SELECT segment_id, list_cosine_similarity(vector::double[], q::double[]) AS score FROM emb, q0) ORDER BY round(score, 12) DESC, segment_id LIMIT 10",
+    "semantic_topk": "SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::double[], q::double[]) AS score FROM embeddings, q0) ORDER BY round(score, 12) DESC, vec_id LIMIT 10",
     "semantic_topk_namespace": "SELECT * FROM semantic LIMIT 5",
-    "semantic_topk_batch": "SELECT query_id, segment_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, segment_id) AS rank FROM (SELECT e.vec_id AS query_id, segment_id, list_cosine_similarity(vector::double[], embedding::double[]) AS score FROM emb, embeddings AS e WHERE e.vec_id % 50 = 0)) WHERE rank <= 5",
+    "semantic_topk_batch": "SELECT query_id, vec_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) AS score FROM embeddings AS v, embeddings AS q WHERE q.vec_id % 50 = 0)) WHERE rank <= 5",
     "embedding_lookup": "SELECT segment_id, 'given' AS model, len(vector)::INT AS size, round(vector[1]::double, 6) AS first FROM emb WHERE vec_id = 7",
     "missing_embeddings": "SELECT id, segment_index FROM seg WHERE id NOT IN (SELECT segment_id FROM emb)",
     "embed_hash": r"""SELECT id, list_transform(range(0, 64), lambda b: coalesce(round((map_extract_value(m, b)::FLOAT / sqrt(l)::FLOAT)::DOUBLE, 4), 0::DOUBLE)) AS vector FROM
@@ -201,6 +201,12 @@ _BODIES = {
     "stream_session": "SELECT user_id, epoch_us(min(ts)) // 1000000 AS starts, epoch_us(max(ts)) // 1000000 + 7200 AS ends, count(*) AS events, round(sum(value), 4) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, session",
     "retention_cascade": f"SELECT name, namespace, count(*) AS before, count(*) FILTER (NOT gone) AS after FROM ({_FATES}) GROUP BY name, namespace",
     "retention_in_store": f"SELECT name, count(*) FILTER (gone) AS first_run, 0::BIGINT AS second_run, count(*) FILTER (NOT gone) AS left_over FROM ({_FATES}) GROUP BY name",
+    "distinct_rollup": "SELECT namespace, type, grouping(namespace, type)::INT AS level, count(DISTINCT id) AS segments, true AS near FROM hit GROUP BY ROLLUP (namespace, type)",
+    "known_names": r"SELECT id AS segment_id, entity_id, count(*) AS times FROM (SELECT id, namespace, unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\w+')) AS form FROM seg) JOIN (SELECT id AS entity_id, namespace, name AS form FROM ent WHERE type IN ('token', 'tion') UNION SELECT id, namespace, alias FROM ent WHERE type IN ('token', 'tion')) USING (namespace, form) GROUP BY ALL",
+    "custom_extractor_sql": f"SELECT id, type, name, 0.8::DOUBLE AS confidence FROM ({_hits('seg', {'token': _TOKEN})})",
+    "metadata_filter": "SELECT event_id, (props ->> '$.k')::INT AS k FROM events WHERE (props ->> '$.k')::INT >= 50",
+    "metadata_merge": "SELECT doc_id, lang, source, n_chars + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_chars, CASE WHEN doc_id % 2 = 0 THEN true END AS seen, CASE WHEN doc_id % 2 = 0 THEN 'b' END AS tag FROM documents",
+    "dated_events": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(ts, '%f') END AS ts, event_type FROM events",
 }
 
 ORACLES = {name: sql(body) for name, body in _BODIES.items()}
