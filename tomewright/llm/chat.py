@@ -80,16 +80,17 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     known = rows.where("parent is not null").select("t", "node", F.col("parent").alias("up")).join(nodes.select("t", F.col("node").alias("up")), ["t", "up"]).select("t", "node", "up")
     known = stash(known, "known")
     # Where a node gets by 2**k steps up, and the sum and number of the scores on the way; up is null once the root is passed.
+    # Nodes that are past it are settled: later jumps read them, but carry only the open ones on.
     state = stash(rows.select("t", "node", F.col("score").alias("sum"), F.lit(1).cast("long").alias("length")).join(known, ["t", "node"], "left"), "reach")
-    steps = [known]
+    open_nodes, settled, steps = state.where("up is not null"), state.where("up is null"), [known]
     most = rows.groupBy("t").count().agg(F.max("count")).first()[0] or 0
     while (1 << (len(steps) - 1)) < most and not steps[-1].isEmpty():
-        above = state.select("t", F.col("node").alias("up"), F.col("up").alias("top"), F.col("sum").alias("more"), F.col("length").alias("further"))
-        zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0).cast(kind))
-        state = stash(state.join(above, ["t", "up"], "left").select("t", "node", F.col("top").alias("up"), (F.col("sum") + zero("more", "double")).alias("sum"), (F.col("length") + zero("further", "long")).alias("length")), "reach")
-        steps.append(state.where("up is not null").select("t", "node", "up"))
+        above = open_nodes.unionByName(settled).select("t", F.col("node").alias("up"), F.col("up").alias("top"), F.col("sum").alias("more"), F.col("length").alias("further"))
+        state = stash(open_nodes.join(above, ["t", "up"]).select("t", "node", F.col("top").alias("up"), (F.col("sum") + F.col("more")).alias("sum"), (F.col("length") + F.col("further")).alias("length")), "reach")
+        open_nodes, settled = state.where("up is not null"), settled.unionByName(state.where("up is null").select(*settled.columns))
+        steps.append(open_nodes.select("t", "node", "up"))
     # Only a cycle has nodes with an ancestor left after as many steps as the tree has messages.
-    leaves = state.where("up is null").join(known.select("t", F.col("up").alias("node")).distinct(), ["t", "node"], "left_anti")
+    leaves = settled.join(known.select("t", F.col("up").alias("node")).distinct(), ["t", "node"], "left_anti")
     ranked = leaves.select("t", F.col("node").alias("leaf"), (F.col("sum") / F.col("length")).alias("score"), "length")
     if branches is not None:
         # First within parts of a tree, so that no task ranks a whole hot tree.
@@ -101,7 +102,7 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     reached = chosen.select("t", "leaf", F.col("leaf").alias("node"), (F.col("length") - 1).cast("int").alias("depth"))
     for k in range(len(steps) - 1, -1, -1):
         further = reached.join(steps[k], ["t", "node"]).select("t", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        reached = stash(reached.unionByName(further), "reached")  # else each jump's plan would hold that of the last one twice
+        reached = reached.unionByName(stash(further, "reached"))  # else each jump's plan would hold that of the last one twice
     return reached.join(rows.drop("score", "parent"), ["t", "node"]).select("tree", "leaf", "depth", "role", "text")
 
 
