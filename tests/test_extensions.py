@@ -1,14 +1,17 @@
 """Known names, table functions, sketches and metadata against plain loops."""
 
+import hashlib
 import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tomewright.functions import metadata
-from tomewright.operators import dictionary, sketches, table_functions
+from tomewright.functions.vectors import HashEmbedder
+from tomewright.operators import dictionary, order_stats, sketches, table_functions
 from tomewright.operators.extract import EntityExtractor
 
 ENTITIES = [
@@ -98,3 +101,26 @@ def test_metadata(spark):
 def test_dated_rows(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-02 03:04:05' AS a, TIMESTAMP_NTZ'2024-01-02 03:04:05.000600' AS b, CAST(NULL AS TIMESTAMP) AS c, 7 AS d")
     assert tuple(metadata.dated(df).first()) == ("2024-01-02T03:04:05", "2024-01-02T03:04:05.000600", None, 7)
+
+
+def test_order_statistics(spark):
+    draw = random.Random(5)
+    values = {"a": [draw.random() for _ in range(501)], "b": [3.0] * 40 + [7.0], None: [1.0, 2.0], "c": [-5.0], "d": [draw.choice([1e-9, 1e9, 5.0]) for _ in range(200)]}
+    rows = [(g, v) for g, own in values.items() for v in own] + [("a", None), ("e", None), ("a", float("nan"))]
+    ranks = {"least": lambda n: F.lit(0), "below": lambda n: F.floor((n - 1) / 2), "p95": lambda n: F.floor(n * 0.95), "most": lambda n: n - 1}
+    got = order_stats.order_statistics(spark.createDataFrame(rows, "g string, v double"), "g", "v", ranks, cells=16).collect()
+    want = {g: (own := sorted(v), own[0], own[(len(v) - 1) // 2], own[int(len(v) * 0.95)], own[-1])[1:] for g, v in values.items()}
+    assert {r["g"]: tuple(r)[1:] for r in got} == want
+
+
+def test_embedder_is_one_feature_at_a_time():
+    """Against the definition: the first eight hexadecimal digits of a feature's MD5 say the element, the ninth the sign."""
+    texts = ["One two  two", "", None, "é\tÄ é", "x"] * 70
+    for size in (7, 64):
+        for text, row in zip(texts[:5], HashEmbedder(size)(texts)[-5:], strict=True):
+            words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+            out = np.zeros(size)
+            for f in [*words, *(" ".join(p) for p in zip(words, words[1:]))]:
+                digits = hashlib.md5(f.encode()).hexdigest()
+                out[int(digits[:8], 16) % size] += 1 if int(digits[8], 16) >= 8 else -1
+            assert np.allclose(row, out / (np.linalg.norm(out) or 1), atol=1e-7)

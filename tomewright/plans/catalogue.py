@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, metadata
 from ..functions.text import preview, sentences
 from ..functions.vectors import HashEmbedder, embed
-from ..operators import ann, dictionary, legacy, link, recall, retention, search, sketches, table_functions, temporal, upsert
+from ..operators import ann, dictionary, legacy, link, order_stats, recall, retention, search, sketches, table_functions, temporal, upsert
 from ..operators.extract import EntityExtractor, PatternSet, extract, extract_with
 from ..operators.segment import segment_text
 from ..schemas import PROVENANCE
@@ -552,15 +552,14 @@ def migrate_entities(x):
 
 @query
 def latency_stats(x):
-    """The 95th is the value at place floor(0.95 n) of the sorted values, found on counts of distinct values: a hot type is no array."""
+    """The 95th is the value at place floor(0.95 n) of the sorted values; it and the median are found by counts of value cells, so no task
+    sorts a whole type."""
     rows = x.table("events").where("value is not null")
-    stats = rows.groupBy("event_type").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_samp("value").alias("stdev"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("n"))
-    counted = rows.groupBy("event_type", "value").agg(F.count("*").alias("times"))
-    upto = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    place = F.floor(F.col("n") * 0.95)
-    late = counted.withColumn("upto", F.sum("times").over(upto)).join(F.broadcast(stats.select("event_type", "n")), "event_type").where(F.col("upto") > place)
-    p95 = late.groupBy("event_type").agg(F.min("value").alias("p95"))
-    return stats.join(p95, "event_type").select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stdev", "least", "most", "p95")])
+    stats = rows.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("stdev"), F.min("value").alias("least"), F.max("value").alias("most"))
+    places = {"below": lambda n: F.floor((n - 1) / 2), "above": lambda n: F.floor(n / 2), "p95": lambda n: F.least(F.floor(n * 0.95), n - 1)}
+    found = order_stats.order_statistics(rows, "event_type", "value", places).withColumn("median", (F.col("below") + F.col("above")) / 2).withColumnRenamed("event_type", "of")
+    both = stats.join(found, F.col("event_type").eqNullSafe(F.col("of")))
+    return both.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stdev", "least", "most", "p95")])
 
 
 @query
