@@ -758,3 +758,18 @@ def metadata_merge(x):
 @query
 def dated_events(x):
     return metadata.dated(x.table("events").select("event_id", "ts", "event_type"))
+
+
+@query
+def page_source(x):
+    """Documents as paged files, a file each, read by ranges of pages and cut into segments: the segments of segment_pages."""
+    from ..operators.segment import keep_pages
+    from ..operators.segment import segment_pages as cut
+    from ..sources.pages import read_pages
+
+    folder = f"{scratch(x.spark)}/pages-{uuid.uuid4().hex}"
+    of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "text"))), lambda p: p["text"]), "\f")
+    files = x.pages.where("not contains(text, chr(12))").groupBy("ir_id").agg(of.alias("text")).select("text")
+    files.write.option("maxRecordsPerFile", 1).text(folder)
+    rows = cut(keep_pages(read_pages(x.spark, folder, "pages", "*.txt", task_bytes=65536).drop("error")))
+    return rows.select("text_hash", F.col("provenance.page").alias("page"), F.col("provenance.sentence").alias("sentence"), "segment_index")

@@ -207,6 +207,7 @@ _BODIES = {
     "metadata_filter": "SELECT event_id, (props ->> '$.k')::INT AS k FROM events WHERE (props ->> '$.k')::INT >= 50",
     "metadata_merge": "SELECT doc_id, lang, source, n_chars + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_chars, CASE WHEN doc_id % 2 = 0 THEN true END AS seen, CASE WHEN doc_id % 2 = 0 THEN 'b' END AS tag FROM documents",
     "dated_events": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(ts, '%f') END AS ts, event_type FROM events",
+    "page_source": f"SELECT sha256({_NORM.format('text')}) AS text_hash, page, sentence, segment_index FROM page_seg",
 }
 
 ORACLES = {name: sql(body) for name, body in _BODIES.items()}
