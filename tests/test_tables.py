@@ -169,3 +169,12 @@ def test_store_appends_and_rebuckets(spark, tmp_path):
     store.rebucket("chunks", 7)
     assert ids() == list(range(1, 30)) and len(store.touched("chunks", store.read("chunks"))) > 2
     assert TableStore(spark, f"file://{tmp_path}").merge("chunks", rows([3])) != [] and ids() == list(range(1, 30))
+
+
+def test_bucket_of_texts(spark, tmp_path):
+    """As Spark hashes them, ends and long texts included."""
+    store = TableStore(spark, f"file://{tmp_path}", buckets=13)
+    for value in ("", "a", "é漢🙂", "x" * 31, "x" * 32, "y" * 100):
+        row = spark.createDataFrame([(value, f"{value}!")], "namespace string, source_uri string")
+        assert [store.bucket_of("resources", value, f"{value}!")] == store.touched("resources", row)
+        assert [store.bucket_of("mentions", value)] == store.touched("mentions", row.selectExpr("namespace AS entity_id"))

@@ -55,8 +55,7 @@ def segments_for_entity(entity: DataFrame, links: DataFrame, segments: DataFrame
 def recalled(store: TableStore, entity_id: str, namespace: str) -> DataFrame:
     """Exact recall of one entity from the stored tables, as segments_for_entity. Only the bucket of mentions that holds the entity is read, then
     only the buckets of segments that its mentions lie in, and of both the files of the namespace alone."""
-    spark = store.spark
-    at = store.touched("mentions", spark.range(1).select(F.lit(entity_id).alias("entity_id")))
+    at = [store.bucket_of("mentions", entity_id)]
     own = lambda df: df.where(F.col("namespace") == namespace)
     mentions = own(store.read("mentions", at)).where(F.col("entity_id") == entity_id)
     segments = own(store.read("segments", store.touched("segments", mentions)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,6 +130,13 @@ class TableStore:
         live = {b: g for b, g in manifest["live"].items() if int(b) not in touched} | {str(b): [last + 1] for b in filled}
         self._publish(table, last + 1, {"buckets": manifest["buckets"], "live": live})
 
+    def bucket_of(self, table: str, *values: str) -> int:
+        """The bucket of a row with these texts in the table's bucket columns, without a job: each column's hash is the next one's seed."""
+        held = 42
+        for value in values:
+            held = xxhash.xxh64_intdigest(value.encode("utf-8"), seed=held)
+        return (held - (1 << 64) if held >= 1 << 63 else held) % self._last(table)[1]["buckets"]
+
     def touched(self, table: str, rows: DataFrame) -> list[int]:
         """The buckets of rows, which have the table's bucket columns; as many numbers as there are buckets at most."""
         _, manifest = self._last(table)
