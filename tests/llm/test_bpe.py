@@ -71,3 +71,24 @@ def test_vocabulary_without_bytes(spark, tmp_path):
     (tmp_path / "few").write_bytes(b"YQ== 0\n")
     with pytest.raises(ValueError):
         bpe.encode(spark.createDataFrame([("a",)], "text string"), f"{tmp_path}/few", public_tokenizers.PATTERN)
+
+
+def test_folding_together_is_folding_each():
+    """Words of few letters, so that equal ranks and overlaps are many; one byte to the longest."""
+    draw = random.Random(6)
+    words = [bytes(draw.choice(b"abet \xc3\xa9\xffhin") for _ in range(draw.randint(1, bpe.SCAN_PARTS))) for _ in range(2000)]
+    words += [b"a" * n for n in range(1, bpe.SCAN_PARTS + 1)]
+    words = [w for w in words if w not in RANKS]
+    got = bpe.fold_together(words, CODEC.pairs)
+    assert [list(struct.unpack(f"<{len(g) // 4}I", g)) for g in got] == [bpe.fold_merges(w, RANKS) for w in words]
+    assert bpe.fold_together([], CODEC.pairs) == []
+
+
+def test_groups_and_memo_change_nothing(monkeypatch):
+    texts = [f"word{i} Zürich{i % 7} {'x' * (i % 90)} !?" for i in range(60)] + ["", "naïve naïve"]
+    want = [CODEC.encode(t) for t in texts]
+    for words, memo in ((1, 3), (50, 20), (10**6, 10**6)):
+        monkeypatch.setattr(bpe, "GROUP_WORDS", words)
+        monkeypatch.setattr(bpe, "MEMO_WORDS", memo)
+        codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+        assert [list(struct.unpack(f"<{len(p) // 4}I", p)) for p in codec.packed(texts)] == want

@@ -1,10 +1,9 @@
 """Byte-level BPE: encode whole texts into vocabulary ids and decode ids back into bytes.
 
-A text is split by the vocabulary's pattern. Each distinct word of a batch is folded once: its bytes are
-the first parts, and the adjacent pair whose concatenation has the lowest rank is merged until no
-pair has a rank; equal ranks merge from the left. The rank map is a literal of fixed size (the
-vocabulary file), sent to the workers as one broadcast. Words already folded stay in a memo of
-bounded size. Decoding concatenates the pieces of the ids.
+Texts are split by the vocabulary's pattern. The distinct words of a group of texts that aren't in the memo (of bounded
+size) are folded together: their bytes are the first parts, and in each round every word merges the adjacent pair whose
+concatenation has the lowest rank, the leftmost of equal ones, until none of its pairs has a rank. The rank map is a
+literal of fixed size (the vocabulary file), sent to the workers as one broadcast. Decoding concatenates the pieces of the ids.
 
 No row moves between tasks: the operator is one pass over the scan, whatever the key distribution.
 """
@@ -16,6 +15,7 @@ import hashlib
 import heapq
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,9 @@ from .common import free_memory, texts_in_small_batches
 #: Entries that a worker's memo may hold before it starts afresh; longer words aren't kept.
 MEMO_WORDS = 150_000
 MEMO_WORD_CHARS = 64
-#: Words with more parts are merged by a heap instead of by scans.
+#: Words of a group of texts whose unknown words are folded together.
+GROUP_WORDS = 200_000
+#: Words with more bytes are merged by a heap, each on its own.
 SCAN_PARTS = 48
 NEVER = 1 << 30
 
@@ -107,6 +109,72 @@ def _fold_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class PairRanks:
+    """The rank of two adjacent parts' concatenation, for arrays of parts named by their own ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = []
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if left is not None and right is not None:
+                    found.append(((left << 32) | right, rank))
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        self.keys, self.values = np.append(pairs[:, 0], np.iinfo(np.int64).max), np.append(pairs[:, 1], NEVER)
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = (left << 32) | right
+        at = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[at] == wanted, self.values[at], NEVER)
+
+
+def fold_together(words: list[bytes], pairs: PairRanks) -> list[bytes]:
+    """For each of many words (none empty, none over SCAN_PARTS) its ids as packed integers. A round merges one pair of every word that still
+    has one; words that are done leave."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    name = np.arange(len(words))  # of the words still in the arrays below
+    parts = pairs.bytes[np.frombuffer(b"".join(words), np.uint8)]
+    rank = np.full(len(parts), NEVER, np.int64)  # of each part with the next one of its word
+    inner = np.ones(len(parts), bool)
+    inner[np.cumsum(size) - 1] = False
+    at = np.flatnonzero(inner)
+    rank[at] = pairs.of(parts[at], parts[at + 1])
+    out: list[bytes] = [b""] * len(words)
+    while len(name):
+        ends = np.cumsum(size)
+        lowest = np.minimum.reduceat(rank, ends - size)
+        done = lowest == NEVER
+        if done.any():
+            gone = np.repeat(done, size)
+            packed, stops = parts[gone].astype("<u4").tobytes(), (np.cumsum(size[done]) * 4).tolist()
+            for word, start, stop in zip(name[done].tolist(), [0, *stops], stops, strict=False):
+                out[word] = packed[start:stop]
+            parts, rank, size, name, lowest = parts[~gone], rank[~gone], size[~done], name[~done], lowest[~done]
+            if not len(name):
+                break
+            ends = np.cumsum(size)
+        word = np.repeat(np.arange(len(name)), size)
+        hit = np.flatnonzero(rank == lowest[word])
+        owner = word[hit]
+        first = np.ones(len(hit), bool)
+        first[1:] = owner[1:] != owner[:-1]
+        at = hit[first]  # one a word, in the words' order
+        parts[at] = lowest
+        stays = np.ones(len(parts), bool)
+        stays[at + 1] = False
+        parts, rank = parts[stays], rank[stays]
+        at -= np.arange(len(at))
+        size -= 1
+        ends = np.cumsum(size)
+        rank[at] = NEVER
+        follows = at[at + 1 < ends]
+        rank[follows] = pairs.of(parts[follows], parts[follows + 1])
+        preceded = at[at > ends - size]
+        rank[preceded - 1] = pairs.of(parts[preceded - 1], parts[preceded])
+    return out
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, with the memo of one worker."""
 
@@ -115,29 +183,42 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.pieces: dict[int, bytes] = {rank: piece for piece, rank in ranks.items()}
         self.memo: dict[str, bytes] = {}
-
-    def packed(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        words = self.split(text)
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        if len(memo) > MEMO_WORDS:
+        self.pairs = PairRanks(ranks)
+
+    def packed(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        group, count = [], 0
+        for text in texts:
+            group.append(self.split(text))
+            count += len(group[-1])
+            if count >= GROUP_WORDS:
+                yield from self._packed(group)
+                group, count = [], 0
+        yield from self._packed(group)
+
+    def _packed(self, group: list[list[str]]) -> list[bytes]:
+        memo, every = self.memo, set(chain.from_iterable(group))
+        lacking = every - memo.keys()
+        if len(memo) + len(lacking) > MEMO_WORDS:
             memo.clear()
+            lacking = every
         own: dict[str, bytes] = {}
-        for word in set(words):
-            if word not in memo:
-                ids = fold_merges(word.encode("utf-8"), self.ranks)
-                kept = memo if len(word) <= MEMO_WORD_CHARS else own
+        open_words, raw_words = [], []
+        for word in lacking:
+            raw = word.encode("utf-8")
+            kept = memo if len(word) <= MEMO_WORD_CHARS else own
+            if raw in self.ranks or len(raw) > SCAN_PARTS:
+                ids = fold_merges(raw, self.ranks)
                 kept[word] = struct.pack(f"<{len(ids)}I", *ids)
-        if own:
-            return b"".join([memo[w] if w in memo else own[w] for w in words])
-        return b"".join(map(memo.__getitem__, words))
+            else:
+                open_words.append(word)
+                raw_words.append(raw)
+        memo.update(zip(open_words, fold_together(raw_words, self.pairs), strict=True))
+        find = {**memo, **own}.__getitem__ if own else memo.__getitem__
+        return [b"".join(map(find, words)) for words in group]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), "<u4").tolist()
+        return np.frombuffer(next(self.packed([text])), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes | None:
         """None if one of the ids has no piece."""
@@ -161,14 +242,14 @@ def _codec(vocabulary, pattern: str) -> Codec:
 
 
 def _map_texts(df: DataFrame, text: str, keep: list[str], vocabulary_path: str, pattern: str, made: list[tuple[str, pa.DataType, T.DataType]], row) -> DataFrame:
-    """A pass that adds the columns made = row(codec, text)."""
+    """A pass that adds the columns made = row(codec, packed ids of the text)."""
     vocabulary = df.sparkSession.sparkContext.broadcast(_checked(vocabulary_path))
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, kind) for name, _, kind in made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary, pattern)
         for batch in batches:
-            rows = [row(codec, value.as_py() or "") for value in batch.column(text)]
+            rows = [row(codec, packed) for packed in codec.packed(value.as_py() or "" for value in batch.column(text))]
             columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind, _) in enumerate(made)]
             del rows
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, names=[*keep, *(name for name, _, _ in made)])
@@ -183,7 +264,7 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text"
     an input column named like ids is replaced; other columns, repeated rows and empty tables pass through as they are. A text is split
     whole, however long it is; a long word is folded by a heap. The vocabulary must have all single bytes (ValueError)."""
     keep = [c for c in df.columns if c.lower() != ids.lower()]
-    return _map_texts(df, text, keep, vocabulary_path, pattern, [(ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))], lambda codec, value: (codec.encode(value),))
+    return _map_texts(df, text, keep, vocabulary_path, pattern, [(ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))], lambda codec, packed: (np.frombuffer(packed, "<u4").astype(np.int32),))
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -207,8 +288,7 @@ def round_trip(df: DataFrame, vocabulary_path: str, pattern: str, key: str = "do
     key, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256, and the ids if a name is given.
     A null text counts as empty: no tokens, the digests of nothing. Repeated rows and keys each give a row."""
 
-    def row(codec: Codec, value: str) -> tuple:
-        packed = codec.packed(value)
+    def row(codec: Codec, packed: bytes) -> tuple:
         numbers = np.frombuffer(packed, "<u4")
         back = codec.decode(numbers.tolist())
         digest = (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest())
