@@ -340,7 +340,7 @@ def upsert_entities(x):
 
 @query
 def upsert_links(x):
-    known = x.links.drop("namespace").withColumn("created_at", F.lit(1))
+    known = x.links.drop("namespace", "ir_id").withColumn("created_at", F.lit(1))
     later = known.where(F.col("entity_id") < "8").select("segment_id", "entity_id", "link_type", (F.col("confidence") * 0).cast("float").alias("confidence"), F.lit(2).alias("created_at"))
     both = later.unionByName(later.withColumns({"confidence": F.lit(0.5).cast("float"), "created_at": F.lit(3)}))
     rows = upsert.upsert(known, both, ["segment_id", "entity_id", "link_type"], upsert.UPDATED["links"], F.col("created_at"))
