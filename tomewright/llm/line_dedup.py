@@ -12,11 +12,15 @@ words on, one word in each full 15 of the longer line. All steps are DataFrame o
    keys, not with their square.
 4. The edit distance of each pair is verified on the words. Lines with an earlier near line go, wherever they stand.
 5. Lines that more edits may join share a run of 10 words, as k edits cut N words into k + 1 runs. Of each 7 neighbouring
-   four-word runs the least hash is a key, so two lines with such a run share a key, wherever it stands. A line meets the
-   earliest line of its key and length class first; only lines not near to that one meet all earlier ones of their keys. Pairs whose words,
+   four-word pieces the least hash is a key, so two lines with such a run share a key, wherever it stands; only lines that
+   share one go on. An edit changes four pieces at most, so of a line's distinct pieces, put in any order that all lines
+   have in common, a near line shares one of the first 4k + 1, and that one is among its own first ones too. The order
+   is by the number of lines with the piece, rarest first. A line whose first pieces are its own has no partner, and a passage that
+   very many lines have is no key of lines with text of their own. A line meets the earliest line of its key and length
+   class first; only lines not near to that one meet all earlier ones of their keys. Pairs whose words,
    counted in a few classes, differ by more than the edits allow are dropped before any text is joined.
-   Word edit distances are verified by characters that stand for words. Keys of which many lines stay open cost up to
-   the square of these.
+   Word edit distances are verified by characters that stand for words. A key of the rarest pieces that many lines share, none near
+   to the earliest, still costs up to the square of these lines: variants of one text, more edits from each other than from it.
 """
 
 from __future__ import annotations
@@ -147,16 +151,41 @@ def _run_words(per: int) -> tuple[int, int]:
     return run, min(GRAM_WORDS, run)
 
 
+def _hashed_runs(w: Column, words: int) -> Column:
+    """Hashes of all runs of so many words."""
+    return F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(F.slice(w, i + 1, words)))
+
+
 def _run_keys(per: int) -> Column:
     """Least hashes of neighbouring pieces, such that lines in reach of more than one edit share one."""
     run, gram = _run_words(per)
     near = run - gram + 1
-    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - gram), lambda i: F.xxhash64(F.slice(w, i + 1, gram)))
+    hashes = lambda w: _hashed_runs(w, gram)
     least = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - near), lambda i: F.array_min(F.slice(h, i + 1, near)))
     # Arrays of one element bind what is used for each place, so that it is computed once.
     return F.array_distinct(F.transform(F.transform(F.array(F.split("_line", " ", -1)), hashes), least)[0])
 
 
+def _pieces(line: str, gram: int) -> Column:
+    """Hashes of the distinct runs of gram words of a line."""
+    return F.array_distinct(F.transform(F.array(F.split(line, " ", -1)), lambda w: _hashed_runs(w, gram))[0])
+
+
+def _rarest_pieces(lines: DataFrame, per: int) -> DataFrame:
+    """r, keys: the pieces of a line, rarest first, that any line in reach shares one of. Lines whose such pieces are all their own aren't there."""
+    gram = _run_words(per)[1]
+    n = F.octet_length("_line") - F.octet_length(F.replace(F.col("_line"), F.lit(" "), F.lit(""))) + 1
+    # The longer line of a pair has k * per words or more, this one k fewer at most.
+    first = gram * F.floor(n / (per - 1)) + 1
+    pieces = lines.select("r", first.cast("int").alias("first"), _pieces("_line", gram).alias("p"))
+    each = stash(pieces.select("r", "first", F.size("p").alias("m"), F.explode("p").alias("k")), "pieces")
+    counted = each.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+    common = stash(each.join(counted, "k"), "common").groupBy("r", "first", "m").agg(F.sort_array(F.collect_list(F.struct("c", "k"))).alias("found"))
+    # The pieces that no other line has come first.
+    left = F.col("first") - (F.col("m") - F.size("found"))
+    return common.where(left > 0).select("r", F.slice("found", 1, left).k.alias("keys"))
+
+
 def _as_characters(numbers: Column) -> Column:
     """One character for each number from 0 on, without the surrogates (numbers repeat beyond all 1,112,000)."""
     point = lambda x: x + F.when(x >= 0xD7FF, 0x801).otherwise(1)
@@ -177,12 +206,13 @@ def _within(pairs: DataFrame, lines: DataFrame, per: int) -> DataFrame:
     def distance(known: Column, clashing: Column) -> Column:
         words = F.filter(known, lambda x: F.array_contains(clashing, _number(x)))
         own = lambda w, c: _as_characters(F.transform(w, lambda x: F.when(F.array_contains(clashing, _number(x)), NUMBERS + F.array_position(c, x)).otherwise(_number(x))))
-        return F.when(F.size(clashing) == 0, 0).otherwise(bind(words, lambda c: F.levenshtein(own(F.col("w_a"), c), own(F.col("w_b"), c))))
+        return F.when(F.size(clashing) == 0, 0).otherwise(bind(words, lambda c: F.call_function("levenshtein", own(F.col("w_a"), c), own(F.col("w_b"), c), F.expr(f"cast({bound} as int)"))))
 
     repeated = lambda numbers: F.array_distinct(F.filter(numbers, lambda x, i: x == F.get(numbers, i - 1)))
     clashing = lambda known: bind(F.array_sort(F.transform(known, _number)), repeated)
     exact = bind(F.array_distinct(F.concat("w_a", "w_b")), lambda known: bind(clashing(known), lambda c: distance(known, c)))
-    return passed.where(exact <= F.expr(bound)).select("r").distinct()
+    # Beyond the bound the distance is -1.
+    return passed.where(exact >= 0).select("r").distinct()
 
 
 def _number(word: Column) -> Column:
@@ -208,13 +238,14 @@ def _near_by_more_edits(texts: DataFrame, hashed: DataFrame, near: DataFrame, pe
     long = hashed.where(F.size("_keys") > 0)
     keys = long.select("_h", F.explode("_keys").alias("k"))
     shared = stash(keys.groupBy("k").agg(F.min("_h").alias("low"), F.max("_h").alias("high")).where("low <> high").select("k"), "shared")
-    found = stash(keys.join(shared, "k", "left_semi").groupBy("_h").agg(F.collect_set("k").alias("keys")), "members")
+    found = stash(keys.join(shared, "k", "left_semi").select("_h").distinct(), "members")
     if found.isEmpty():
         return near
     places = long.select("_h", "_g", F.struct("_key", "_row", "_no").alias("at")).groupBy("_h", "_g").agg(F.min("at").alias("at"))
     lines = _first_lines(texts, stash(places.join(found, "_h"), "places"))
     n = F.size("w")
-    sketched = stash(lines.select("r", "keys", F.split("_line", " ", -1).alias("w")).select("r", "keys", n.alias("n"), *[_counts("w", seed).alias(f"s{seed}") for seed in SKETCHES]), "sketched")
+    keyed = lines.join(stash(_rarest_pieces(lines, per), "rarest"), "r")
+    sketched = stash(keyed.select("r", "keys", F.split("_line", " ", -1).alias("w")).select("r", "keys", n.alias("n"), *[_counts("w", seed).alias(f"s{seed}") for seed in SKETCHES]), "sketched")
     n, sketches = F.col("n"), [f"s{seed}" for seed in SKETCHES]
     members = stash(sketched.select("r", n, *sketches, F.floor(F.log(n) * 8).alias("class"), F.explode("keys").alias("k")), "keyed")
     longer = F.greatest("n", "p_n")
