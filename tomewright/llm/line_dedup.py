@@ -11,9 +11,9 @@ words on, one word in each full 15 of the longer line. All steps are DataFrame o
    line equal to a longer one less a word pairs with the earliest of the other side. Pairs grow with the
    keys, not with their square.
 4. The edit distance of each pair is verified on the words. Lines with an earlier near line go, wherever they stand.
-5. Lines that more edits may join share a run of 10 words, as k edits cut N words into k + 1 runs. Of each 7 neighbouring
-   four-word pieces the least hash is a key, so two lines with such a run share a key, wherever it stands; only lines that
-   share one go on. An edit changes four pieces at most, so of a line's distinct pieces, put in any order that all lines
+5. Lines that more edits may join share a run of 10 words, as k edits cut N words into k + 1 runs. Of each 3 neighbouring
+   eight-word runs the least hash is a key, so two lines with such a run share a key, wherever it stands; only lines that
+   share one go on. An edit changes four of the four-word pieces at most, so of a line's distinct pieces, put in any order that all lines
    have in common, a near line shares one of the first 4k + 1, and that one is among its own first ones too. The order
    is by the number of lines with the piece, rarest first. A line whose first pieces are its own has no partner, and a passage that
    very many lines have is no key of lines with text of their own. A line meets the earliest line of its key and length
@@ -34,8 +34,8 @@ from .common import ASCII_SPACE, other_columns, stash, text_or_empty
 MIN_WORDS, NEAR_WORDS = 5, 10
 #: Lines of twice as many words or more may differ by one word in each full so many.
 WORDS_PER_EDIT = 15
-#: Words of a run that is hashed into a key of step 5.
-GRAM_WORDS = 4
+#: Words of a run that is hashed into a key of step 5, and of the pieces that are counted.
+KEY_WORDS, GRAM_WORDS = 8, 4
 #: Lines of more words aren't sketched: a count would not fit its byte. Seeds of the sketches.
 SKETCHED_WORDS, SKETCHES = 255, (3, 4)
 #: Characters that stand for words by hash; the 112,000 others are for words whose hashes clash within a pair of lines.
@@ -145,10 +145,9 @@ def _near_lines(texts: DataFrame, hashed: DataFrame) -> DataFrame:
     return both.withColumns({"w_a": F.split("line_a", " ", -1), "w_b": F.split("line_b", " ", -1)}).where(_edit_distance_at_most_one("w_a", "w_b")).select("_h", "_g").distinct()
 
 
-def _run_words(per: int) -> tuple[int, int]:
-    """Words of the run that lines in reach of more than one edit share, and of the pieces that are hashed."""
-    run = -(-2 * (per - 1) // 3)
-    return run, min(GRAM_WORDS, run)
+def _run_words(per: int) -> int:
+    """Words of the run that lines in reach of more than one edit share."""
+    return -(-2 * (per - 1) // 3)
 
 
 def _hashed_runs(w: Column, words: int) -> Column:
@@ -157,8 +156,9 @@ def _hashed_runs(w: Column, words: int) -> Column:
 
 
 def _run_keys(per: int) -> Column:
-    """Least hashes of neighbouring pieces, such that lines in reach of more than one edit share one."""
-    run, gram = _run_words(per)
+    """Least hashes of neighbouring runs, such that lines in reach of more than one edit share one."""
+    run = _run_words(per)
+    gram = min(KEY_WORDS, run)
     near = run - gram + 1
     hashes = lambda w: _hashed_runs(w, gram)
     least = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - near), lambda i: F.array_min(F.slice(h, i + 1, near)))
@@ -173,17 +173,18 @@ def _pieces(line: str, gram: int) -> Column:
 
 def _rarest_pieces(lines: DataFrame, per: int) -> DataFrame:
     """r, keys: the pieces of a line, rarest first, that any line in reach shares one of. Lines whose such pieces are all their own aren't there."""
-    gram = _run_words(per)[1]
+    gram = min(GRAM_WORDS, _run_words(per))
     n = F.octet_length("_line") - F.octet_length(F.replace(F.col("_line"), F.lit(" "), F.lit(""))) + 1
     # The longer line of a pair has k * per words or more, this one k fewer at most.
-    first = gram * F.floor(n / (per - 1)) + 1
-    pieces = lines.select("r", first.cast("int").alias("first"), _pieces("_line", gram).alias("p"))
+    first = (gram * F.floor(n / (per - 1)) + 1).cast("int")
+    pieces = lines.select("r", first.alias("first"), _pieces("_line", gram).alias("p"))
     each = stash(pieces.select("r", "first", F.size("p").alias("m"), F.explode("p").alias("k")), "pieces")
-    counted = each.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
-    common = stash(each.join(counted, "k"), "common").groupBy("r", "first", "m").agg(F.sort_array(F.collect_list(F.struct("c", "k"))).alias("found"))
+    counted = stash(each.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "counted")
+    common = stash(each.select("r", "k").join(counted, "k"), "common").groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "k"))).alias("found"))
+    sizes = each.groupBy("r").agg(F.first("first").alias("first"), F.first("m").alias("m"))
     # The pieces that no other line has come first.
     left = F.col("first") - (F.col("m") - F.size("found"))
-    return common.where(left > 0).select("r", F.slice("found", 1, left).k.alias("keys"))
+    return common.join(sizes, "r").where(left > 0).select("r", F.slice("found", 1, left).k.alias("keys"))
 
 
 def _as_characters(numbers: Column) -> Column:
