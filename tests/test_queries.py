@@ -60,3 +60,11 @@ def test_entry(spark):
 
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_tables_that_are_folders_stream_too(spark, tmp_path):
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_ingest", "stream_tumbling"):
+        got, want = ({tuple(r) for r in QUERIES[name](spark, d).collect()} for d in (str(tmp_path), SF))
+        assert got == want and got

@@ -581,10 +581,7 @@ def stream_ingest(x):
     from ..streaming.ingest import text_stream_to_segments
 
     folder = f"{scratch(x.spark)}/stream-{uuid.uuid4().hex}"
-    source = x.dir.rstrip("/")
-    schema = x.table("documents").schema
-    stream = x.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(source)
-    rows = stream.select(F.col("lang").alias("namespace"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source_uri"), "text")
+    rows = x.stream("documents").select(F.col("lang").alias("namespace"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source_uri"), "text")
     store = TableStore(x.spark, f"{folder}/store")
     text_stream_to_segments(rows, store, f"{folder}/checkpoint").awaitTermination()
     return store.read("segments").select("id", "ir_id")
@@ -652,7 +649,7 @@ def _windowed(x: Fixture, by: list[str], span) -> DataFrame:
     """The events table as a stream, its windows written as they close; the input's end closes the last."""
     folder = f"{scratch(x.spark)}/windows-{uuid.uuid4().hex}"
     schema = x.table("events").schema
-    stream = lambda: windows.closing(x.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(x.dir.rstrip("/")), f"{folder}/end")
+    stream = lambda: windows.closing(x.stream("events"), f"{folder}/end")
     run = lambda: windows.write(windows.totals(stream(), by, span(), "1 hour"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     run()
     windows.close(x.spark, schema, f"{folder}/end")
