@@ -68,3 +68,25 @@ def test_tables_that_are_folders_stream_too(spark, tmp_path):
     for name in ("stream_ingest", "stream_tumbling"):
         got, want = ({tuple(r) for r in QUERIES[name](spark, d).collect()} for d in (str(tmp_path), SF))
         assert got == want and got
+
+
+def test_components_near_zero_keep_their_sign(spark, base, tmp_path):
+    """Rows are compared as texts, in which -0.0 isn't 0.0."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(d, [-1e-7, 1e-7, -0.0, 0.0, 0.5, -0.1234565, float("nan")]) for d in range(60)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    own = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        own.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("upsert_embeddings", "embedding_lookup"):
+        df, sql = QUERIES[name](spark, str(tmp_path)), own.sql(ORACLES[name])
+        assert rows(df.columns, df.collect()) == rows(sql.columns, sql.fetchall())
+
+
+@pytest.mark.parametrize("name", ["semantic_topk", "semantic_topk_batch"])
+def test_search_goes_from_vectors_to_segments(spark, name):
+    """A vector is found as the one of its document's first segment, not as a row of the given table."""
+    segments = {r["id"] for r in QUERIES["segment_ids"](spark, SF).select("id").collect()}
+    found = {r["segment_id"] for r in QUERIES[name](spark, SF).collect()}
+    assert found and found <= segments
