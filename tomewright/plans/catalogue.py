@@ -421,8 +421,8 @@ def namespace_isolation(x):
 
 @query
 def semantic_topk(x):
-    best = search.top_k(x.table("embeddings"), x.query_vector(0), 10, "embedding", "vec_id")
-    return best.select("vec_id", F.round("score", 6).alias("score"))
+    best = search.top_k(x.stored["embeddings"], x.query_vector(0), 10)
+    return best.select("segment_id", F.round("score", 6).alias("score"))
 
 
 @query
@@ -434,15 +434,15 @@ def semantic_topk_namespace(x):
 
 @query
 def semantic_topk_batch(x):
-    """Every vector whose id is divisible by 50 against all, in blocks of BATCH_QUERIES a pass."""
-    vectors = x.table("embeddings")
-    rows = vectors.where("vec_id % 50 = 0 and embedding is not null").orderBy("vec_id").toLocalIterator()
+    """Every vector whose id is divisible by 50 against those of all segments, in blocks of BATCH_QUERIES a pass."""
+    vectors = x.stored["embeddings"]
+    rows = x.table("embeddings").where("vec_id % 50 = 0 and embedding is not null").orderBy("vec_id").toLocalIterator()
     found = []
     while block := {r["vec_id"]: r["embedding"] for r in islice(rows, BATCH_QUERIES)}:
-        found.append(search.top_k_batch(vectors, block, 5, "embedding", "vec_id"))
+        found.append(search.top_k_batch(vectors, block, 5))
     if not found:
-        return vectors.limit(0).select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    return reduce(DataFrame.unionByName, found).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+        return vectors.limit(0).select(F.lit(0).cast("long").alias("query_id"), "segment_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return reduce(DataFrame.unionByName, found).select("query_id", "segment_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
