@@ -90,3 +90,20 @@ def test_search_goes_from_vectors_to_segments(spark, name):
     segments = {r["id"] for r in QUERIES["segment_ids"](spark, SF).select("id").collect()}
     found = {r["segment_id"] for r in QUERIES[name](spark, SF).collect()}
     assert found and found <= segments
+
+
+def test_a_file_each_in_folders_of_tasks(spark, tmp_path):
+    """Small files are dealt to few tasks; before, each counted as 4 MB."""
+    from tomewright.plans.fixtures import write_each
+    from tomewright.sources.files import read_files
+
+    texts = [(f"text number {i}",) for i in range(200)]
+    write_each(spark.createDataFrame(texts, "text string").repartition(2), f"{tmp_path}/in")
+    assert not [f for f in os.listdir(f"{tmp_path}/in") if f.endswith(".txt")]
+    spark.conf.set("spark.sql.files.openCostInBytes", "4MB")
+    try:
+        found = read_files(spark, f"{tmp_path}/in", "files", "*.txt")
+        assert found.rdd.getNumPartitions() <= 6
+        assert {bytes(r["content"]).decode().strip() for r in found.collect()} == {t for (t,) in texts} and found.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
