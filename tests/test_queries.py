@@ -107,3 +107,30 @@ def test_a_file_each_in_folders_of_tasks(spark, tmp_path):
         assert {bytes(r["content"]).decode().strip() for r in found.collect()} == {t for (t,) in texts} and found.count() == 200
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_store_holds_what_was_asked_for_and_hits_are_made_once(spark, tmp_path, monkeypatch):
+    """Before, the first query filled every table and searched each text three times."""
+    from tomewright.plans import fixtures
+    from tomewright.sources.store import TableStore
+
+    searched = []
+    extract = fixtures.extract
+    monkeypatch.setattr(fixtures, "extract", lambda *a: searched.append(1) or extract(*a))
+    x = fixtures.Fixture(spark, SF)
+    store = TableStore(spark, f"{tmp_path}/kb", buckets=2)
+    first = x.fill(store, ["entities"])
+    assert first == {"segments", "hits", "entities"} and store.read("links").isEmpty()
+    assert x.fill(store, fixtures.TABLES, first) == {"resources", "links", "mentions", "sketches", "embeddings"} and len(searched) == 1
+    assert store.read("links").count() == store.read("mentions").count() == x.links.count()
+
+
+def test_links_are_extracted_once_for_their_upsert(spark, monkeypatch):
+    """Before, the plan searched the texts three times."""
+    from tomewright.plans import fixtures
+
+    searched = []
+    extract = fixtures.extract
+    monkeypatch.setattr(fixtures, "extract", lambda *a: searched.append(1) or extract(*a))
+    plan = QUERIES["upsert_links"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(searched) == 1 and "regexp_extract_all" not in plan

@@ -18,7 +18,7 @@ from ..operators.extract import EntityExtractor, PatternSet, extract, extract_wi
 from ..operators.segment import segment_text
 from ..schemas import PROVENANCE
 from ..streaming import windows
-from .fixtures import CUSTOM, DENSE, Fixture, scratch, write_each
+from .fixtures import CUSTOM, DENSE, TABLES, Fixture, kept, scratch, write_each
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NAMESPACE = "en"
@@ -51,7 +51,7 @@ def _of(table: DataFrame) -> DataFrame:
 def _recalled(x: Fixture, entity: DataFrame) -> DataFrame:
     """As the facade recalls: through the layout by entity."""
     found = entity.select("id").first()
-    return recall.recalled(x.store, found["id"] if found else "", NAMESPACE)
+    return recall.recalled(x.filled_store("mentions", "segments", "resources"), found["id"] if found else "", NAMESPACE)
 
 
 def _first_name(x: Fixture, alias: bool = False) -> str:
@@ -340,7 +340,7 @@ def upsert_entities(x):
 
 @query
 def upsert_links(x):
-    known = x.links.drop("namespace", "ir_id").withColumn("created_at", F.lit(1))
+    known = kept(x.links.drop("namespace", "ir_id")).withColumn("created_at", F.lit(1))
     later = known.where(F.col("entity_id") < "8").select("segment_id", "entity_id", "link_type", (F.col("confidence") * 0).cast("float").alias("confidence"), F.lit(2).alias("created_at"))
     both = later.unionByName(later.withColumns({"confidence": F.lit(0.5).cast("float"), "created_at": F.lit(3)}))
     rows = upsert.upsert(known, both, ["segment_id", "entity_id", "link_type"], upsert.UPDATED["links"], F.col("created_at"))
@@ -676,16 +676,16 @@ def stream_session(x):
 # Retention
 
 
-def _gone(x: Fixture) -> DataFrame:
+def _gone(resources: DataFrame) -> DataFrame:
     """Resources to be deleted: those whose uri ends in 3, and all of namespace de."""
-    return x.stored["resources"].where("source_uri like '%3' or namespace = 'de'")
+    return resources.where("source_uri like '%3' or namespace = 'de'")
 
 
 @query
 def retention_cascade(x):
     """Rows of each table and namespace before and after resources are deleted with all that comes of them."""
     t = x.stored
-    kept = retention.survivors(t, _gone(x))
+    kept = retention.survivors(t, _gone(t["resources"]))
     parts = []
     for name in ("resources", "segments", "links", "embeddings", "entities"):
         before, after = (df.groupBy("namespace").agg(F.count("*").alias(c)) for df, c in ((t[name], "before"), (kept[name], "after")))
@@ -698,8 +698,9 @@ def retention_in_store(x):
     """The same deletion in a store of its own, run twice: what went each time, and what is left."""
     from ..sources.store import TableStore
 
-    store = x.fill(TableStore(x.spark, f"{scratch(x.spark)}/retention-{uuid.uuid4().hex}", buckets=4))
-    gone = _gone(x)
+    store = TableStore(x.spark, f"{scratch(x.spark)}/retention-{uuid.uuid4().hex}", buckets=4)
+    x.fill(store, [n for n in TABLES if n != "sketches"])  # deletion takes nothing from them
+    gone = _gone(store.read("resources"))
     runs = [retention.delete_resources(store, gone) for _ in range(2)]
     left = {name: store.read(name).count() for name in runs[0]}
     rows = [(name, *(r[name] for r in runs), left[name]) for name in runs[0]]
@@ -713,7 +714,7 @@ def retention_in_store(x):
 def distinct_rollup(x):
     """Segments with an entity by namespace and type, and rolled up: the exact count, and whether the stored states' estimate is near it."""
     t = x.stored
-    about = sketches.rolled_up(x.store.read("sketches")).select(F.col("namespace").alias("_ns"), F.col("type").alias("_type"), F.col("level").alias("_level"), F.col("segments").alias("estimate"))
+    about = sketches.rolled_up(t["sketches"]).select(F.col("namespace").alias("_ns"), F.col("type").alias("_type"), F.col("level").alias("_level"), F.col("segments").alias("estimate"))
     real = sketches.exact(t["links"], t["entities"])
     same = real["namespace"].eqNullSafe(about["_ns"]) & real["type"].eqNullSafe(about["_type"]) & (real["level"] == about["_level"])
     near = F.abs(F.col("estimate") - F.col("segments")) <= F.greatest(F.lit(1.0), F.col("segments") * sketches.ERROR)
