@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Base-2 logarithm of a state's registers: 16 KB and a standard error of 0.8 %.
@@ -34,6 +36,17 @@ def rolled_up(stored: DataFrame) -> DataFrame:
 
 
 def exact(links: DataFrame, entities: DataFrame) -> DataFrame:
-    """The same with exact counts, from the links."""
+    """The same with exact counts, from the links. A segment's links meet once, as the set of their namespaces and types; equal sets are
+    counted together, and only these few counts are rolled up."""
     typed = links.drop("namespace").join(entities.select(F.col("id").alias("entity_id"), "namespace", "type"), "entity_id")
-    return typed.rollup("namespace", "type").agg(F.grouping_id().cast("int").alias("level"), F.countDistinct("segment_id").alias("segments"))
+    sets = typed.groupBy("segment_id").agg(F.array_sort(F.collect_set(F.struct("namespace", "type"))).alias("of"))
+    counted = sets.groupBy("of").agg(F.count("segment_id").alias("n"))
+    none = F.lit(None).cast("string")
+
+    def level(number: int, namespace: Callable[[Column], Column], type: Callable[[Column], Column]) -> Column:
+        return F.array_distinct(F.transform("of", lambda c: F.struct(namespace(c).alias("namespace"), type(c).alias("type"), F.lit(number).alias("level"))))
+
+    own_ns, own_type, no = (lambda c: c["namespace"]), (lambda c: c["type"]), (lambda c: none)
+    levels = [level(0, own_ns, own_type), level(1, own_ns, no), level(3, no, no)]
+    rows = counted.select("n", F.explode(F.concat(*levels)).alias("c")).select("c.*", "n")
+    return rows.groupBy("namespace", "type", "level").agg(F.sum("n").alias("segments"))
