@@ -124,3 +124,21 @@ def test_embedder_is_one_feature_at_a_time():
                 digits = hashlib.md5(f.encode()).hexdigest()
                 out[int(digits[:8], 16) % size] += 1 if int(digits[8], 16) >= 8 else -1
             assert np.allclose(row, out / (np.linalg.norm(out) or 1), atol=1e-7)
+
+
+def test_known_names_of_many_blocks_arent_shuffled(spark):
+    """An entity's forms lie in one block, so its rows need no sum over blocks."""
+    texts = spark.createDataFrame([("a", "n", "Alpha and alpha, Beta"), ("b", "n", "beta Alpha Alpha")], "id string, namespace string, text string")
+    entities = spark.createDataFrame([(f"e{i}", "n", name, [name.lower()]) for i, name in enumerate(["Alpha", "Beta", "Gamma", "Alpha"])], "id string, namespace string, name string, aliases array<string>")
+    found = dictionary.known_names(texts, entities, block_bytes=8)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("a", "e0", 2), ("a", "e1", 1), ("a", "e3", 2), ("b", "e0", 2), ("b", "e1", 1), ("b", "e3", 2)]
+
+
+def test_exact_rollup_shuffles_no_row_thrice(spark):
+    """A segment with several types counts once in each roll-up; the plan has no Expand over links."""
+    links = spark.createDataFrame([("s1", "e1"), ("s1", "e2"), ("s1", "e1"), ("s2", "e2"), ("s3", "e3")], "segment_id string, entity_id string").withColumn("namespace", F.lit("x"))
+    entities = spark.createDataFrame([("e1", "n", "t"), ("e2", "n", "u"), ("e3", "m", "t")], "id string, namespace string, type string")
+    rows = sketches.exact(links, entities)
+    assert "Expand" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, [("n", "t", 0, 1), ("n", "u", 0, 2), ("m", "t", 0, 1), ("n", None, 1, 2), ("m", None, 1, 1), (None, None, 3, 3)]))

@@ -46,7 +46,8 @@ def known_names(texts: DataFrame, entities: DataFrame, id: str = "id", text: str
     """id, entity_id, times: how often a text has the name or an alias of an entity of its namespace, as whole words and in the case given.
 
     Overlapping forms all count, also one inside another. Null texts have no names; a null namespace is one. Entities that share a form are
-    each found. Repeated texts each give rows. Blocks are cut by the hash of the form."""
+    each found. Repeated texts each give rows. Blocks are cut by the hash of the entity, so all its forms lie in one, each row is whole when it is
+    made and no row is shuffled."""
     spark = ship(texts.sparkSession)
     rows = forms(entities)
     total = rows.agg(F.sum(F.octet_length("form") + F.octet_length("entity_id"))).first()[0] or 0
@@ -57,7 +58,7 @@ def known_names(texts: DataFrame, entities: DataFrame, id: str = "id", text: str
 
     def part(number: int) -> DataFrame:
         own: dict[str, dict[str | None, list[str]]] = {}
-        for r in rows.where(F.pmod(F.xxhash64("form"), F.lit(count)) == number).select("form", "namespace", "entity_id").toLocalIterator():
+        for r in rows.where(F.pmod(F.xxhash64("entity_id"), F.lit(count)) == number).select("form", "namespace", "entity_id").toLocalIterator():
             own.setdefault(r["form"], {}).setdefault(r["namespace"], []).append(r["entity_id"])
         sent = spark.sparkContext.broadcast(own)  # one block
 
@@ -80,6 +81,4 @@ def known_names(texts: DataFrame, entities: DataFrame, id: str = "id", text: str
 
         return source.mapInArrow(run, schema)
 
-    found = reduce(DataFrame.unionByName, [part(n) for n in range(count)])
-    # An entity's forms may lie in several blocks; with one block each row is whole already.
-    return found if count == 1 else found.groupBy("id", "entity_id").agg(F.sum("times").alias("times"))
+    return reduce(DataFrame.unionByName, [part(n) for n in range(count)])
