@@ -178,3 +178,40 @@ def test_bucket_of_texts(spark, tmp_path):
         row = spark.createDataFrame([(value, f"{value}!")], "namespace string, source_uri string")
         assert [store.bucket_of("resources", value, f"{value}!")] == store.touched("resources", row)
         assert [store.bucket_of("mentions", value)] == store.touched("mentions", row.selectExpr("namespace AS entity_id"))
+
+
+def test_what_stays_is_not_shuffled_by_a_deletion(spark, tmp_path, monkeypatch):
+    """Before, deleting resources shuffled every row of segments, links, mentions and vectors, most of them twice."""
+    import os
+    import re
+
+    from tomewright.operators import retention
+    from tomewright.plans.fixtures import Fixture
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    plans, left = {}, []
+    written = TableStore._written
+
+    def seen(self, table, rows, *rest, **more):
+        plans[table] = rows._jdf.queryExecution().executedPlan().toString()
+        return written(self, table, rows, *rest, **more)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (retention.FEW, 0):
+            store = TableStore(spark, f"{tmp_path}/kb{few}", buckets=2)
+            Fixture(spark, sf).fill(store, ["resources", "segments", "links", "mentions", "entities", "embeddings"])
+            monkeypatch.setattr(retention, "FEW", few)
+            with monkeypatch.context() as m:
+                m.setattr(TableStore, "_written", seen)
+                counts = retention.delete_resources(store, store.read("resources").where("source_uri like '%3'"))
+            own = {t: sorted(map(str, store.read(t).collect())) for t in ("resources", "segments", "links", "mentions", "entities", "embeddings")}
+            assert own["links"] and counts["links"] and len(own["mentions"]) == len(own["links"])
+            left.append((counts, own))
+            joins = {re.search(r"(\w+Join).*LeftAnti", plans[t])[1] for t in ("segments", "links", "mentions", "embeddings")}
+            assert joins == {"BroadcastHashJoin" if few else "SortMergeJoin"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert left[0] == left[1]
