@@ -134,3 +134,11 @@ def test_links_are_extracted_once_for_their_upsert(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "extract", lambda *a: searched.append(1) or extract(*a))
     plan = QUERIES["upsert_links"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(searched) == 1 and "regexp_extract_all" not in plan
+
+
+def test_search_of_one_finds_vectors_without_a_segment(spark, base):
+    """Before, only vectors of documents with a segment were searched: 200 of the 500 here at most."""
+    got = QUERIES["semantic_topk"](spark, SF).collect()
+    want = base.sql("SELECT vec_id FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY round(list_cosine_similarity(embedding::double[], q::double[]), 12) DESC, vec_id LIMIT 10").fetchall()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [v for (v,) in want]
+    assert max(v for (v,) in want) >= base.sql("SELECT count(*) FROM documents").fetchall()[0][0]

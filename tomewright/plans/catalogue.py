@@ -419,10 +419,23 @@ def namespace_isolation(x):
 # Vectors
 
 
+def _beside(vectors: DataFrame, segments: DataFrame, by: list[str]) -> DataFrame:
+    """The best of all vectors beside the best of those that segments have, by rank."""
+    on = [F.col(f"v.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
+    rows = vectors.withColumnRenamed("score", "vec_score").alias("v").join(segments.alias("s"), on, "full_outer")
+    found = [F.coalesce(f"v.{c}", f"s.{c}").alias(c) for c in by]
+    return rows.select(*found, "vec_id", F.round("vec_score", 6).alias("vec_score"), "segment_id", F.round("score", 6).alias("score"))
+
+
 @query
 def semantic_topk(x):
-    best = search.top_k(x.stored["embeddings"], x.query_vector(0), 10)
-    return best.select("segment_id", F.round("score", 6).alias("score"))
+    """The ten best of all vectors, with or without a segment, and the ten best segments."""
+
+    def ranked(best: DataFrame, id: str) -> DataFrame:
+        return best.select(id, "score", F.row_number().over(Window.orderBy(F.desc("score"), F.asc(id))).alias("rank"))
+
+    vectors = search.top_k(x.table("embeddings"), x.query_vector(0), 10, "embedding", "vec_id")
+    return _beside(ranked(vectors, "vec_id"), ranked(search.top_k(x.stored["embeddings"], x.query_vector(0), 10), "segment_id"), ["rank"])
 
 
 @query

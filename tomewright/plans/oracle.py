@@ -170,7 +170,7 @@ _BODIES = {
     "count_segments_by_namespace": "SELECT count(*) AS segments FROM seg WHERE namespace = 'en'",
     "kb_stats": "SELECT namespace, information_resources, coalesce(segments, 0) AS segments, coalesce(entities, 0) AS entities, coalesce(entity_types, 0) AS entity_types FROM (SELECT namespace, count(*) AS information_resources FROM ir GROUP BY 1) LEFT JOIN (SELECT namespace, count(*) AS segments FROM seg GROUP BY 1) USING (namespace) LEFT JOIN (SELECT namespace, count(*) AS entities, count(DISTINCT type) AS entity_types FROM ent GROUP BY 1) USING (namespace)",
     "namespace_isolation": "SELECT count(*) FILTER (l.namespace <> ent.namespace) AS crossing, count(*) AS links FROM link AS l JOIN ent ON ent.id = entity_id",
-    "semantic_topk": "SELECT segment_id, round(score, 6) AS score FROM (SELECT segment_id, list_cosine_similarity(vector::double[], q::double[]) AS score FROM emb, q0) ORDER BY round(score, 12) DESC, segment_id LIMIT 10",
+    "semantic_topk": "SELECT rank::INT AS rank, vec_id, round(v.score, 6) AS vec_score, segment_id, round(s.score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, vec_id) AS rank FROM (SELECT vec_id, list_cosine_similarity(embedding::double[], q::double[]) AS score FROM embeddings, q0) ORDER BY rank LIMIT 10) AS v FULL JOIN (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, segment_id) AS rank FROM (SELECT segment_id, list_cosine_similarity(vector::double[], q::double[]) AS score FROM emb, q0) ORDER BY rank LIMIT 10) AS s USING (rank)",
     "semantic_topk_namespace": "SELECT * FROM semantic LIMIT 5",
     "semantic_topk_batch": "SELECT query_id, segment_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, segment_id) AS rank FROM (SELECT e.vec_id AS query_id, segment_id, list_cosine_similarity(vector::double[], embedding::double[]) AS score FROM emb, embeddings AS e WHERE e.vec_id % 50 = 0)) WHERE rank <= 5",
     "embedding_lookup": "SELECT segment_id, 'given' AS model, len(vector)::INT AS size, round(vector[1]::double, 6) AS first FROM emb WHERE vec_id = 7",
