@@ -142,3 +142,11 @@ def test_search_of_one_finds_vectors_without_a_segment(spark, base):
     want = base.sql("SELECT vec_id FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY round(list_cosine_similarity(embedding::double[], q::double[]), 12) DESC, vec_id LIMIT 10").fetchall()
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [v for (v,) in want]
     assert max(v for (v,) in want) >= base.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+
+
+def test_search_of_many_finds_vectors_without_a_segment(spark, base):
+    """Before, only vectors of documents with a segment were searched."""
+    got = QUERIES["semantic_topk_batch"](spark, SF).collect()
+    best = {r["query_id"]: r["vec_id"] for r in got if r["rank"] == 1}
+    documents = base.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+    assert len(got) == 5 * len(best) and {q for q in best if q >= documents} and all(best[q] == q for q in best)

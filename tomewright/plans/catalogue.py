@@ -447,15 +447,18 @@ def semantic_topk_namespace(x):
 
 @query
 def semantic_topk_batch(x):
-    """Every vector whose id is divisible by 50 against those of all segments, in blocks of BATCH_QUERIES a pass."""
-    vectors = x.stored["embeddings"]
-    rows = x.table("embeddings").where("vec_id % 50 = 0 and embedding is not null").orderBy("vec_id").toLocalIterator()
-    found = []
+    """Every vector whose id is divisible by 50 against all, with or without a segment, and against those of all segments, in blocks of
+    BATCH_QUERIES a pass."""
+    vectors, of_segments = x.table("embeddings"), x.stored["embeddings"]
+    rows = vectors.where("vec_id % 50 = 0 and embedding is not null").orderBy("vec_id").toLocalIterator()
+    best, best_segments = [], []
     while block := {r["vec_id"]: r["embedding"] for r in islice(rows, BATCH_QUERIES)}:
-        found.append(search.top_k_batch(vectors, block, 5))
-    if not found:
-        return vectors.limit(0).select(F.lit(0).cast("long").alias("query_id"), "segment_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    return reduce(DataFrame.unionByName, found).select("query_id", "segment_id", F.round("score", 6).alias("score"), "rank")
+        best.append(search.top_k_batch(vectors, block, 5, "embedding", "vec_id"))
+        best_segments.append(search.top_k_batch(of_segments, block, 5))
+    if not best:
+        none = "query_id long, vec_id long, vec_score double, segment_id string, score double, rank int"
+        return x.spark.createDataFrame([], none)
+    return _beside(reduce(DataFrame.unionByName, best), reduce(DataFrame.unionByName, best_segments), ["query_id", "rank"])
 
 
 @query

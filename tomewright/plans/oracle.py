@@ -172,7 +172,7 @@ _BODIES = {
     "namespace_isolation": "SELECT count(*) FILTER (l.namespace <> ent.namespace) AS crossing, count(*) AS links FROM link AS l JOIN ent ON ent.id = entity_id",
     "semantic_topk": "SELECT rank::INT AS rank, vec_id, round(v.score, 6) AS vec_score, segment_id, round(s.score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, vec_id) AS rank FROM (SELECT vec_id, list_cosine_similarity(embedding::double[], q::double[]) AS score FROM embeddings, q0) ORDER BY rank LIMIT 10) AS v FULL JOIN (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, segment_id) AS rank FROM (SELECT segment_id, list_cosine_similarity(vector::double[], q::double[]) AS score FROM emb, q0) ORDER BY rank LIMIT 10) AS s USING (rank)",
     "semantic_topk_namespace": "SELECT * FROM semantic LIMIT 5",
-    "semantic_topk_batch": "SELECT query_id, segment_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, segment_id) AS rank FROM (SELECT e.vec_id AS query_id, segment_id, list_cosine_similarity(vector::double[], embedding::double[]) AS score FROM emb, embeddings AS e WHERE e.vec_id % 50 = 0)) WHERE rank <= 5",
+    "semantic_topk_batch": "SELECT query_id, rank::INT AS rank, vec_id, round(v.score, 6) AS vec_score, segment_id, round(s.score, 6) AS score FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) AS score FROM embeddings AS v, embeddings AS q WHERE q.vec_id % 50 = 0)) WHERE rank <= 5) AS v FULL JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, segment_id) AS rank FROM (SELECT e.vec_id AS query_id, segment_id, list_cosine_similarity(vector::double[], embedding::double[]) AS score FROM emb, embeddings AS e WHERE e.vec_id % 50 = 0)) WHERE rank <= 5) AS s USING (query_id, rank)",
     "embedding_lookup": "SELECT segment_id, 'given' AS model, len(vector)::INT AS size, round(vector[1]::double, 6) AS first FROM emb WHERE vec_id = 7",
     "missing_embeddings": "SELECT id, segment_index FROM seg WHERE id NOT IN (SELECT segment_id FROM emb)",
     "embed_hash": r"""SELECT id, list_transform(range(0, 64), lambda b: coalesce(round((map_extract_value(m, b)::FLOAT / sqrt(l)::FLOAT)::DOUBLE, 4), 0::DOUBLE)) AS vector FROM
